@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from moundline.llm import lines, mixing, urls
+from moundline.llm import bpe, html, lines, mixing, toxicity, urls
 
 
 def queries() -> dict:
-    return {"op1_url_filter": urls.op1, "op4_line_dedup": lines.op4, "op10_mix_sources": mixing.op10}
+    return {
+        "op1_url_filter": urls.op1,
+        "op4_line_dedup": lines.op4,
+        "op5_html_extract": html.op5,
+        "op8_toxicity": toxicity.op8,
+        "op9_byte_bpe": bpe.op9,
+        "op10_mix_sources": mixing.op10,
+    }
 
 
 def oracle_sql() -> dict:
