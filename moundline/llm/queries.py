@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from moundline.llm import bpe, html, lines, mixing, toxicity, urls
+from moundline.llm import ann, bpe, embeddings, html, lines, mixing, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": urls.op1,
+        "op3_nearest": ann.op3,
         "op4_line_dedup": lines.op4,
         "op5_html_extract": html.op5,
+        "op6_embedding_dedup": embeddings.op6,
         "op8_toxicity": toxicity.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_mix_sources": mixing.op10,
