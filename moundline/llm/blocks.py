@@ -57,11 +57,37 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held)
 
 
+def arrays(batches: Iterator[pa.RecordBatch], keys: list[str], lists: tuple[str, ...] = ()) -> Iterator[dict[str, np.ndarray]]:
+    """As groups(), for columns of numbers and ``lists`` of equal lengths, as numpy arrays; cheap for very many small groups."""
+    held: list[dict] = []
+    last = None
+    merge = lambda parts: parts[0] if len(parts) == 1 else {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {name: matrix(c, None) if name in lists else c.to_numpy(zero_copy_only=False) for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        change[0] = last is not None and tuple(cols[k][0] for k in keys) != last
+        at = 0
+        for stop in np.flatnonzero(change):
+            if stop > at:
+                held.append({k: c[at:stop] for k, c in cols.items()})
+            yield merge(held)
+            held, at = [], int(stop)
+        held.append({k: c[at:] for k, c in cols.items()})
+        last = tuple(cols[k][-1] for k in keys)
+    if held:
+        yield merge(held)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
-    return np.asarray(one.flatten()).reshape(len(one), -1).astype(dtype, copy=False)
+    flat = np.asarray(one.flatten()).reshape(len(one), -1)
+    return flat if dtype is None else flat.astype(dtype, copy=False)
 
 
 def roots(near: np.ndarray) -> np.ndarray:

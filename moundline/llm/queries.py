@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundline.llm import ann, bpe, embeddings, html, lines, mixing, toxicity, urls
+from moundline.llm import ann, bpe, embeddings, html, jaccard, lines, mixing, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_line_dedup": lines.op4,
         "op5_html_extract": html.op5,
         "op6_embedding_dedup": embeddings.op6,
+        "op7_jaccard_join": jaccard.op7,
         "op8_toxicity": toxicity.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_mix_sources": mixing.op10,

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundline.llm.common import table
+from moundline.llm.hashing import BLOCK, between, mixed, pieces, prefix_sums, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 12, (1, 2, 3)
 #: Documents of either label that training may take at most, the lowest hashes of their ids.
 SAMPLE = 2_000
 EPOCHS, BATCH, RATE, SEED = 6, 16, 0.02, 7
-#: Bytes of text and words that a task looks at together, however long a document is.
-BLOCK, WORDS = 1 << 20, 1 << 17
+#: Words that go through the network together, however long a document is.
+WORDS = 1 << 17
 #: A language needs this many documents of either label for a threshold of its own.
 LEAST = 20
 
@@ -29,32 +30,12 @@ FUNCTION_WORDS = {
     "fr": "le les des et une du dans pour est au sur avec pas ce qui ne par sont plus il",
 }
 
-R = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(R), -1, 1 << 64))
-    out = []
-    for base in (R, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-_POWERS = _powers(BLOCK + 1)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in at most BLOCK bytes of UTF-8 and where they start: (words, 3) for the whole word and its first 4 and 5 bytes.
 
@@ -65,30 +46,16 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _FOLD[data]
     upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
     low[upper] += 0x20
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _POWERS
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    start, end = runs(inside)
+    sums = prefix_sums(low)
     made = np.empty((len(start), 3), np.uint64)
     for c, stop in enumerate((end, np.minimum(start + 4, end), np.minimum(start + 5, end))):
-        made[:, c] = _mixed((sums[stop] - sums[start]) * down[start] + np.uint64(c))
+        made[:, c] = between(sums, start, stop, c)
     return made, start
 
 
-def pieces(text: np.ndarray) -> Iterator[np.ndarray]:
-    """A text of any length in blocks of at most BLOCK bytes, cut between words where there is a place."""
-    at = 0
-    while len(text) - at > BLOCK:
-        gap = np.flatnonzero(~_WORD[text[at : at + BLOCK]])
-        cut = at + (int(gap[-1]) + 1 if len(gap) else BLOCK)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def features(text: bytes) -> np.ndarray:
-    found = [words(x)[0] for x in pieces(np.frombuffer(text, np.uint8))]
+    found = [words(x)[0] for x in pieces(np.frombuffer(text, np.uint8), _WORD)]
     return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int32)
 
 
@@ -249,7 +216,7 @@ _GUESSER: list[Model] = []
 def _guess(text: bytes) -> int:
     if not _GUESSER:
         _GUESSER.append(Model())
-    found = np.concatenate([words(x)[0][:, 0] for x in pieces(np.frombuffer(text, np.uint8))])
+    found = np.concatenate([words(x)[0][:, 0] for x in pieces(np.frombuffer(text, np.uint8), _WORD)])
     return _GUESSER[0].languages(found, np.zeros(len(found), int), 1)[0]
 
 
@@ -286,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _sort_hash(doc_id: int) -> int:
-    return int(_mixed(np.array([doc_id], np.int64).view(np.uint64))[0])
+    return int(mixed(np.array([doc_id], np.int64).view(np.uint64))[0])
 
 
 def _scored(model, keep: list[str]):
@@ -314,7 +281,7 @@ def score_block(m: Model, at: np.ndarray, texts, lot: list[int], scores: np.ndar
     ids, langs, counts = [], [], []
     for i in lot:
         text = np.frombuffer(texts[i].as_buffer(), np.uint8) if texts[i].is_valid and len(texts[i].as_buffer()) else np.zeros(0, np.uint8)
-        found = [words(x)[0] for x in pieces(text)]
+        found = [words(x)[0] for x in pieces(text, _WORD)]
         found = found[0] if len(found) == 1 else np.concatenate(found)
         ids.append((found % np.uint64(BUCKETS)).astype(np.int32))
         langs.append(found[:, 0])
