@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from moundline.llm import ann, bpe, embeddings, html, jaccard, lines, mixing, toxicity, urls
+from moundline.llm import ann, bpe, embeddings, html, jaccard, lines, mixing, suffixes, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": urls.op1,
+        "op2_suffix_dedup": suffixes.op2,
         "op3_nearest": ann.op3,
         "op4_line_dedup": lines.op4,
         "op5_html_extract": html.op5,
