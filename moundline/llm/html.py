@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table
+from moundline.llm.common import table, written
 from moundline.llm.urls import host_and_path
 
 #: Tags by their role.
@@ -31,6 +31,8 @@ TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Hosts whose winning paths (some hundred bytes each) may be broadcast; more are joined, each host's pages dealt into SALTS parts.
+BROADCAST_HOSTS, SALTS = 100_000, 32
 #: Tags whose start closes an open one of the same kind, up to the given borders.
 CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
@@ -237,7 +239,7 @@ def host_paths(pages: DataFrame, share: float = 0.2) -> DataFrame:
     return won.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("paths"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``pages`` without html but with text and n_chars (code points): the main text of each page.
 
     First every page's containers are scored by unlinked text and the page votes for the path of the best: tags with
@@ -250,8 +252,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     pages = pages.drop("text", "n_chars")
     keep = [c for c in pages.columns if c != "html"]
-    paths = host_paths(pages).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
-    found = pages.withColumn("__h", host_and_path(F.col("url"))[0]).join(paths, F.col("__h") == F.col("__host"), "left").select(*keep, "html", "__paths")
+    paths = written(host_paths(pages).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "host-paths")
+    pages = pages.withColumn("__h", host_and_path(F.col("url"))[0])
+    if paths.count() <= broadcast_hosts:
+        found = pages.join(F.broadcast(paths), F.col("__h") == F.col("__host"), "left")
+    else:
+        paths = paths.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pages = pages.withColumn("__p", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int"))
+        found = pages.join(paths, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__part")), "left")
+    found = found.select(*keep, "html", "__paths")
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return found.mapInArrow(_texts(keep), f"{schema}, text string").withColumn("n_chars", F.length("text").cast("long"))
 
