@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from moundline.llm.hashing import POWERS, mixed
 #: Bytes of a string that counts, batches that a table is dealt into.
 LENGTH, BATCHES = 400, 4
 #: Starts of strings that a task looks at together, however long a text is; offsets of strings in a block.
-STARTS, SPAN = 1 << 19, 64
+STARTS, SPAN = 1 << 19, 16
 #: Position bits in a packed minimum.
 _LOW = np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -47,12 +48,12 @@ def _windows_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The sampled suffixes of one text's bytes: pos, lo, hi, k1, k2, f, seg.
+    """The sampled suffixes of one text's bytes: pos, lo, hi, head, f, seg.
 
     Every string of ``length`` bytes holds one: the place in it where the hash of the next ``sample_size`` bytes is
     least, the leftmost of equal ones. This depends on the string alone, so equal strings sample the same suffix at the
-    same offset. lo and hi: first and last start of the strings that sampled it; k1, k2: its first 16 bytes in
-    order; f: hash of its first sample_size bytes; seg: hash of all bytes of its strings and their place around it.
+    same offset. lo and hi: first and last start of the strings that sampled it; head: its first 8 bytes, in
+    their order; f: hash of its first sample_size bytes; seg: hash of all bytes of its strings and their place around it.
     """
     size = sample_size(length)
     out = []
@@ -65,16 +66,16 @@ def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         hi = np.append(lo[1:], n) - 1
         pos = at[lo]
         seg = mixed(_hash(sums, lo, hi - lo + length) + (pos - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
-        first = np.zeros((len(pos), 16), np.uint8)
-        for j in range(min(16, size)):
+        first = np.zeros((len(pos), 8), np.uint8)
+        for j in range(min(8, size)):
             first[:, j] = part[pos + j]
-        k = first.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-        out.append((pos + a, lo + a, hi + a, k[:, 0].view(np.int64), k[:, 1].view(np.int64), h[pos].view(np.int64), seg.view(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(7))
+        head = first.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
+        out.append((pos + a, lo + a, hi + a, head.view(np.int64), h[pos].view(np.int64), seg.view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in _SAMPLE)
 
 
-_SAMPLE = ["pos", "lo", "hi", "k1", "k2", "f", "seg"]
-KEY = ["k1", "k2", "f"]
+_SAMPLE = ["pos", "lo", "hi", "head", "f", "seg"]
+KEY = ["head", "f"]
 
 
 def _bytes(text: pa.Scalar) -> np.ndarray:
@@ -93,7 +94,7 @@ def _suffixes(length: int):
                 size += len(cols[0])
                 if size > 100_000 or i == batch.num_rows - 1:
                     row = np.repeat([j for j, _ in held], [len(c[0]) for _, c in held])
-                    made = [np.concatenate([c[k] for _, c in held]) for k in range(7)]
+                    made = [np.concatenate([c[k] for _, c in held]) for k in range(len(_SAMPLE))]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(hs[row] if len(row) else hs[:0]), *map(pa.array, made)], names=["doc_id", "h", *_SAMPLE])
                     held, size = [], 0
 
@@ -103,31 +104,46 @@ def _suffixes(length: int):
 class SuffixIndex:
     """Sparse suffix arrays in levels: a level of rank r holds the suffixes of 2**r batches.
 
-    A level is a written table of the distinct sampled suffixes of its batches, sorted by their bytes (k1, k2, then f),
-    with the number of places of each. ``add`` makes the array of a new batch, merge-scans it against every level,
-    and merges levels of equal rank, so n batches leave at most log2(n) + 1 levels and each suffix is rewritten at most
-    log2(n) times. Suffixes that a third of all texts hold are one row a task before any shuffle.
+    A level is a table of the distinct sampled suffixes of its batches, in the order of their bytes (head, then f),
+    with the number of places of each. It is bucketed by suffix, so merging and merge-scanning read sorted buckets side
+    by side and move nothing. ``add`` makes the array of a new batch, merge-scans it against every level, and
+    merges levels of equal rank, so n batches leave at most log2(n) + 1 levels and each suffix is rewritten at most
+    log2(n) times. A suffix that a third of all texts hold is one row a task before the only shuffle.
     """
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-
-    @staticmethod
-    def _array(rows: DataFrame) -> DataFrame:
-        return written(rows.orderBy(*KEY), "suffix-array")
-
-    def add(self, suffixes: DataFrame) -> list[DataFrame]:
-        """Adds a batch; the keys of suffixes that it repeats, in itself or from a level, as tables."""
-        new = self._array(suffixes.groupBy(*KEY).agg(F.count("*").alias("n")))
-        shared = [new.filter("n > 1").select(*KEY)]
-        shared += [new.select(*KEY).hint("merge").join(level.select(*KEY), KEY) for _, level in self.levels]
-        rank = 0
+    def __init__(self, spark: SparkSession):
+        self.spark, self.levels = spark, []
+
+    def _array(self, rows: DataFrame) -> str:
+        name = f"suffix_array_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.bucketBy(n, *KEY).sortBy(*KEY).option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Adds a batch; the suffixes that it repeats, in itself or from a level, as a written table."""
+        spark, rank = self.spark, 0
+        name = self._array(suffixes.groupBy(*KEY).agg(F.count("*").alias("n")))
+        new = spark.table(name)
+        shared = new.filter("n > 1").select(*KEY)
+        for _, level in self.levels:
+            shared = shared.unionByName(new.select(*KEY).hint("merge").join(spark.table(level).select(*KEY), KEY))
+        shared = written(shared, "shared-suffixes")
         while self.levels and self.levels[-1][0] == rank:
-            new = self._array(new.unionByName(self.levels.pop()[1]).groupBy(*KEY).agg(F.sum("n").alias("n")))
-            rank += 1
-        self.levels.append((rank, new))
+            old = self.levels.pop()[1]
+            both = spark.table(name).hint("merge").join(spark.table(old).withColumnRenamed("n", "m"), KEY, "full")
+            merged = self._array(both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))
+            for gone in (old, name):
+                spark.sql(f"DROP TABLE {gone}")
+            name, rank = merged, rank + 1
+        self.levels.append((rank, name))
         return shared
 
+    def drop(self) -> None:
+        for _, level in self.levels:
+            self.spark.sql(f"DROP TABLE {level}")
+        self.levels = []
+
 
 def _contexts(length: int):
     """A task that cuts out the bytes around each wanted suffix: those of all strings that sampled it."""
@@ -150,50 +166,58 @@ def _contexts(length: int):
     return run
 
 
-def _cores(length: int):
-    """A task: for each context and each block of offsets before its suffix, the hash of the bytes that all strings of these offsets hold.
+def _blocks(length: int):
+    """A task: for each context its blocks of offsets of strings before the suffix, with two hashes.
 
-    Block j has the offsets span * j to span * (j + 1) - 1 that occur in the context. Strings can be equal only if the
-    cores of their block are.
+    Block j has the offsets span * j to span * (j + 1) - 1; d1 and d2 are the first and last of them that occur in the
+    context. full: hash of all bytes of these strings. core: of the bytes that every string of the block holds, wherever
+    it is; strings can be equal only if the cores of their blocks are.
     """
     span = min(SPAN, max(1, length // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, block, core = [], [], []
+            row, made = [], []
             pos, lo, hi = (batch.column(c).to_numpy() for c in ("pos", "lo", "hi"))
             for i, cut in enumerate(batch.column("bytes")):
+                sums = _sums(_bytes(cut))
                 j = np.arange((pos[i] - hi[i]) // span, (pos[i] - lo[i]) // span + 1)
+                d1, d2, at = np.maximum(span * j, pos[i] - hi[i]), np.minimum(span * j + span - 1, pos[i] - lo[i]), pos[i] - lo[i]
+                full, core = _hash(sums, at - d2, d2 - d1 + length), _hash(sums, at - span * j, length - span + 1)
                 row.append(np.full(len(j), i))
-                block.append(j)
-                core.append(_hash(_sums(_bytes(cut)), pos[i] - span * j - lo[i], length - span + 1).view(np.int64))
+                made.append((j, d1, d2, full.view(np.int64), core.view(np.int64)))
             if row:
                 row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("doc_id", "h", "pos", "f")), pa.array(np.concatenate(block)), pa.array(np.concatenate(core))], names=["doc_id", "h", "pos", "f", "block", "core"])
+                cols = [batch.column(c).take(row) for c in ("doc_id", "h", "pos", "f", "single")] + [pa.array(np.concatenate(c)) for c in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "pos", "f", "single", "block", "d1", "d2", "full", "core"])
 
     return run
 
 
 def _strings(length: int):
-    """A task: for each context with blocks that are left, the offset and hash of each of their strings."""
+    """A task: for each context with blocks that are left, the offset and hash of each of their strings; single: whether the block may hold a new one."""
     span = min(SPAN, max(1, length // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, offset, value, size = [], [], [], 0
+            row, offset, value, single, size = [], [], [], [], 0
             pos, lo, hi = (batch.column(c).to_numpy() for c in ("pos", "lo", "hi"))
             for i, cut in enumerate(batch.column("bytes")):
-                d = (np.array(batch.column("blocks")[i].as_py(), np.int64)[:, None] * span + np.arange(span)[None, :]).ravel()
-                d = d[(d >= pos[i] - hi[i]) & (d <= pos[i] - lo[i])]
+                left = batch.column("blocks")[i].as_py()
+                d = (np.array([b["block"] for b in left], np.int64)[:, None] * span + np.arange(span)[None, :]).ravel()
+                new = np.repeat([b["single"] for b in left], span)
+                near = (d >= pos[i] - hi[i]) & (d <= pos[i] - lo[i])
+                d = d[near]
+                single.append(new[near])
                 row.append(np.full(len(d), i))
                 offset.append(d)
                 value.append(_hash(_sums(_bytes(cut)), pos[i] - d - lo[i], length).view(np.int64))
                 size += len(d)
                 if size > 100_000 or i == batch.num_rows - 1:
                     at, d, w = np.concatenate(row), np.concatenate(offset), np.concatenate(value)
-                    cols = [batch.column(c).take(pa.array(at)) for c in ("doc_id", "h", "single", "f")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(pos[at] - d), pa.array(d), pa.array(w)], names=["doc_id", "h", "single", "f", "start", "d", "w"])
-                    row, offset, value, size = [], [], [], 0
+                    cols = [batch.column(c).take(pa.array(at)) for c in ("doc_id", "h", "f")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(single)), pa.array(pos[at] - d), pa.array(w)], names=["doc_id", "h", "f", "single", "start", "w"])
+                    row, offset, value, single, size = [], [], [], [], 0
 
     return run
 
@@ -241,20 +265,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
 
     Documents come in ``batches`` by hash. Each gets a sparse suffix array, which is merge-scanned against the levels of
     a SuffixIndex and merged into them. Suffixes that no other place shares end here; for the rest an exact check
-    follows. Suffixes whose strings are all equal to those around another one are repeats as they are. Of others, one
-    of each kind stands for its kind: the bytes around it are fetched, blocks of offsets whose common bytes occur once
-    are dropped, and the strings of what is left are compared. A pair of equal strings has equal suffixes and equal
-    offsets, so none is lost, and every step reduces with counts before it joins.
+    follows. Places whose strings are all equal to those at another one are repeats as they are. Of others, one of
+    each kind stands for its kind: the bytes around it are fetched and looked at by blocks of offsets. Blocks that are
+    equal as a whole are repeats, those whose common bytes occur once are none, and of the rest each string is
+    compared. Equal strings have equal suffixes and equal offsets, so none is lost, and every step reduces with counts
+    before it joins.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in _SAMPLE)
     suffixes = d.mapInArrow(_suffixes(length), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int"))
     suffixes = written(suffixes, "suffixes")
-    index, shared = SuffixIndex(), []
-    for b in range(batches):
-        shared += index.add(suffixes.filter(F.col("batch") == b))
-    keys = written(reduce(DataFrame.unionByName, shared).distinct(), "shared-suffixes")
-    near = written(suffixes.drop("batch").join(keys, KEY, "left_semi").drop("k1", "k2"), "shared-places")
+    index = SuffixIndex(docs.sparkSession)
+    shared = [index.add(suffixes.filter(F.col("batch") == b).select(*KEY)) for b in range(batches)]
+    index.drop()
+    keys = reduce(DataFrame.unionByName, shared).select("f").distinct()
+    near = written(suffixes.drop("batch", "head").join(keys, "f", "left_semi"), "shared-places")
 
     kinds = near.groupBy("f", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "lo", "hi")).alias("rep"))
     kinds = written(kinds, "kinds")
@@ -265,15 +290,22 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "text", "wanted")
     around = written(texts.mapInArrow(_contexts(length), "doc_id long, h long, pos long, lo long, hi long, f long, single boolean, bytes binary"), "contexts")
 
-    cores = around.mapInArrow(_cores(length), "doc_id long, h long, pos long, f long, block long, core long")
-    again = cores.groupBy("f", "block", "core").count().filter("count > 1").drop("count")
-    blocks = cores.join(again, ["f", "block", "core"], "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("pos").alias("__pos"))
-    blocks = blocks.agg(F.collect_set("block").alias("blocks"))
-    left = around.join(blocks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("pos") == F.col("__pos"))).drop("__id", "__h", "__pos")
-    strings = written(left.mapInArrow(_strings(length), "doc_id long, h long, single boolean, f long, start long, d long, w long"), "strings")
-    twice = strings.groupBy("f", "d", "w").count().filter("count > 1").drop("count")
-    found = strings.filter("single").join(twice, ["f", "d", "w"], "left_semi").select("doc_id", "h", F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("r"))
-    return sure.unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
+    whole = ["f", "block", "d1", "d2", "full"]
+    blocks = around.mapInArrow(_blocks(length), "doc_id long, h long, pos long, f long, single boolean, block long, d1 long, d2 long, full long, core long")
+    blocks = written(blocks, "blocks")
+    kinds = blocks.groupBy(*whole, "core").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "single")).alias("rep"))
+    kinds = written(kinds, "block-kinds")
+    equal = blocks.filter("single").join(kinds.filter("c > 1").select(*whole), whole, "left_semi")
+    equal = equal.select("doc_id", "h", F.struct((F.col("pos") - F.col("d2")).alias("lo"), (F.col("pos") - F.col("d1")).alias("hi")).alias("r"))
+    new = (F.col("c") == 1) & F.col("rep.single")
+    open_ = kinds.groupBy("f", "block", "core").agg(F.count("*").alias("kinds"), F.max(new).alias("open")).filter("kinds > 1 and open").drop("kinds", "open")
+    left = kinds.join(open_, ["f", "block", "core"], "left_semi").select("rep.doc_id", "rep.h", "rep.pos", F.struct("block", new.alias("single")).alias("b"))
+    left = left.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("pos").alias("__pos")).agg(F.collect_list("b").alias("blocks"))
+    left = around.join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("pos") == F.col("__pos"))).drop("__id", "__h", "__pos")
+    strings = written(left.mapInArrow(_strings(length), "doc_id long, h long, f long, single boolean, start long, w long"), "strings")
+    twice = strings.groupBy("f", "w").count().filter("count > 1").drop("count")
+    found = strings.filter("single").join(twice, ["f", "w"], "left_semi").select("doc_id", "h", F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("r"))
+    return sure.unionByName(equal).unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
