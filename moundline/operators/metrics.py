@@ -56,8 +56,10 @@ def fold_rare(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def folded_arsenal(df: DataFrame, least: int | None = None) -> DataFrame:
-    """pitcher, pitch_type, n, usage, rare types as Other."""
-    per = fold_rare(df, least).groupBy("pitcher", "pitch_type").agg(F.count("*").alias("n"))
+    """pitcher, pitch_type, n, usage, rare types as Other: counts are folded, pitches are read once."""
+    least = config.get("report.min_pitches_to_display") if least is None else least
+    per = df.groupBy("pitcher", "pitch_type").agg(F.count("*").alias("n")).withColumn("pitch_type", F.when(F.col("n") < least, "Other").otherwise(F.col("pitch_type")))
+    per = per.groupBy("pitcher", "pitch_type").agg(F.sum("n").alias("n"))
     return per.withColumn("usage", _share(["pitch_type"], ["pitcher"]))
 
 

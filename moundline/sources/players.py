@@ -38,7 +38,7 @@ def resolve_player(register: DataFrame, name: str) -> Player:
         raise PlayerNotFound(f"a first and a last name are needed, not {name!r}")
     plain = lambda c: F.lower(strip_accents_column(F.col(c)))
     found = register.filter(F.col("key_mlbam").isNotNull() & (plain("name_first") == words[0]) & (plain("name_last") == " ".join(words[1:])))
-    seasons = [F.col(c).cast("int").alias(c) for c in ("mlb_played_first", "mlb_played_last")]
+    seasons = [F.col(c).cast("double").cast("int").alias(c) for c in ("mlb_played_first", "mlb_played_last")]
     rows = found.select(F.col("key_mlbam").cast("long").alias("key_mlbam"), "name_first", "name_last", *seasons).orderBy(F.col("mlb_played_last").desc_nulls_last(), "key_mlbam").limit(5).collect()
     if not rows:
         raise PlayerNotFound(f"no player is called {name!r}")
@@ -51,7 +51,7 @@ def resolve_player(register: DataFrame, name: str) -> Player:
 
 def latest_by_name(register: DataFrame) -> DataFrame:
     """name_first, name_last, key_mlbam, ambiguous: the same for all names at once."""
-    keyed = register.filter("key_mlbam is not null").withColumn("last", F.coalesce(F.col("mlb_played_last").cast("int"), F.lit(-1)))
+    keyed = register.filter("key_mlbam is not null").withColumn("last", F.coalesce(F.col("mlb_played_last").cast("double").cast("int"), F.lit(-1)))
     top = keyed.groupBy("name_first", "name_last").agg(F.max("last").alias("top"), F.max(F.struct("last", (-F.col("key_mlbam")).alias("id"))).alias("best"), F.count("*").alias("players"))
     tied = keyed.join(top.select("name_first", "name_last", "top"), ["name_first", "name_last"]).filter("last = top").groupBy("name_first", "name_last").agg(F.count("*").alias("tied"))
     out = top.join(tied, ["name_first", "name_last"])
