@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table, tasks_for, written
+from moundline.llm.common import lean_batches, table, tasks_for, written
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: A token starts right where the pattern says so if this many characters more are in sight ("'re" is three long).
@@ -178,6 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     Only the vocabulary (fixed, under 1 MB) is broadcast.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = docs.drop("ids", "decoded")
     keep = [c for c in docs.columns if c != "text"]

@@ -39,3 +39,10 @@ def text_hash(text: str | Column = "text") -> Column:
 
 def tasks_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: at most ``rows`` of them go to a Python worker at once, which keeps both its memory and the JVM's buffers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table, written
+from moundline.llm.common import lean_batches, table, written
 from moundline.llm.urls import host_and_path
 
 #: Tags by their role.
@@ -250,6 +250,7 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> D
     Null html counts as empty; its text, and that of a page without text, is empty. Pages without a host have no
     consensus and use their own best. Repeated rows stay. Columns called text or n_chars are replaced.
     """
+    lean_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     keep = [c for c in pages.columns if c != "html"]
     paths = written(host_paths(pages).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "host-paths")

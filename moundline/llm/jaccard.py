@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundline.llm.blocks import arrays, by_block, groups, in_blocks
-from moundline.llm.common import table, text_hash, written
+from moundline.llm.common import lean_batches, table, text_hash, written
 from moundline.llm.components import components
 from moundline.llm.hashing import shingles, word_hashes
 
@@ -193,6 +193,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     doc_id and text are documents of their own that link as copies do, all of them kept or none. Other columns
     of ``docs`` are not read.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     signed = written(rows.mapInArrow(_signed(words), "doc_id long, h long, n int, s1 long, s2 long, sig array<int>"), "signatures")
     cid = F.xxhash64("s1", "s2", "n")

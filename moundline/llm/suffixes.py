@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table, text_hash, written
+from moundline.llm.common import lean_batches, table, text_hash, written
 from moundline.llm.hashing import POWERS, mixed
 
 #: Bytes of a string that counts, batches that a table is dealt into.
 LENGTH, BATCHES = 400, 4
 #: Starts of strings that a task looks at together, however long a text is; offsets of strings in a block.
-STARTS, SPAN = 1 << 19, 16
+STARTS, SPAN = 1 << 17, 16
 #: Position bits in a packed minimum.
 _LOW = np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -271,6 +271,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     compared. Equal strings have equal suffixes and equal offsets, so none is lost, and every step reduces with counts
     before it joins.
     """
+    lean_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in _SAMPLE)
     suffixes = d.mapInArrow(_suffixes(length), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int"))

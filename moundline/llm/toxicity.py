@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table
+from moundline.llm.common import lean_batches, table
 from moundline.llm.hashing import BLOCK, between, mixed, pieces, prefix_sums, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     agree. What comes to the driver is bounded by the parameter: word hashes of those documents. Without labels of
     both kinds the model is untrained and scores everything below one half.
     """
+    lean_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     order = F.md5(F.col("doc_id").cast("string"))
     pick = lambda y: known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(2 * sample)
@@ -300,6 +301,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     is each language's threshold. Null and empty texts have no windows and get the score of the bias. Id, language
     and source columns are never read. Columns called score or predicted are replaced. The model (3 MB) is broadcast.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), docs.columns), f"{schema}, score double")
