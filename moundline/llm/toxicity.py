@@ -16,7 +16,8 @@ from moundline.llm.hashing import BLOCK, between, mixed, pieces, prefix_sums, ru
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 12, (1, 2, 3)
 #: Documents of either label that training may take at most, the lowest hashes of their ids.
 SAMPLE = 2_000
-EPOCHS, BATCH, RATE, SEED = 6, 16, 0.02, 7
+#: Passes over the training documents, or as many as make so many steps; documents of a step; rate; seed.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 1_500, 16, 0.02, 7
 #: Words that go through the network together, however long a document is.
 WORDS = 1 << 17
 #: A language needs this many documents of either label for a threshold of its own.
@@ -127,11 +128,13 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model
     sums |= {("W", k): np.full_like(model.W[k], 0.1) for k in WIDTHS} | {("c", k): np.full(FILTERS, 0.1, np.float32) for k in WIDTHS}
     share = np.clip(toxic.mean(), 0.05, 0.95)
     weight = np.where(toxic > 0, 0.5 / share, 0.5 / (1 - share))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - 0.7 * epoch / EPOCHS)
+    epochs = max(EPOCHS, STEPS * BATCH // len(texts))
+    for epoch in range(epochs):
+        rate = RATE * (1 - 0.7 * epoch / epochs)
         for lot in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
             gW, gc = {k: np.zeros_like(model.W[k]) for k in WIDTHS}, {k: np.zeros_like(model.c[k]) for k in WIDTHS}
-            gv, gb, rows, grads = np.zeros_like(model.v), 0.0, [], []
+            # Each step also sees a text without words, which is not toxic: its logit is the bias.
+            gv, gb, rows, grads = np.zeros_like(model.v), 1 / (1 + np.exp(-model.b)) / len(lot), [], []
             for i in lot:
                 ids = texts[i]
                 maps = model.maps(ids)
@@ -174,26 +177,27 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model
 
 
 def _best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among the thresholds with the best F1."""
+    """The middle of the widest gap among the thresholds with the best F0.5, which weighs precision higher: clean texts should stay."""
     order = np.argsort(-logits)
     hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + toxic.sum())
+    best_of = 1.25 * hits / (np.arange(1, len(order) + 1) + 0.25 * toxic.sum())
     value = logits[order]
     gap = value - np.append(value[1:], value[-1] - 1.0)
-    f1[gap <= 0] = 0
-    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    best_of[gap <= 0] = 0
+    best = np.flatnonzero(best_of >= best_of.max() - 1e-9)
     at = best[gap[best].argmax()]
     return float(value[at] - gap[at] / 2)
 
 
 def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, lang: np.ndarray) -> None:
-    """Sets the threshold of each guessed language; one with fewer than LEAST documents of either label takes that of all."""
+    """Sets the threshold of each guessed language, above the logit of a text without words; one with fewer than LEAST documents of either label takes that of all."""
     if 0 < toxic.sum() < len(toxic):
         model.at = {"": _best_threshold(logits, toxic)}
         for i, name in enumerate(FUNCTION_WORDS):
             y = toxic[lang == i]
             if min(y.sum(), len(y) - y.sum()) >= LEAST:
                 model.at[name] = _best_threshold(logits[lang == i], y)
+        model.at = {name: max(at, model.b + 0.1) for name, at in model.at.items()}
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
