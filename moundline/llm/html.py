@@ -46,21 +46,23 @@ class Node:
         self.tag, self.step, self.first, self.stop, self.parent = tag, step, first, -1, parent
         self.bad = bad or bool(parent and parent.bad)
         self.depth = parent.depth + 1 if parent else 0
-        self.key = hash((parent.key if parent else 0, step))
+        # html and body stand for themselves in no page that leaves them out, so they are no steps.
+        self.key = (parent.key if parent else 0) if tag in ("html", "body") else hash((parent.key if parent else 0, step))
         self.chars = self.linked = 0
 
     @property
     def path(self) -> str:
         steps, node = [], self
         while node:
-            steps.append(node.step)
+            if node.tag not in ("html", "body"):
+                steps.append(node.step)
             node = node.parent
         return ">".join(reversed(steps))
 
 
 def _key(path: str) -> int:
     key = 0
-    for step in path.split(">"):
+    for step in filter(None, path.split(">")):
         key = hash((key, step))
     return key
 

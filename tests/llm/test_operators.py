@@ -42,7 +42,7 @@ def test_url_filter(spark):
     assert got == {
         1: ("a.net", "/x", "net/", "block"), 2: ("www.example.net", "/en/1", "example.net/en/", "allow"), 3: ("example.net", "/de/", "net/", "block"), 4: ("badexample.com", "/de/", None, "allow"),
         5: ("m.example.com", "/de/", "example.com/de/", "block"), 6: ("x.org", "/fr/", "org/fr/", "allow"), 7: ("x.org", "/fr", None, "allow"), 8: ("", "", None, "allow"), 9: ("", "", None, "allow"),
-        10: ("a.net", "", None, "allow"), 11: ("", "", None, "allow"), 12: ("net", "/", "net/", "block"), 13: ("x.net", "", None, "allow"), 14: ("a.a.a.a.a.a.a.a.net", "/yyyyyyyy", "net/", "block"),
+        10: ("a.net", "", None, "allow"), 11: ("", "", None, "allow"), 12: ("net", "/", "net/", "block"), 13: ("x.net", "", None, "allow"), 14: (".a.a.a.a.a.a.a.a.net", "/yyyyyyyy", "net/", "block"),
     }
     none = spark.createDataFrame([], "page_id int, url string")
     assert urls.filter_urls(none, rules).count() == 0
@@ -148,7 +148,7 @@ PAGE = '<html><body><nav>Menu<a href="/">home</a></nav><div class="{c}"><h1>T {i
 
 def test_html(spark):
     given = [(i, f"http://h.com/{i}", PAGE.format(i=i, c=f"story s{i}", j="side " * 3)) for i in range(6)]
-    given += [(10, "http://h.com/x", '<body><div class="story"><p>Tiny.</p></div><div><p>' + "Much longer other text. " * 9 + "</p></div></body>"), (11, None, "<p>a<br>b<p>c"), (12, "", None), (13, "http://h.com/", ""), (14, "u", "<div><p>cut <a hre")]
+    given += [(10, "http://h.com/x", '<body><div class="story s10"><p>Tiny.</p></div><div><p>' + "Much longer other text. " * 9 + "</p></div></body>"), (11, None, "<p>a<br>b<p>c"), (12, "", None), (13, "http://h.com/", ""), (14, "u", "<div><p>cut <a hre")]
     given += [(15, "http://other.org", "<p>x" * 2 + "<script>var a = '<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><form><p>no</p></form>")]
     for hosts in (100, 0):  # broadcast, and the join that is used for very many hosts
         df = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("text", F.lit(1))
