@@ -279,7 +279,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     index = SuffixIndex(docs.sparkSession)
     shared = [index.add(suffixes.filter(F.col("batch") == b).select(*KEY)) for b in range(batches)]
     index.drop()
-    keys = reduce(DataFrame.unionByName, shared).select("f").distinct()
+    # Written, so that the join below stands between two exchanges and a suffix with very many places is split.
+    keys = written(reduce(DataFrame.unionByName, shared).select("f").distinct(), "shared-keys")
     near = written(suffixes.drop("batch", "head").join(keys, "f", "left_semi"), "shared-places")
 
     kinds = near.groupBy("f", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "lo", "hi")).alias("rep"))
