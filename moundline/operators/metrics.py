@@ -187,26 +187,29 @@ def times_through_order(df: DataFrame) -> DataFrame:
 
 
 # Takeaways ---------------------------------------------------------------------------------------------------------
-def takeaways(df: DataFrame, most: int | None = None) -> DataFrame:
+def takeaways(df: DataFrame, most: int | None = None, gates: dict[str, int] | None = None, thresholds: dict[str, float] | None = None) -> DataFrame:
     """pitcher, place, flag, detail, n, value, baseline, severity: the strongest flags of each pitcher.
 
     Our choice where none is given: severity is the distance from the baseline (the league's rate, else the threshold)
-    over the baseline; ties go by flag and detail. Only flags get here, so a pitcher's window is short.
+    over the baseline; ties go by flag and detail. Only flags get here, so a pitcher's window is short. ``gates`` and
+    ``thresholds`` go before the settings of the same names.
     """
     most = config.get("report.max_takeaways") if most is None else most
+    n, at = (gates or {}).get, lambda name: _limit(name, (thresholds or {}).get(name))
 
     def flag(name: str, rows: DataFrame, detail: list[str], value: str, baseline: Column) -> DataFrame:
         return rows.select("pitcher", F.lit(name).alias("flag"), F.concat_ws(" ", *detail).alias("detail"), F.col("n").cast("long").alias("n"), F.col(value).alias("value"), baseline.cast("double").alias("baseline"))
 
-    limit = lambda name: F.lit(_limit(name, None))
-    first = first_pitch(df)
+    limit = lambda name: F.lit(at(name))
+    first = first_pitch(df, n("first_pitch"))
+    counts = predictable_counts(df, n("predictable_count"), at("predictable_count_share"), at("predictable_count_delta_vs_league"))
     flags = [
-        flag("predictable_count", predictable_counts(df), ["count", "pitch_type"], "value", F.col("league")),
-        flag("handedness_gap", handedness_gap(df).withColumn("size", F.abs("gap")), ["pitch_type"], "size", limit("handedness_usage_gap")),
-        flag("hittable_pitch", hittable_pitches(df), ["pitch_type"], "value", F.col("league")),
-        flag("velocity_decay", velocity_decay(df), [], "value", limit("fatigue_velo_drop_mph")),
-        flag("sequencing_tell", sequencing_tells(df), ["previous", "next"], "value", limit("sequencing_tell_prob")),
-        flag("location_leak", location_leaks(df), ["pitch_type", "quadrant"], "value", limit("location_leak_share")),
+        flag("predictable_count", counts, ["count", "pitch_type"], "value", F.col("league")),
+        flag("handedness_gap", handedness_gap(df, n("handedness_gap"), at("handedness_usage_gap")).withColumn("size", F.abs("gap")), ["pitch_type"], "size", limit("handedness_usage_gap")),
+        flag("hittable_pitch", hittable_pitches(df, n("hittable_pitch"), at("hittable_pitch_xwoba_delta")), ["pitch_type"], "value", F.col("league")),
+        flag("velocity_decay", velocity_decay(df, n("fatigue_outings"), at("fatigue_velo_drop_mph")), [], "value", limit("fatigue_velo_drop_mph")),
+        flag("sequencing_tell", sequencing_tells(df, n("sequencing_tell"), at("sequencing_tell_prob")), ["previous", "next"], "value", limit("sequencing_tell_prob")),
+        flag("location_leak", location_leaks(df, n("location_leak"), at("location_leak_share")), ["pitch_type", "quadrant"], "value", limit("location_leak_share")),
         flag("first_pitch", first.filter(F.col("top_share") >= limit("first_pitch_share")), ["top_type"], "top_share", limit("first_pitch_share")),
         flag("few_first_strikes", first.filter(F.col("strike_rate") < limit("first_pitch_strike_rate_low")), [], "strike_rate", limit("first_pitch_strike_rate_low")),
     ]

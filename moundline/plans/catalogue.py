@@ -107,6 +107,7 @@ def _columns(own: dict[str, str]) -> str:
 
 
 _STORED = _columns({"balls": "CAST(round_even(balls, 0) AS INTEGER)", "strikes": "CAST(round_even(strikes, 0) AS INTEGER)"})
+_GAMES = "SELECT * REPLACE (game_pk % 50 AS game_pk, batter % 9 AS batter, game_pk * 40 + at_bat_number AS at_bat_number)"
 _LOG = """log AS (
   SELECT mlbam_id, season, 'pitcher' AS player_type, CAST(mlbam_id % 5 AS INTEGER) AS row_count, TIMESTAMP '1998-05-31 00:00:00' + to_hours(CAST(mlbam_id % 48 AS BIGINT)) AS fetched_at
   FROM (SELECT DISTINCT pitcher AS mlbam_id, game_year AS season FROM raw UNION ALL SELECT s_suppkey + 100000000, 1997 FROM supplier))"""
@@ -132,6 +133,13 @@ _FLAGS = {
     ),
 }
 
+#: Lower ones than in the settings, so that the projected pitches raise flags of every kind.
+GATES = {"predictable_count": 5, "first_pitch": 2, "handedness_gap": 10, "hittable_pitch": 5, "location_leak": 4, "sequencing_tell": 3, "fatigue_outings": 2}
+THRESHOLDS = {
+    "predictable_count_share": 0.3, "predictable_count_delta_vs_league": 0.02, "first_pitch_share": 0.5, "first_pitch_strike_rate_low": 0.6, "handedness_usage_gap": 0.1, "hittable_pitch_xwoba_delta": 0.05,
+    "location_leak_share": 0.3, "sequencing_tell_prob": 0.5, "fatigue_velo_drop_mph": 0.1,
+}
+
 QUERIES = {
     "raw_projection": raw_pitches,
     "consolidate_pitch_types": lambda s, d: clean.consolidate_pitch_types(raw_pitches(s, d)).select(*KEYS, "pitch_type", "pitch_display"),
@@ -173,13 +181,13 @@ QUERIES = {
     "sequencing_tells": lambda s, d: metrics.sequencing_tells(tracked(s, d), least=1, share=0.5),
     "velocity_decay": lambda s, d: metrics.velocity_decay(with_games(tracked(s, d)), least=2, drop=0.1),
     "times_through_order": lambda s, d: metrics.times_through_order(with_games(tracked(s, d))),
-    "takeaways": lambda s, d: metrics.takeaways(tracked(s, d)),
+    "takeaways": lambda s, d: metrics.takeaways(with_games(tracked(s, d)), gates=GATES, thresholds=THRESHOLDS),
 }
 
 
 def with_games(df: DataFrame) -> DataFrame:
-    """Larger games and fewer batters, so that outings are long."""
-    return df.withColumns({"game_pk": F.col("game_pk") % 50, "batter": F.col("batter") % 9})
+    """Larger games and fewer batters, so that outings are long; plate appearances keep an order of their own."""
+    return df.withColumns({"game_pk": F.col("game_pk") % 50, "batter": F.col("batter") % 9, "at_bat_number": F.col("game_pk") * 40 + F.col("at_bat_number")})
 
 
 ORACLES = {
@@ -218,8 +226,8 @@ ORACLES = {
     "transitions": f"{_WITH}, {_TRANSITIONS} SELECT pitcher, previous, next, COUNT(*) AS n, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY pitcher, previous))::DOUBLE AS value FROM s WHERE previous IS NOT NULL GROUP BY pitcher, previous, next",
     "transitions_by_outcome": f"{_WITH}, {_TRANSITIONS} SELECT pitcher, previous, outcome, next, COUNT(*) AS n, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY pitcher, previous, outcome))::DOUBLE AS value FROM s WHERE previous IS NOT NULL GROUP BY pitcher, previous, outcome, next",
     "sequencing_tells": f"{_WITH}, {_TRANSITIONS}, x AS (SELECT pitcher, previous, next, COUNT(*) AS k FROM s WHERE previous IS NOT NULL GROUP BY ALL), y AS (SELECT *, SUM(k) OVER (PARTITION BY pitcher, previous) AS n FROM x) SELECT pitcher, previous, next, CAST(n AS BIGINT) AS n, k / n::DOUBLE AS value FROM y WHERE n >= 1 AND k / n::DOUBLE >= 0.5",
-    "velocity_decay": f"{_WITH}, x AS (SELECT pitcher, game_pk % 50 AS g, release_speed AS v, ntile(3) OVER (PARTITION BY pitcher, game_pk % 50 ORDER BY at_bat_number, pitch_number, game_pk) AS third FROM t WHERE release_speed IS NOT NULL), y AS (SELECT pitcher, g, AVG(v) FILTER (third = 1) - AVG(v) FILTER (third = 3) AS d FROM x GROUP BY ALL) SELECT pitcher, COUNT(d) AS n, ROUND(AVG(d), 6) AS value FROM y GROUP BY pitcher HAVING COUNT(d) >= 2 AND ROUND(AVG(d), 6) >= 0.1",
-    "times_through_order": f"{_WITH}, x AS (SELECT pitcher, release_speed, CAST(dense_rank() OVER (PARTITION BY game_pk % 50, pitcher, batter % 9 ORDER BY at_bat_number) AS INTEGER) AS time FROM t) SELECT pitcher, time, COUNT(*) AS n, AVG(release_speed) AS mean_speed FROM x GROUP BY pitcher, time",
+    "velocity_decay": f"{_WITH}, o AS ({_GAMES} FROM t), x AS (SELECT pitcher, game_pk AS g, release_speed AS v, ntile(3) OVER (PARTITION BY pitcher, game_pk ORDER BY at_bat_number, pitch_number) AS third FROM o WHERE release_speed IS NOT NULL), y AS (SELECT pitcher, g, AVG(v) FILTER (third = 1) - AVG(v) FILTER (third = 3) AS d FROM x GROUP BY ALL) SELECT pitcher, COUNT(d) AS n, ROUND(AVG(d), 6) AS value FROM y GROUP BY pitcher HAVING COUNT(d) >= 2 AND ROUND(AVG(d), 6) >= 0.1",
+    "times_through_order": f"{_WITH}, o AS ({_GAMES} FROM t), x AS (SELECT pitcher, release_speed, CAST(dense_rank() OVER (PARTITION BY game_pk, pitcher, batter ORDER BY at_bat_number) AS INTEGER) AS time FROM o) SELECT pitcher, time, COUNT(*) AS n, AVG(release_speed) AS mean_speed FROM x GROUP BY pitcher, time",
 }
 
 
@@ -237,3 +245,31 @@ def _checks(rows: str) -> str:
 ORACLES |= {"quality_checks": _checks("p"), "quality_checks_raw": _checks("raw")}
 _NULLS = " UNION ALL ".join(f"SELECT '{f.name}' AS column_name, AVG(CAST({f.name} IS NULL AS INT)::DOUBLE) AS null_fraction FROM st" for f in PITCHES)
 ORACLES["null_fraction"] = f"{_WITH}, st AS (SELECT {_STORED} FROM p) SELECT * FROM ({_NULLS}) WHERE null_fraction > 0.5 ORDER BY null_fraction DESC, column_name LIMIT 8"
+
+
+def _takeaways() -> str:
+    games = _WITH.rstrip() + f",\nt AS ({_GAMES} FROM t0)\n"
+    games = games.replace("t AS (SELECT * REPLACE (CASE", "t0 AS (SELECT * REPLACE (CASE", 1)
+    of = lambda name: ORACLES[name].removeprefix(_WITH)  # noqa: E731  the rest of a query over t
+    flags = {
+        "predictable_count": (of("predictable_counts"), "count || ' ' || pitch_type", "n", "value", "league"),
+        "handedness_gap": (of("handedness_gap"), "pitch_type", "n", "ABS(gap)", "0.1"),
+        "hittable_pitch": (of("hittable_pitches"), "pitch_type", "n", "value", "league"),
+        "velocity_decay": (of("velocity_decay").replace(_GAMES, "SELECT *"), "''", "n", "value", "0.1"),
+        "sequencing_tell": (of("sequencing_tells").replace("n >= 1", "n >= 3"), "previous || ' ' || next", "n", "value", "0.5"),
+        "location_leak": (of("location_leaks"), "pitch_type || ' ' || quadrant", "n", "value", "0.3"),
+        "first_pitch": (of("first_pitch") + " AND k / n::DOUBLE >= 0.5", "top_type", "n", "top_share", "0.5"),
+        "few_first_strikes": (of("first_pitch") + " AND ss / n::DOUBLE < 0.6", "''", "n", "strike_rate", "0.6"),
+    }
+    parts = []
+    for name, (sql, detail, n, value, baseline) in flags.items():
+        sql = sql.strip().removeprefix(",").strip()
+        sql = sql if sql.startswith("SELECT") else f"WITH {sql}"
+        parts.append(f"SELECT pitcher, '{name}' AS flag, {detail} AS detail, CAST({n} AS BIGINT) AS n, {value} AS value, {baseline}::DOUBLE AS baseline FROM ({sql})")
+    return (
+        f"{games}, found AS ({' UNION ALL '.join(parts)}), rated AS (SELECT *, ROUND(ABS(value - baseline) / baseline, 6) AS severity FROM found)"
+        " SELECT *, CAST(row_number() OVER (PARTITION BY pitcher ORDER BY severity DESC, flag, detail) AS INTEGER) AS place FROM rated QUALIFY place <= 5"
+    )
+
+
+ORACLES["takeaways"] = _takeaways()
