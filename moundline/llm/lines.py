@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import table, text_hash
+from moundline.llm.common import table, text_hash, written
 
 MIN_LINES, MIN_WORDS = 3, 50
 
@@ -54,10 +54,12 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     task. Null text stays null with 0 lines; an empty text is one empty line; rows that repeat doc_id and text are
     treated alike; columns called n_lines or n_removed are replaced.
     """
-    units = _units(docs, min_lines, min_words)
-    repeated = units.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp")
+    units = written(_units(docs, min_lines, min_words), "line-units")
+    # The counted sides are written, so that each join stands between two exchanges and Spark splits a hot key of it.
+    repeated = written(units.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp"), "line-fingerprints")
     near = units.join(repeated, "fp", "left_semi").select("k1", "k2", F.struct("doc_id", "h", "i").alias("at"), "n")
     first = near.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    first = written(first, "line-firsts")
     later = near.join(first, ["k1", "k2"]).filter(~F.col("at").eqNullSafe(F.col("first")))
     cut = later.select("at.doc_id", "at.h", F.explode(F.sequence(F.col("at.i"), F.col("at.i") + F.col("n") - 1)).alias("line"))
     cut = cut.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("line").alias("__cut"))
