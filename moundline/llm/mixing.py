@@ -11,8 +11,8 @@ from moundline.llm.common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: The hash has 60 bits; each level of histograms takes 15 of them.
-LEVELS, LEVEL_BITS = 4, 15
+#: The hash has 60 bits; each level of histograms takes 10 of them.
+LEVELS, LEVEL_BITS = 6, 10
 
 
 def n_words(text: str = "text") -> Column:
@@ -58,7 +58,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     hash (partial sums on the map side, so a hot source is no hot key), finds the bucket in which the running sum
     passes the budget, and looks only into that bucket on the next level. Larger budgets have larger thresholds over
     the same hash, so the picks nest. Returns skey, threshold: a document is in if its hash is below it. The document
-    on the boundary is in if that comes nearer to the budget. Windows run over at most 2**15 buckets a source.
+    on the boundary is in if that comes nearer to the budget. Windows run over at most 2**10 buckets a source.
     """
     state = budgets.select("skey", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     done = []
