@@ -22,16 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written and not released.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` as a Parquet table in the shared folder, read again.
 
-    Lost executors cost nothing that has been written; the table lives as long as the folder.
+    Lost executors cost nothing that has been written. Results are lazy and read these tables, so they stay until
+    release() or until the folder goes.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables behind earlier results; call it once those are saved."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_hash(text: str | Column = "text") -> Column:
     """Tells rows of one doc_id apart by their text; rows that repeat both are treated alike."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

@@ -1,10 +1,12 @@
 """The pipeline on a small table: each stage's decisions against its operator or a plain version."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from moundline.llm import common
 from tests.llm.test_operators import plain_lines
 
 
@@ -33,3 +35,11 @@ def test_stages(spark, tmp_path):
     whole = cp.run(spark, str(tmp_path))
     key = lambda rows: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in rows)
     assert key(whole.collect()) == key(outs[4])
+
+
+def test_release(spark):
+    table = common.written(spark.range(3), "kept")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert table.count() == 3 and os.path.exists(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
