@@ -26,6 +26,9 @@ UNWANTED = frozenset(
     "header masthead topbar footer foot copyright legal comment comments reply replies respond disqus discussion form login search toolbar skip hidden contentinfo complementary".split()  # noqa: SIM905
 )
 
+#: Beside one of these a class says what its element does without, or has around it.
+SPARED = frozenset("with without has no not non free".split())  # noqa: SIM905
+
 #: A tag left open at the end of the text goes on to that end; a comment likewise.
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -67,7 +70,7 @@ def _key(path: str) -> int:
     return key
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
+def _step(tag: str, attributes: str, by_class: bool) -> tuple[str, bool]:
     """The tag with its classes, digits cut off, as a step of a path; whether it marks what is not the article."""
     classes, bad = [], tag in DROPPED
     for m in ATTRIBUTE.finditer(attributes):
@@ -75,14 +78,21 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
         if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             bad = True
         elif name in ("class", "id", "role"):
-            found = [w for part in value.split() for w in WORD.findall(CAMEL.sub(" ", part))]
-            bad = bad or (tag not in ("html", "body", "article", "main") and any(w.lower() in UNWANTED for w in found))
+            for part in value.split() if by_class and tag not in ("html", "body", "article", "main") else ():
+                found = {w.lower() for w in WORD.findall(CAMEL.sub(" ", part))}
+                bad = bad or bool(found & UNWANTED and not found & SPARED)
             if name == "class":
                 classes += [c for part in value.split() if (c := re.sub(r"[\d_-]+$", "", re.sub(r"[\d>]+", "", part)))]
     return ".".join([tag, *sorted(set(classes))]), bad
 
 
 def parse(html: str) -> tuple[list[str], list[bool], list[Node]]:
+    """As _parse, by tags alone if tags and classes together leave no text."""
+    found = _parse(html, True)
+    return found if any(found[1]) or not found[0] else _parse(html, False)
+
+
+def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]]:
     """The page's text blocks (white space folded), which of them are unwanted, and its containers, in page order.
 
     One pass over the tags with a stack of open elements; elements left open end with what holds them.
@@ -158,7 +168,7 @@ def parse(html: str) -> tuple[list[str], list[bool], list[Node]]:
                 close(len(stack) - 1)
             if tag in VOID:
                 continue
-            step, bad = _step(tag, m[3] or "")
+            step, bad = _step(tag, m[3] or "", by_class)
             node = Node(tag, step, bad, len(blocks), stack[-1] if stack else None)
             stack.append(node)
             nodes.append(node)
