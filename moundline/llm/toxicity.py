@@ -13,11 +13,14 @@ from moundline.llm.common import lean_batches, table
 from moundline.llm.hashing import BLOCK, between, mixed, pieces, prefix_sums, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 12, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
 #: Documents of either label that training may take at most, the lowest hashes of their ids.
 SAMPLE = 2_000
+#: Words of a document that training may look at most; longer ones are left out of it (not of the scoring). So at most
+#: 4 * SAMPLE documents of 12 bytes a word, 240 MB, come to the driver.
+LONGEST = 2_500
 #: Passes over the training documents, or as many as make so many steps; documents of a step; rate; seed.
-EPOCHS, STEPS, BATCH, RATE, SEED = 6, 1_500, 16, 0.02, 7
+EPOCHS, STEPS, BATCH, RATE, SEED = 10, 1_500, 16, 0.02, 7
 #: Words that go through the network together, however long a document is.
 WORDS = 1 << 17
 #: A language needs this many documents of either label for a threshold of its own.
@@ -209,9 +212,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
         rows = [features(x) for x in texts]
         lang = [int(_guess(x)) for x in texts]
-        yield pa.RecordBatch.from_arrays(
+        made = pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("toxic"), pa.array(lang, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "toxic", "guess", "ids"]
         )
+        yield made.filter(pa.array([len(r) <= LONGEST for r in rows], pa.bool_()))
 
 
 _GUESSER: list[Model] = []
@@ -228,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` labelled documents of either label and calibrates on as many others.
 
     Only rows whose crc32 of the id is no multiple of 5 are looked at. Both sets are those of lowest id hash, so reruns
-    agree. What comes to the driver is bounded by the parameter: word hashes of those documents. Without labels of
+    agree. What comes to the driver is bounded by the parameters: word hashes of those documents. Without labels of
     both kinds the model is untrained and scores everything below one half.
     """
     lean_batches(docs.sparkSession)
