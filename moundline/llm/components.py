@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     gives an empty one.
     """
     links = written(links.filter("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "links")
-    before = None
+    check = lambda: tuple(links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+    before = check()
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Minima are written, so that the joins stand between two exchanges and Spark splits a hot node.
@@ -28,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
         links = written(small.select("e.a", F.col("e.m").alias("b")).filter("a <> b").distinct(), "small-star")
-        now = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        now = check()
         if now == before:
             break
         before = now
