@@ -11,7 +11,7 @@ from moundline.functions.coercion import coerce
 from moundline.operators import clean, metrics, quality
 from moundline.operators.dedup import keep_last, upsert
 from moundline.plans.projection import DUCKDB_SQL, ORDINAL, OUTCOMES, raw_pitches, table, with_outcomes
-from moundline.schema import FETCH_LOG, FIELDS, PITCH_KEY, PITCHES, FOLDED, NAMES
+from moundline.schema import FETCH_LOG, FIELDS, FOLDED, NAMES, PITCH_KEY, PITCHES
 from moundline.sources import store
 
 CLOCK = dt.datetime(1998, 6, 1, 12)
@@ -113,10 +113,6 @@ _LOG = """log AS (
   FROM (SELECT DISTINCT pitcher AS mlbam_id, game_year AS season FROM raw UNION ALL SELECT s_suppkey + 100000000, 1997 FROM supplier))"""
 
 
-def _league(per: str, league: str, on: str) -> str:
-    return f"per AS ({per}), league AS ({league}) SELECT per.*, league.league, per.value - league.league AS delta FROM per LEFT JOIN league USING ({on})"
-
-
 _TRANSITIONS = "s AS (SELECT pitcher, pitch_type AS next, lag(pitch_type) OVER w AS previous, lag(description) OVER w AS outcome FROM t WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number))"
 _QUADRANT = "CASE WHEN zone IN (1, 11) THEN 'up-left' WHEN zone IN (3, 12) THEN 'up-right' WHEN zone IN (7, 13) THEN 'down-left' WHEN zone IN (9, 14) THEN 'down-right' ELSE 'middle' END"
 _FAST = "pitch_type IN ('FF', 'SI', 'FC')"
