@@ -18,8 +18,9 @@ from moundline.llm.common import lean_batches, table, tasks_for, written
 CHUNK, OVERLAP = 32_768, 1_024
 #: A token starts right where the pattern says so if this many characters more are in sight ("'re" is three long).
 SIGHT = 4
-#: Pre-tokens kept with their ids in each Python worker, and the longest such one.
-CACHE, CACHE_BYTES = 300_000, 64
+#: Pre-tokens kept with their ids in each of two generations of a Python worker's cache, and the longest such one.
+CACHE, CACHE_BYTES = 250_000, 64
+_NONE = 1 << 60
 #: Bytes of results after which a task hands a batch on.
 BATCH = 8 << 20
 
@@ -29,20 +30,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _Cache(dict):
+    """Pre-tokens to the bytes of their ids, made when first asked for. When it is full, what was not used since it last was goes."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merge(word.encode("utf-8", "surrogatepass")).tobytes()
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Merges of one vocabulary over pre-tokens; a helper for the tasks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), {}
+        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), _Cache(self.merge)
         size = max(ranks.values(), default=-1) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for b, i in ranks.items():
             self.bytes_of[i] = b
 
     def merge(self, word: bytes) -> array:
-        """The ids of one pre-token: always the pair of lowest rank first, the leftmost of equal ones; n log n."""
+        """The ids of one pre-token: always the pair of lowest rank first, the leftmost of equal ones."""
         if (whole := self.ranks.get(word)) is not None:
             return array("i", [whole])
+        return self.merge_short(word) if len(word) <= CACHE_BYTES else self.merge_long(word)
+
+    def merge_short(self, word: bytes) -> array:
+        """A list of parts and one of the ranks of its pairs; the square of the length, but small."""
+        get = self.ranks.get
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < _NONE:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+        return array("i", [self.ranks[p] for p in parts])
+
+    def merge_long(self, word: bytes) -> array:
+        """A heap of pairs; n log n for runs of any length."""
         n, ranks = len(word), self.ranks
         end = list(range(1, n + 1))  # of the part that starts here; 0: no part starts here
         before = list(range(-1, n - 1))
@@ -72,17 +111,9 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> array:
-        out, cache = array("i"), self.cache
-        for word in self.pattern.findall(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self.merge(word.encode("utf-8", "surrogatepass"))
-                if len(word) <= CACHE_BYTES:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = ids
-            out.extend(ids)
-        return out
+        ids, of = array("i"), self.cache
+        ids.frombytes(b"".join([of[word] for word in self.pattern.findall(text)]))
+        return ids
 
     def decode(self, ids: array) -> bytes:
         of = self.bytes_of

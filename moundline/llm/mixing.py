@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: The hash has 60 bits; each level of histograms takes 10 of them.
 LEVELS, LEVEL_BITS = 6, 10
+#: Sources whose plan (some hundred bytes each) may be broadcast; with more, each source's documents are dealt into SALTS parts.
+BROADCAST_SOURCES, SALTS = 100_000, 32
 
 
 def n_words(text: str = "text") -> Column:
@@ -82,7 +84,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken.
 
     Every document of a source is taken ``floor(target / source_size)`` times; the rest of the target is filled with
@@ -100,10 +102,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     per = written(per.withColumn("base", base), "mixing-sources")
     budgets = per.select("skey", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
     cut = thresholds(sized, budgets)
-    plan = per.join(cut, "skey", "left").select("skey", "source_size", "target", "base", "threshold")
-    out = docs.withColumns({"__skey": skey, "size": n_words(), "__hash": hash60()}).join(plan, F.col("__skey") == F.col("skey"), "left")
-    copies = F.coalesce(F.col("base") + F.when(F.col("__hash") < F.col("threshold"), 1).otherwise(0), F.lit(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__skey", "__hash", "skey", "base", "threshold")
+    plan = written(per.join(cut, "skey", "left").select(F.col("skey").alias("__s"), "source_size", "target", F.col("base").alias("__base"), F.col("threshold").alias("__threshold")), "mixing-plan")
+    out = docs.withColumns({"__skey": skey, "size": n_words(), "__hash": hash60()})
+    if plan.count() <= broadcast_sources:  # texts stay where they are
+        out = out.join(F.broadcast(plan), F.col("__skey") == F.col("__s"), "left")
+    else:
+        plan = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        part = F.pmod(F.col("__hash"), F.lit(SALTS)).cast("int")
+        out = out.withColumn("__p", part).join(plan, (F.col("__skey") == F.col("__s")) & (F.col("__p") == F.col("__part")), "left").drop("__p", "__part")
+    copies = F.coalesce(F.col("__base") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0), F.lit(0)).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__skey", "__hash", "__s", "__base", "__threshold")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,11 +150,13 @@ def test_html(spark):
     given = [(i, f"http://h.com/{i}", PAGE.format(i=i, c=f"story s{i}", j="side " * 3)) for i in range(6)]
     given += [(10, "http://h.com/x", '<body><div class="story s10"><p>Tiny.</p></div><div><p>' + "Much longer other text. " * 9 + "</p></div></body>"), (11, None, "<p>a<br>b<p>c"), (12, "", None), (13, "http://h.com/", ""), (14, "u", "<div><p>cut <a hre")]
     given += [(15, "http://other.org", "<p>x" * 2 + "<script>var a = '<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><form><p>no</p></form>")]
+    given += [(16, "http://third.org", '<div class="page with-sidebar"><p>Kept.</p><div class="left-sidebar">no</div></div>'), (17, "http://fourth.org", '<div class="widget"><p>All there is.</p></div>')]
     for hosts in (100, 0):  # broadcast, and the join that is used for very many hosts
         df = spark.createDataFrame(given, "page_id long, url string, html string").withColumn("text", F.lit(1))
         got = {r.page_id: r for r in html.extract_pages(df, broadcast_hosts=hosts).collect()}
         assert all(got[i].text == f"T {i}\nFirst {i} & <more> of it.\nSecond part{i}" for i in range(6))
         assert got[10].text == "Tiny."  # the host's consensus, not the page's longest
+        assert got[16].text == "Kept." and got[17].text == "All there is."
         assert [got[i].text for i in (11, 12, 13, 14, 15)] == ["a b\nc", "", "", "cut", "x\nx"]
         assert all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract_pages(df.limit(0)).count() == 0
@@ -288,6 +290,10 @@ def test_bpe(spark, rows):
     for chunk, overlap in ((64, 16), (500, 60), (bpe.CHUNK, bpe.OVERLAP)):
         got = bpe.encode(df, path, p.PATTERN, chunk, overlap).select("doc_id", "ids", "decoded")
         assert sorted(((r[0], list(r[1]), bytes(r[2])) for r in got.collect()), key=repr) == want
+    encoder, rng = bpe.Encoder(bpe.read_ranks(path), p.PATTERN), random.Random(4)
+    for n in [2, 3, 5, 9, 30, 64] * 20:
+        word = "".join(rng.choice("abeè不 t") for _ in range(n)).encode()
+        assert encoder.merge_short(word) == encoder.merge_long(word)
     one = {r.doc_id: r for r in bpe.digests(bpe.encode(df, path, p.PATTERN)).collect()}[400]
     assert one.ids_sha256 == hashlib.sha256(",".join(map(str, plain.encode_ordinary(given[-6][1]))).encode()).hexdigest()
     assert bpe.encode(df.limit(0), path, p.PATTERN).count() == 0
@@ -310,7 +316,7 @@ def plain_targets(sizes):
 
 def test_mixing(spark, rows):
     given = rows + [(1000 + i, "one two three " * (i % 7), f"t{i % 11}") for i in range(400)]
-    df = spark.createDataFrame(given, DOCS).withColumn("size", F.lit("x"))
+    df = spark.createDataFrame(given, DOCS).withColumns({"size": F.lit("x"), "base": F.lit(5), "skey": F.lit(6)})
     got = mixing.mix(df).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = Counter()
@@ -324,6 +330,7 @@ def test_mixing(spark, rows):
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
     assert len(got) == len(given) and all(abs(taken[s] - targets[s]) <= largest[s] for s in sizes)
-    assert everything(mixing.mix(df).select("doc_id", "taken")) == sorted(((r.doc_id, r.taken) for r in got), key=repr)
+    for sources in (100, 0):  # broadcast, and the join that is used for very many sources; reruns agree
+        assert everything(mixing.mix(df, broadcast_sources=sources).select("doc_id", "taken")) == sorted(((r.doc_id, r.taken) for r in got), key=repr)
     assert mixing.mix(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(df.filter("doc_id in (104, 105)")).collect()} == {0}
