@@ -11,11 +11,11 @@ MIN_LINES, MIN_WORDS = 3, 50
 
 
 def _units(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """A row for each window of ``min_lines`` lines and for each line of ``min_words`` words.
+    """A row for each window of ``min_lines`` lines and for each shorter run of lines that together have ``min_words`` words.
 
     doc_id, h: the document; i, n: first line and number of lines; k1, k2: 128 bits of hash over the lines' text;
-    fp: the winnowed fingerprint, the least line hash of the window (the leftmost of equal ones); fresh: whether the
-    window before has another one.
+    fp: the winnowed fingerprint, the least line hash of the window (the leftmost of equal ones), of a shorter run the
+    hash of its lines; fresh: whether the window before has another one.
     """
     lines = F.split(F.col("text"), "\n", -1)
     d = docs.select("doc_id", text_hash().alias("h"), lines.alias("lines")).filter("lines is not null")
@@ -31,24 +31,31 @@ def _units(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
         i.alias("i"), F.lit(min_lines).alias("n"), join(i, []).alias("k1"), join(i, [F.lit("2")]).alias("k2"), m["v"].alias("fp"),
         ((i == 0) | (F.get("m", i - 1)["p"] != m["p"])).alias("fresh"),
     )
-    n_words = F.size(F.split(F.trim(F.regexp_replace(F.col("line"), r"\s+", " ")), " "))
     at_windows = d.select("doc_id", "h", F.inline(F.transform("m", window)))
-    single = d.select("doc_id", "h", F.posexplode("lines").alias("i", "line")).filter(n_words >= min_words)
-    single = single.select(
-        "doc_id", "h", "i", F.lit(1).alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit("1")).alias("k2"), F.xxhash64("line").alias("fp"), F.lit(True).alias("fresh")
-    )
-    return at_windows.unionByName(single)
+    folded = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    n_words = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
+    short = d.select("doc_id", "h", "lines", F.transform("lines", lambda x: n_words(folded(x))).alias("words"))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.array().cast("array<int>"))
+        held = F.filter(starts, lambda i: sum((F.get("words", i + j) for j in range(1, n)), F.get("words", i)) >= min_words)
+        key = lambda i, tail: F.xxhash64(*[F.get("lines", i + j) for j in range(n)], *tail)
+        return F.transform(held, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), key(i, []).alias("k1"), key(i, [F.lit("1")]).alias("k2"), key(i, []).alias("fp"), F.lit(True).alias("fresh")))
+
+    if min_lines > 1:
+        at_windows = at_windows.unionByName(short.select("doc_id", "h", F.inline(F.concat(*[runs(n) for n in range(1, min_lines)]))))
+    return at_windows
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs of lines cut out of ``text``; n_lines and n_removed are added.
 
-    A line goes if it lies in a run of at least ``min_lines`` lines, or is a line of at least ``min_words`` words, that
-    also starts earlier: in a document of smaller doc_id (null first; of equal ids that with the smaller text hash) or
+    A line goes if it lies in a run of at least ``min_lines`` lines, or of lines with at least ``min_words`` words
+    together, that also starts earlier: in a document of smaller doc_id (null first; of equal ids that with the smaller text hash) or
     further up in its own. What is first stays. Lines end at ``\\n`` and are compared as they are.
 
-    Every window of ``min_lines`` lines gives its least line hash as a fingerprint, every long line its own: a shared
-    run always shares one. Fingerprints that occur once are dropped; around the others the match is extended by the
+    Every window of ``min_lines`` lines gives its least line hash as a fingerprint, every shorter run of enough words its
+    own: a shared run always shares one. Fingerprints that occur once are dropped; around the others the match is extended by the
     windows to both sides, each held against the first place of the same window. Groups are reduced with min and count
     on the map side and joined to one row, so a line that a third of all documents hold makes neither pairs nor a hot
     task. Null text stays null with 0 lines; an empty text is one empty line; rows that repeat doc_id and text are

@@ -142,6 +142,15 @@ def test_line_dedup(spark, rows):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_two_lines(spark):
+    w = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    a, b, c, long = w("a", 20), w("b", 30), w("c", 29), w("l", 60)
+    given = [(1, f"x\n{a}\n{b}\ny"), (2, f"{a}\n{b}"), (3, f"z\n{a}\n{b}\nq\n{a}\n{b}"), (4, f"{a}\n{c}"), (5, f"{a}\n{c}"), (6, f"{b}\n{a}"), (7, f"{long}\n\nu"), (8, f"{long}\n\nv"), (9, f"{w('d', 49)}\n\nu"), (10, f"{w('d', 49)}\n\nv")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.line_dedup(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    whole = dict(given)
+    assert got == {1: (0, whole[1]), 2: (2, ""), 3: (4, "z\nq"), 4: (0, whole[4]), 5: (0, whole[5]), 6: (0, whole[6]), 7: (0, whole[7]), 8: (2, "v"), 9: (0, whole[9]), 10: (0, whole[10])}
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 PAGE = '<html><body><nav>Menu<a href="/">home</a></nav><div class="{c}"><h1>T {i}</h1><p>First {i} &amp; &lt;more&gt;\n of it.<p><b>Second</b> part{i}<div class="comments"><p>Nice one, nice one, nice one.</p></div></div><div class="sidebar"><p>{j}</p></div><footer>f</footer></body></html>'
 
