@@ -19,6 +19,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # noqa: SIM905
 DROPPED = frozenset("script style noscript template textarea title head iframe object svg math canvas audio video nav header footer aside form button select menu dialog".split())  # noqa: SIM905
 CONTAINERS = frozenset("article main section div td body blockquote".split())  # noqa: SIM905
+UNNAMED, HEADINGS = frozenset(["", "html", "body"]), frozenset("h1 h2 h3 h4 h5 h6".split())  # noqa: SIM905
 #: Words of class, id and role that mark what is not the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup "
@@ -34,6 +35,8 @@ TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A block or container with a link character in so many is mostly links.
+LINKS = 1.5
 #: Hosts whose winning paths (some hundred bytes each) may be broadcast; more are joined, each host's pages dealt into SALTS parts.
 BROADCAST_HOSTS, SALTS = 100_000, 32
 #: Tags whose start closes an open one of the same kind, up to the given borders.
@@ -41,23 +44,27 @@ CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "
 
 
 class Node:
-    """An open or closed element that can hold text: its step of the path, whether it or what holds it is unwanted, its range of blocks."""
+    """An open or closed element that can hold text: its step of the path, whether it or what holds it is unwanted, its range of blocks.
 
-    __slots__ = ("tag", "step", "bad", "first", "stop", "chars", "linked", "parent", "depth", "key")
+    chars, linked: characters of the blocks that are not unwanted, and those of them in links; plain: characters of its
+    headings and of its blocks that are not mostly links. The page itself is the node with the tag "".
+    """
+
+    __slots__ = ("tag", "step", "bad", "first", "stop", "chars", "linked", "plain", "parent", "depth", "key")
 
     def __init__(self, tag: str, step: str, bad: bool, first: int, parent: Node | None):
         self.tag, self.step, self.first, self.stop, self.parent = tag, step, first, -1, parent
         self.bad = bad or bool(parent and parent.bad)
         self.depth = parent.depth + 1 if parent else 0
-        # html and body stand for themselves in no page that leaves them out, so they are no steps.
-        self.key = (parent.key if parent else 0) if tag in ("html", "body") else hash((parent.key if parent else 0, step))
-        self.chars = self.linked = 0
+        # The page, html and body stand for themselves in no page that leaves them out, so they are no steps.
+        self.key = (parent.key if parent else 0) if tag in UNNAMED else hash((parent.key if parent else 0, step))
+        self.chars = self.linked = self.plain = 0
 
     @property
     def path(self) -> str:
         steps, node = [], self
         while node:
-            if node.tag not in ("html", "body"):
+            if node.tag not in UNNAMED:
                 steps.append(node.step)
             node = node.parent
         return ">".join(reversed(steps))
@@ -93,15 +100,15 @@ def parse(html: str) -> tuple[list[str], list[bool], list[Node]]:
 
 
 def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]]:
-    """The page's text blocks (white space folded), which of them are unwanted, and its containers, in page order.
+    """The page's text blocks (white space folded), which of them are wanted, and itself and its elements, in page order.
 
     One pass over the tags with a stack of open elements; elements left open end with what holds them.
     """
     blocks: list[str] = []
     wanted: list[bool] = []
-    nodes: list[Node] = []
+    nodes: list[Node] = [Node("", "", False, 0, None)]
     parts: list[str] = []
-    stack: list[Node] = []
+    stack: list[Node] = [nodes[0]]
     links, linked = 0, 0
 
     def end_block() -> None:
@@ -110,12 +117,14 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                bad = bool(stack) and stack[-1].bad
+                bad = stack[-1].bad
                 blocks.append(text)
                 wanted.append(not bad)
-                if not bad and stack:
+                if not bad:
                     stack[-1].chars += len(text)
                     stack[-1].linked += min(linked, len(text))
+                    if stack[-1].tag in HEADINGS or len(text) > LINKS * linked:
+                        stack[-1].plain += len(text)
         linked = 0
 
     def close(n: int) -> None:
@@ -162,14 +171,14 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
             continue
         if tag in BLOCKS or tag in DROPPED:
             end_block()
-            if tag in BLOCKS and stack and stack[-1].tag == "p":
+            if tag in BLOCKS and stack[-1].tag == "p":
                 close(len(stack) - 1)
-            elif tag in CLOSES and stack and stack[-1].tag in CLOSES[tag] and tag != "p":
+            elif tag in CLOSES and stack[-1].tag in CLOSES[tag] and tag != "p":
                 close(len(stack) - 1)
             if tag in VOID:
                 continue
             step, bad = _step(tag, m[3] or "", by_class)
-            node = Node(tag, step, bad, len(blocks), stack[-1] if stack else None)
+            node = Node(tag, step, bad, len(blocks), stack[-1])
             stack.append(node)
             nodes.append(node)
     parts.append(html[at:])
@@ -179,44 +188,58 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
         if node.parent and not node.bad:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.plain += node.plain
     return blocks, wanted, nodes
 
 
-#: The deepest container wins that holds this share of the best container's text; articles and mains count more.
-SHARE, BONUS = 0.8, {"article": 3.0, "main": 2.0}
+#: Articles and mains count more.
+BONUS = {"article": 3.0, "main": 2.0}
 
 
 def _score(n: Node) -> float:
-    return (n.chars - 1.5 * n.linked) * BONUS.get(n.tag, 1.0)
+    return (n.chars - LINKS * n.linked) * BONUS.get(n.tag, 1.0)
+
+
+def _plain(n: Node, nodes: list[Node]) -> int:
+    """Characters that a pick must hold: those of plain blocks, or on a page without one of all blocks."""
+    return n.plain if nodes[0].plain else n.chars
 
 
 def best(nodes: list[Node]) -> Node | None:
-    """The page's container with the most unlinked text, or the deepest within it that holds almost as much."""
-    held = [n for n in nodes if n.tag in CONTAINERS and n.chars and not n.bad]
+    """The article or main with the most unlinked text if no container has more, else the deepest container outside of which nothing but unwanted blocks and links is left."""
+    held = [n for n in nodes if (n.tag in CONTAINERS or not n.parent) and n.chars and not n.bad]
     if not held:
         return None
-    most = max(_score(n) for n in held)
-    fit = [n for n in held if _score(n) >= SHARE * most]
-    return max(fit, key=lambda n: (n.depth, _score(n))) if fit and most > 0 else max(held, key=_score)
+    most = max(held, key=lambda n: (_score(n), n.depth))
+    if most.tag in BONUS and _score(most) > 0:
+        return most
+    return max((n for n in held if _plain(n, nodes) == _plain(nodes[0], nodes)), key=lambda n: n.depth)
+
+
+def _holds(outer: Node, inner: Node) -> bool:
+    while inner.depth > outer.depth:
+        inner = inner.parent
+    return inner is outer
 
 
 def extract(html: str, paths: list[str]) -> str:
-    """The text of the container that the first of ``paths`` found in the page leads to, else of the page's own best.
+    """The text of the containers that the first of ``paths`` found in the page leads to, else of the page's own best.
 
-    Of several containers on one path that with most text is taken; with equal text the first. A page without any
-    container gives all blocks that are not unwanted.
+    Of several articles or mains on one path that with most text is taken, with equal text the first; of other
+    containers all with more than links. If the page's own best lies around them and is on one of ``paths`` too, it is
+    taken. A page without any container gives all blocks that are not unwanted.
     """
     blocks, wanted, nodes = parse(html)
-    picked = None
+    own, picked = best(nodes), []
     for p in paths:
         key = _key(p)
         if found := [n for n in nodes if n.key == key and n.chars and not n.bad]:
-            picked = max(found, key=_score)
+            picked = [max(found, key=_score)] if found[0].tag in BONUS else [n for n in found if _plain(n, nodes)] or found
             break
-    picked = picked or best(nodes)
-    if picked is None:
-        return "\n".join(b for b, w in zip(blocks, wanted, strict=True) if w)
-    return "\n".join(b for b, w in zip(blocks[picked.first : picked.stop], wanted[picked.first : picked.stop], strict=True) if w)
+    if own and (not picked or (picked[0].tag not in BONUS and own.path in paths and all(_holds(own, n) for n in picked))):
+        picked = [own]
+    inside = {i for n in picked for i in range(n.first, n.stop)}
+    return "\n".join(b for i, (b, w) in enumerate(zip(blocks, wanted, strict=True)) if w and i in inside)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +277,8 @@ def host_paths(pages: DataFrame, share: float = 0.2) -> DataFrame:
 def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``pages`` without html but with text and n_chars (code points): the main text of each page.
 
-    First every page's containers are scored by unlinked text and the page votes for the path of the best: tags with
-    their classes, digits cut off. Votes are counted per host; then each page is extracted again at the host's winning
+    First every page's containers are scored by unlinked text and the page votes for the path of the best (an article
+    or main, else what holds all text besides links): tags with their classes, digits cut off. Votes are counted per host; then each page is extracted again at the host's winning
     paths, the first that it holds, or at its own best container if it holds none. Menus, headers, footers,
     sidebars, notices, adverts, forms, comments, scripts and styles inside it are left out; blocks are joined by ``\\n``.
 

@@ -171,6 +171,22 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_without_articles(spark):
+    menu = '<div><a href="/">Home</a> | <a href="/b">Blog</a></div>'
+    post = '<body>{m}<div class="post"><h1><a href="/{i}">Title {i}</a></h1><p>Lead {i}</p><div class="entry"><p>{t}</p></div></div><div class="related"><p>no</p></div></body>'
+    parts = '<body>{m}<div class="page"><section><h2>One</h2><p>{t}</p></section><section><p>Short end.</p></section></div></body>'
+    long = "text " * 40 + "end."
+    given = [(1, "http://one.com/1", post.format(m=menu, i=1, t=long)), (2, "http://one.com/2", post.format(m=menu, i=2, t="Tiny.")), (3, "http://two.com/", parts.format(m=menu, t=long))]
+    given += [(i, f"http://many.com/{i}", f'<div class="page"><section><p>{long}</p></section></div>') for i in range(4, 10)] + [(10, "http://many.com/10", parts.format(m=menu, t=long))]
+    given += [(i, f"http://some.com/{i}", f'<div class="post">{"<p>Lead.</p>" if i < 13 else ""}<div class="entry"><p>{long}</p></div></div>') for i in range(11, 18)]
+    given += [(20, "http://bare.com", f"<h1>Bare</h1><div><p>{long}</p></div>"), (21, "http://links.com", '<div><p><a href="/a">First link</a></p></div><div><p><a href="/b">Second</a></p></div>')]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"Title 1\nLead 1\n{long}" and got[2] == "Title 2\nLead 2\nTiny."
+    assert got[3] == got[10] == f"One\n{long}\nShort end."
+    assert all(got[i] == long for i in [*range(4, 10), *range(13, 18)]) and got[11] == got[12] == f"Lead.\n{long}"
+    assert got[20] == f"Bare\n{long}" and got[21] == "First link\nSecond"
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 def reached(n, links):
     top = list(range(n))
