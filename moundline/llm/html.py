@@ -32,6 +32,8 @@ SPARED = frozenset("with without has no not non free".split())  # noqa: SIM905
 
 #: A tag left open at the end of the text goes on to that end; a comment likewise.
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+#: In ASCII: "s" is not to match U+017F.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -132,7 +134,7 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
             node.stop = len(blocks)
         del stack[n:]
 
-    at, low = 0, None
+    at = 0
     while m := TAG.search(html, at):
         if m.start() > at:
             parts.append(html[at : m.start()])
@@ -155,12 +157,10 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
                         break
             continue
         if tag in RAW:
-            low = html.lower() if low is None else low
-            stop = low.find(f"</{tag}", at)
-            at = len(html) if stop < 0 else stop
-            if stop >= 0:
-                gt = html.find(">", stop)
-                at = len(html) if gt < 0 else gt + 1
+            # In the page itself: lower() can make a text longer (U+0130) and shift what follows.
+            stop = RAW_END[tag].search(html, at)
+            gt = html.find(">", stop.start()) if stop else -1
+            at = len(html) if gt < 0 else gt + 1
             continue
         if tag == "a":
             links += 1

@@ -187,6 +187,14 @@ def test_html_without_articles(spark):
     assert got[20] == f"Bare\n{long}" and got[21] == "First link\nSecond"
 
 
+def test_html_after_scripts():
+    for n in (0, 1, 9, 12, 60):
+        page = f"<div><p>{'\u0130' * n}x</p><SCRIPT>var a = '<p>no</p>'</Script ><p>Text</p><style>p{{}}</STYLE><p>More</p></div>"
+        assert html.extract(page, []) == "\u0130" * n + "x\nText\nMore"
+    assert html.extract("<div><p>x</p><script>a</\u017fcript><p>no</p></script><p>y</p></div>", []) == "x\ny"
+    assert html.extract("<p>x</p><script>never closed <p>no</p>", []) == html.extract("<p>x</p><script>a</script", []) == "x"
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 def reached(n, links):
     top = list(range(n))
