@@ -65,11 +65,15 @@ class Forest:
             out[lo : lo + 2048] = at - (self.leaves - 1)
         return out
 
-    def visits(self, margins: np.ndarray, sizes: np.ndarray, need: float) -> list[tuple[int, int]]:
-        """Leaves for one query: all trees share one queue, in which the branch that was missed by least comes first; until they hold ``need`` vectors."""
+    def visits(self, margins: np.ndarray, sizes: np.ndarray, need: float, least: int = 0) -> list[tuple[int, int]]:
+        """Leaves for one query: all trees share one queue, in which the branch that was missed by least comes first.
+
+        Until they hold ``need`` vectors, and those of one tree, which are all distinct, ``least`` of them.
+        """
         nodes, seen, out = self.leaves - 1, 0, []
+        distinct = [0] * TREES
         queue = [(0.0, t, 0) for t in range(TREES)]
-        while queue and seen < need:
+        while queue and (seen < need or max(distinct) < least):
             missed, t, i = heapq.heappop(queue)
             while i < nodes:
                 m = margins[t, i]
@@ -80,6 +84,7 @@ class Forest:
             if sizes[t, leaf]:
                 out.append((t, leaf))
                 seen += sizes[t, leaf]
+                distinct[t] += sizes[t, leaf]
         return out
 
     def share_for(self, sample: np.ndarray, k: int) -> float:
@@ -118,7 +123,7 @@ def _placed(forest):
     return run
 
 
-def _probes(forest, sizes, need: float):
+def _probes(forest, sizes, need: float, least: int):
     """A task that lists the leaves to visit for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def _probes(forest, sizes, need: float):
             cids = batch.column("cid").to_numpy()
             for lo in range(0, len(cids), 256):
                 margins = f.margins(matrix(batch.column("embedding").slice(lo, 256), np.float64))
-                found = [(c, t, leaf) for c, m in zip(cids[lo : lo + 256], margins, strict=True) for t, leaf in f.visits(m, sizes.value, need)]
+                found = [(c, t, leaf) for c, m in zip(cids[lo : lo + 256], margins, strict=True) for t, leaf in f.visits(m, sizes.value, need, least)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["cid", "tree", "leaf"])
 
@@ -183,7 +188,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     ``rows`` and ``queries`` have vec_id and embedding. Trees are fitted on the ``sample`` distinct vectors of lowest
     hash (documented bound); every row is indexed. Each query walks all trees through one priority queue and looks into
     leaves until they hold the share of places that gave a recall of 0.96 on the sample: a small one where
-    vectors have structure, a large one where they are noise. The products of leaf candidates are exact, in double.
+    vectors have structure, a large one where they are noise; and until they hold k + 1 distinct vectors, or all. The products of leaf candidates are exact, in double.
 
     Equal vectors are one class with its k + 1 smallest ids, which is all that k nearest can show, so copies cannot
     fill a leaf; larger leaves and larger sets of queries are split into blocks. The driver sees the sample, the trees
@@ -214,7 +219,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
         sizes[r.tree, r.leaf] = r["count"]
 
     wanted = asked.groupBy("cid").agg(F.first("embedding").alias("embedding"))
-    probes = written(wanted.mapInArrow(_probes(forest, spark.sparkContext.broadcast(sizes), share * n * TREES), "cid long, tree int, leaf int"), "ann-probes")
+    probes = written(wanted.mapInArrow(_probes(forest, spark.sparkContext.broadcast(sizes), share * n * TREES, k + 1), "cid long, tree int, leaf int"), "ann-probes")
     visits = probes.groupBy("tree", "leaf").count().collect()
     up = lambda x: int(-(-x // CHUNK))
     plan = F.broadcast(spark.createDataFrame([(r.tree, r.leaf, max(1, up(sizes[r.tree, r.leaf])), up(r["count"])) for r in visits], "tree int, leaf int, mcs int, qcs int"))

@@ -118,6 +118,25 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_few(spark):
+    rng = np.random.default_rng(3)
+    x = {n: (v := rng.normal(size=(n, 16))) / np.linalg.norm(v, axis=1)[:, None] for n in range(5, 31)}
+    for n, v in x.items():
+        f = ann.Forest(v, n)
+        leaf = f.leaf_of(v)
+        sizes = np.stack([np.bincount(leaf[:, t], minlength=f.leaves) for t in range(ann.TREES)])
+        need = f.share_for(v, 20) * n * ann.TREES
+        for m in f.margins(v):
+            assert len({i for t, at in f.visits(m, sizes, need, 21) for i in np.flatnonzero(leaf[:, t] == at)}) >= min(n, 21)
+    for n in (15, 20, 21):
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x[n])], "vec_id long, embedding array<float>")
+        got = defaultdict(list)
+        for r in ann.nearest(df, df).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        e = x[n].astype(np.float32).astype(float)
+        assert got == {q: [int(i) for i in np.argsort(-(e @ e[q]), kind="stable") if i != q][:20] for q in range(n)}
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 def plain_lines(rows, min_lines=3, min_words=50):
     order = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
