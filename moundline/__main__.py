@@ -20,10 +20,10 @@ from moundline.sources.remote import fetch_player_season
 from moundline.sources.store import ORDINAL, PitchStore
 
 
-def as_table(title: str, df: DataFrame, most: int = 50) -> str:
-    """A report table of the first ``most`` rows; reports are short by their nature."""
+def as_table(title: str, df: DataFrame) -> str:
+    """A report table of all rows; what a report says about one pitcher is short by its nature."""
     cell = lambda v: html.escape("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v))
-    rows = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
+    rows = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in df.collect())
     return f"<h2>{html.escape(title)}</h2><table><tr>{''.join(f'<th>{c}</th>' for c in df.columns)}</tr>{rows}</table>"
 
 

@@ -28,3 +28,7 @@ def test_command(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sys, "argv", ["moundline", "--season", "2025"])
     with pytest.raises(SystemExit):
         cli.main()
+
+
+def test_whole_table(spark):
+    assert cli.as_table("What follows what", spark.range(64)).count("<td>") == 64
