@@ -48,20 +48,39 @@ def between(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: int = 0
 
 
 def pieces(text: np.ndarray, inside: np.ndarray) -> Iterator[np.ndarray]:
-    """A text of any length in blocks of at most BLOCK bytes, cut where ``inside[byte]`` is false if there is such a place."""
+    """A text of any length in blocks of at most BLOCK bytes, cut where ``inside[byte]`` is false; a word of more bytes is a block of its own."""
     at = 0
     while len(text) - at > BLOCK:
         gap = np.flatnonzero(~inside[text[at : at + BLOCK]])
-        cut = at + (int(gap[-1]) + 1 if len(gap) else BLOCK)
+        if len(gap):
+            cut = at + int(gap[-1]) + 1
+        else:
+            cut = at + BLOCK
+            while cut < len(text) and not len(gap):
+                gap = np.flatnonzero(~inside[text[cut : cut + BLOCK]])
+                cut += int(gap[0]) if len(gap) else len(text[cut : cut + BLOCK])
         yield text[at:cut]
         at = cut
     yield text[at:]
 
 
+def long_hash(word: np.ndarray, salt: int = 0) -> np.uint64:
+    """As between() over a word of any length, by sums over blocks."""
+    total, shift, step = np.uint64(0), np.uint64(1), np.uint64(pow(int(R), BLOCK, 1 << 64))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(word), BLOCK):
+            total += prefix_sums(word[at : at + BLOCK])[-1] * shift
+            shift *= step
+    return mixed(np.array([total]) + np.uint64(salt))[0]
+
+
 def word_hashes(text: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words (runs of bytes that are not ASCII white space), in order."""
     out = []
     for part in pieces(text, ~_SPACE):
+        if len(part) > BLOCK:
+            out.append(np.array([long_hash(part)]))
+            continue
         start, stop = runs(~_SPACE[part])
         out.append(between(prefix_sums(part), start, stop))
     return out[0] if len(out) == 1 else np.concatenate(out)

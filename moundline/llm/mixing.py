@@ -59,8 +59,9 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     ``sized``: skey, size, hash. ``budgets``: skey, budget. Each level sums sizes by source and the next bits of the
     hash (partial sums on the map side, so a hot source is no hot key), finds the bucket in which the running sum
     passes the budget, and looks only into that bucket on the next level. Larger budgets have larger thresholds over
-    the same hash, so the picks nest. Returns skey, threshold: a document is in if its hash is below it. The document
-    on the boundary is in if that comes nearer to the budget. Windows run over at most 2**10 buckets a source.
+    the same hash, so the picks nest. Returns skey, threshold, take, tied: a document is in if its hash is below the
+    threshold, and so are ``take`` of the ``tied`` documents whose hash equals it: as many of these equal rows as come
+    nearest to the budget. Windows run over at most 2**10 buckets a source.
     """
     state = budgets.select("skey", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     done = []
@@ -68,28 +69,42 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         inside = sized.join(state, "skey").filter(F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix"))
         buckets = inside.groupBy("skey", F.shiftright("hash", shift).alias("bucket")).agg(
-            F.sum("size").alias("size"), F.max("budget").alias("budget"), F.max("below").alias("below")
+            F.sum("size").alias("size"), F.count("*").alias("rows"), F.max("budget").alias("budget"), F.max("below").alias("below")
         )
         upto = F.col("below") + F.sum("size").over(Window.partitionBy("skey").orderBy("bucket"))
         buckets = buckets.withColumn("upto", upto)
         last = level == LEVELS - 1
-        over = (F.col("upto") - F.col("size") / 2.0 > F.col("budget")) if last else (F.col("upto") > F.col("budget"))
-        crossing = buckets.filter(over).groupBy("skey").agg(F.min(F.struct("bucket", "upto", "size", "budget")).alias("b"))
-        crossing = crossing.select("skey", "b.budget", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.size")).alias("below"))
+        # Rows of one hash are equal, so half of one of them decides about the last.
+        over = (F.col("upto") - F.col("size") / F.col("rows") / 2.0 > F.col("budget")) if last else (F.col("upto") > F.col("budget"))
+        crossing = buckets.filter(over).groupBy("skey").agg(F.min(F.struct("bucket", "upto", "size", "budget", "rows")).alias("b"))
+        crossing = crossing.select("skey", "b.budget", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.size")).alias("below"), "b.size", "b.rows")
         crossing = written(crossing, f"mixing-level{level}")
         ended = state.join(crossing.select("skey"), "skey", "left_anti")
-        done.append(ended.select("skey", F.shiftleft(F.col("prefix") + 1, shift + LEVEL_BITS).alias("threshold")))
-        state = crossing
-    done.append(state.select("skey", F.col("prefix").alias("threshold")))
+        none = F.lit(0).cast("long")
+        done.append(ended.select("skey", F.shiftleft(F.col("prefix") + 1, shift + LEVEL_BITS).alias("threshold"), none.alias("take"), none.alias("tied")))
+        state = crossing if last else crossing.drop("size", "rows")
+    near = F.floor((F.col("budget") - F.col("below")) * F.col("rows") / F.col("size") + 0.5)
+    done.append(state.select("skey", F.col("prefix").alias("threshold"), F.greatest(F.lit(0), F.least("rows", near)).cast("long").alias("take"), F.col("rows").alias("tied")))
     return reduce(DataFrame.unionByName, done)
 
 
+def _numbered(tied: DataFrame) -> DataFrame:
+    """``tied`` with __number, from 1 within each __skey. Rows are numbered in the parts in which they were written, and parts by sums before them, so no task sees more of a source than one part."""
+    rows = written(tied.withColumns({"__file": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "mixing-tied")
+    parts = rows.groupBy("__skey", "__file").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__skey").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__skey", "__file").orderBy("__row"))
+    return rows.withColumn("__number", within).join(parts, ["__skey", "__file"]).withColumn("__number", F.col("__number") + F.col("__before")).drop("__file", "__row", "__before")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken.
 
     Every document of a source is taken ``floor(target / source_size)`` times; the rest of the target is filled with
     one copy more of the documents whose hash is below the source's threshold. Null text counts 0 words; null source is
-    a source of its own, the last. Rows that repeat doc_id and text share one hash and so one decision. An empty table
+    a source of its own, the last. Rows that repeat doc_id, text and source share one hash; where they lie on the
+    threshold, as many of them are taken as come nearest to the target (which of these is not defined, how many is). An empty table
     gives an empty result; a source without words has target 0. Columns of ``docs`` that are called like one of the
     five new ones are replaced.
     """
@@ -102,7 +117,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     per = written(per.withColumn("base", base), "mixing-sources")
     budgets = per.select("skey", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
     cut = thresholds(sized, budgets)
-    plan = written(per.join(cut, "skey", "left").select(F.col("skey").alias("__s"), "source_size", "target", F.col("base").alias("__base"), F.col("threshold").alias("__threshold")), "mixing-plan")
+    plan = written(per.join(cut, "skey", "left").select(F.col("skey").alias("__s"), "source_size", "target", F.col("base").alias("__base"), F.col("threshold").alias("__threshold"), "take", "tied"), "mixing-plan")
+    ties = plan.filter("take > 0 and take < tied").limit(1).count()
+    # All or none of the rows on the threshold are in, as long as not a part of equal ones is.
+    plan = plan.withColumn("__tie", (F.col("take") > 0) & (F.col("take") < F.col("tied"))).withColumn("__threshold", F.col("__threshold") + F.when((F.col("take") > 0) & ~F.col("__tie"), 1).otherwise(0))
+    plan = plan.withColumnRenamed("take", "__take").drop("tied")
     out = docs.withColumns({"__skey": skey, "size": n_words(), "__hash": hash60()})
     if plan.count() <= broadcast_sources:  # texts stay where they are
         out = out.join(F.broadcast(plan), F.col("__skey") == F.col("__s"), "left")
@@ -110,8 +129,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
         plan = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         part = F.pmod(F.col("__hash"), F.lit(SALTS)).cast("int")
         out = out.withColumn("__p", part).join(plan, (F.col("__skey") == F.col("__s")) & (F.col("__p") == F.col("__part")), "left").drop("__p", "__part")
-    copies = F.coalesce(F.col("__base") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0), F.lit(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__skey", "__hash", "__s", "__base", "__threshold")
+    more = F.col("__hash") < F.col("__threshold")
+    out = out.withColumn("__more", more)
+    if ties:
+        tie = F.coalesce(F.col("__tie") & (F.col("__hash") == F.col("__threshold")), F.lit(False))
+        some = _numbered(out.filter(tie)).withColumn("__more", F.col("__number") <= F.col("__take")).drop("__number")
+        out = out.filter(~tie).unionByName(some)
+    copies = F.coalesce(F.col("__base") + F.when(F.col("__more"), 1).otherwise(0), F.lit(0)).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__skey", "__hash", "__s", "__base", "__threshold", "__more", "__take", "__tie")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +159,9 @@ m AS (SELECT *, MAX(CASE WHEN x > level THEN level END) OVER () AS water FROM l)
 t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE LEAST(cap, water * w) END AS target FROM m),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size)::BIGINT ELSE 0 END AS base FROM t),
 j AS (
-  SELECT d.doc_id, d.size, d.h, b.*, SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
-         SUM(d.size) OVER (PARTITION BY d.source, d.h) AS own
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-k AS (SELECT *, bool_or(upto - own / 2.0 > target - base * source_size) OVER (PARTITION BY source ORDER BY h) AS past FROM j)
+  SELECT d.doc_id, d.size, d.h, b.*, row_number() OVER o AS place, SUM(d.size) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source WINDOW o AS (PARTITION BY d.source ORDER BY d.h)),
+k AS (SELECT *, bool_or(upto - size / 2.0 > target - base * source_size) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS past FROM j)
 SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN past THEN 0 ELSE 1 END))::BIGINT AS taken,
        source, (base + CASE WHEN past THEN 0 ELSE 1 END)::BIGINT AS copies
 FROM k

@@ -6,19 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moundline.llm.common import lean_batches, table
-from moundline.llm.hashing import BLOCK, between, mixed, pieces, prefix_sums, runs
+from moundline.llm.common import lean_batches, table, text_hash, written
+from moundline.llm.hashing import BLOCK, between, long_hash, mixed, pieces, prefix_sums, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
-#: Documents of either label that training may take at most, the lowest hashes of their ids.
+#: Twice so many documents of either label are looked at, the lowest hashes of their ids; two of three train.
 SAMPLE = 2_000
-#: Words of a document that training may look at most; longer ones are left out of it (not of the scoring). So at most
-#: 4 * SAMPLE documents of 12 bytes a word, 240 MB, come to the driver.
-LONGEST = 2_500
+#: Words of either label that training may take: documents come in the order of their hashes until those before them hold
+#: so many. So at most twice this, of 12 bytes a word, and two documents more come to the driver (48 MB and these).
+WORD_BUDGET = 2_000_000
 #: Passes over the training documents, or as many as make so many steps; documents of a step; rate; seed.
 EPOCHS, STEPS, BATCH, RATE, SEED = 10, 1_500, 16, 0.02, 7
 #: Words that go through the network together, however long a document is.
@@ -41,7 +41,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in at most BLOCK bytes of UTF-8 and where they start: (words, 3) for the whole word and its first 4 and 5 bytes.
+    """Hashes of the words in a block of UTF-8 from pieces() and where they start: (words, 3) for the whole word and its first 4 and 5 bytes.
 
     A word is a run of letters and digits; ASCII and Latin-1 letters are folded to lower case. Hashes are differences of
     prefix sums of a polynomial, so there is no loop over words.
@@ -50,6 +50,8 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _FOLD[data]
     upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
     low[upper] += 0x20
+    if len(data) > BLOCK:  # one word
+        return np.array([[long_hash(low, 0), long_hash(low[:4], 1), long_hash(low[:5], 2)]]), np.zeros(1, np.int64)
     start, end = runs(inside)
     sums = prefix_sums(low)
     made = np.empty((len(start), 3), np.uint64)
@@ -58,8 +60,8 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return made, start
 
 
-def features(text: bytes) -> np.ndarray:
-    found = [words(x)[0] for x in pieces(np.frombuffer(text, np.uint8), _WORD)]
+def features(text: np.ndarray) -> np.ndarray:
+    found = [words(x)[0] for x in pieces(text, _WORD)]
     return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int32)
 
 
@@ -124,8 +126,41 @@ class Model:
         return np.array([self.at.get(x, self.at.get("", 0.0)) for x in [*FUNCTION_WORDS, "other"]])
 
 
+def gradients(model: Model, texts: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> tuple:
+    """Of the weighted log loss, the mean over ``texts`` and a text without words that is not toxic (its logit is the bias), by W, c, v, b and rows of E.
+
+    The gradient of a filter flows to its largest window only.
+    """
+    gW, gc = {k: np.zeros_like(model.W[k]) for k in WIDTHS}, {k: np.zeros_like(model.c[k]) for k in WIDTHS}
+    gv, gb, rows, grads = np.zeros_like(model.v), 1 / (1 + np.exp(-model.b)) / len(texts), [], []
+    for ids, y, w in zip(texts, toxic, weight, strict=True):
+        maps = model.maps(ids)
+        pooled, where = np.zeros(len(model.v), np.float32), {}
+        for n, k in enumerate(WIDTHS):
+            if k in maps and len(maps[k]):
+                where[k] = maps[k].argmax(0)
+                pooled[n * FILTERS : (n + 1) * FILTERS] = maps[k][where[k], np.arange(FILTERS)]
+        on = np.maximum(pooled, 0)
+        p = 1 / (1 + np.exp(-np.clip(on @ model.v + model.b, -30, 30)))
+        d = np.float32((p - y) * w / len(texts))
+        gv += d * on
+        gb += d
+        back = d * model.v * (pooled > 0)
+        for n, k in enumerate(WIDTHS):
+            if k not in where:
+                continue
+            g = back[n * FILTERS : (n + 1) * FILTERS]
+            gc[k] += g
+            for j in range(k):
+                picked = ids[where[k] + j]
+                gW[k][j] += model.E[picked].sum(1).T * g
+                rows.append(picked.ravel())
+                grads.append(np.repeat(g[:, None] * model.W[k][j].T, 3, axis=0))
+    return gW, gc, gv, gb, rows, grads
+
+
 def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model:
-    """Stochastic gradient descent (Adagrad) on log loss; the gradient of a filter flows to its largest window only."""
+    """Stochastic gradient descent (Adagrad) on log loss."""
     model, rng = Model(seed), np.random.default_rng(seed)
     sums = {"E": np.full((BUCKETS, 1), 0.1, np.float32), "v": np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), "b": 0.1}
     sums |= {("W", k): np.full_like(model.W[k], 0.1) for k in WIDTHS} | {("c", k): np.full(FILTERS, 0.1, np.float32) for k in WIDTHS}
@@ -135,33 +170,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model
     for epoch in range(epochs):
         rate = RATE * (1 - 0.7 * epoch / epochs)
         for lot in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
-            gW, gc = {k: np.zeros_like(model.W[k]) for k in WIDTHS}, {k: np.zeros_like(model.c[k]) for k in WIDTHS}
-            # Each step also sees a text without words, which is not toxic: its logit is the bias.
-            gv, gb, rows, grads = np.zeros_like(model.v), 1 / (1 + np.exp(-model.b)) / len(lot), [], []
-            for i in lot:
-                ids = texts[i]
-                maps = model.maps(ids)
-                pooled, where = np.zeros(len(model.v), np.float32), {}
-                for n, k in enumerate(WIDTHS):
-                    if k in maps and len(maps[k]):
-                        where[k] = maps[k].argmax(0)
-                        pooled[n * FILTERS : (n + 1) * FILTERS] = maps[k][where[k], np.arange(FILTERS)]
-                on = np.maximum(pooled, 0)
-                p = 1 / (1 + np.exp(-np.clip(on @ model.v + model.b, -30, 30)))
-                d = np.float32((p - toxic[i]) * weight[i] / len(lot))
-                gv += d * on
-                gb += d
-                back = d * model.v * (pooled > 0)
-                for n, k in enumerate(WIDTHS):
-                    if k not in where:
-                        continue
-                    g = back[n * FILTERS : (n + 1) * FILTERS]
-                    gc[k] += g
-                    for j in range(k):
-                        picked = ids[where[k] + j]
-                        gW[k][j] += model.E[picked].sum(1).T * g
-                        rows.append(picked.ravel())
-                        grads.append(np.repeat(g[:, None] * model.W[k][j].T, 3, axis=0))
+            gW, gc, gv, gb, rows, grads = gradients(model, [texts[i] for i in lot], toxic[lot], weight[lot])
             for k in WIDTHS:
                 for name, g, at in (("W", gW[k] + 1e-4 * model.W[k], model.W), ("c", gc[k], model.c)):
                     sums[name, k] += g * g
@@ -209,55 +218,62 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
-        rows = [features(x) for x in texts]
-        lang = [int(_guess(x)) for x in texts]
-        made = pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(lang, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "toxic", "guess", "ids"]
-        )
-        yield made.filter(pa.array([len(r) <= LONGEST for r in rows], pa.bool_()))
+        for i, text in enumerate(batch.column("text")):
+            ids = features(np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and text.as_buffer().size else np.zeros(0, np.uint8))
+            one = [batch.column(c).slice(i, 1) for c in ("doc_id", "toxic")]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["doc_id", "toxic", "n", "ids"])
 
 
-_GUESSER: list[Model] = []
+def _calibrated(model):
+    """A task that gives the logit of each whole text and the language that it is taken for."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in batches:
+            logit, guess = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int32)
+            for i in range(batch.num_rows):
+                at, lang = score_block(m, batch.column("text"), [i])
+                logit[i], guess[i] = at[0], lang[0]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(logit), pa.array(guess)], names=["doc_id", "toxic", "logit", "guess"])
 
-def _guess(text: bytes) -> int:
-    if not _GUESSER:
-        _GUESSER.append(Model())
-    found = np.concatenate([words(x)[0][:, 0] for x in pieces(np.frombuffer(text, np.uint8), _WORD)])
-    return _GUESSER[0].languages(found, np.zeros(len(found), int), 1)[0]
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` labelled documents of either label and calibrates on as many others.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, word_budget: int = WORD_BUDGET) -> Model:
+    """Trains and calibrates on at most ``2 * sample`` labelled documents of either label.
 
-    Only rows whose crc32 of the id is no multiple of 5 are looked at. Both sets are those of lowest id hash, so reruns
-    agree. What comes to the driver is bounded by the parameters: word hashes of those documents. Without labels of
-    both kinds the model is untrained and scores everything below one half.
+    Only rows whose crc32 of the id is no multiple of 5 are looked at. An id with both labels is toxic; of several
+    texts of one id that with the smallest hash counts. Documents come in the order of their ids' hashes, so reruns
+    agree: two of three train, as whole texts, until those before them of their label hold ``word_budget`` words; the
+    third, also whole, sets the thresholds on the executors. What comes to the driver is bounded by the parameters:
+    word hashes of the former, a logit each of the latter. Without labels of both kinds, or words of both, the model is
+    untrained and scores everything below one half.
     """
     lean_batches(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string"))
     pick = lambda y: known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(2 * sample)
     picked = pick(0).unionByName(pick(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_features, "doc_id long, toxic int, guess int, ids binary").collect()
-    rows.sort(key=lambda r: (_sort_hash(r.doc_id), bytes(r.ids)))
+    # Reduced on the map side, so an id that very many rows have gives one text a task.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", text_hash()).alias("text"))
+    texts = written(texts.withColumn("trains", F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2), "toxicity-texts")
+    before = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = written(texts.filter("trains").mapInArrow(_features, "doc_id long, toxic int, n long, ids binary"), "toxicity-words")
+    sizes = found.select("doc_id", "toxic", "n").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = found.join(sizes.filter(F.col("before") < word_budget).select("doc_id"), "doc_id").select("doc_id", "toxic", "ids").toArrow()
+    rows = sorted(zip(*(rows.column(c).to_pylist() for c in rows.column_names), strict=True), key=lambda r: (_sort_hash(r[0]), r[0]))
     model = Model()
-    toxic = np.array([r.toxic for r in rows], np.float32)
+    toxic = np.array([r[1] for r in rows], np.float32)
     if not len(rows) or toxic.min() == toxic.max():
         model.v[:] = 0
         model.b = -1.0
         return model
-    texts = [np.frombuffer(r.ids, np.int32).reshape(-1, 3) for r in rows]
-    guess = np.array([r.guess for r in rows])
-    # Two of three train; the thresholds are set on the third, which the weights have not seen.
-    trains = np.arange(len(rows)) % 3 < 2
-    model = train([t for t, x in zip(texts, trains, strict=True) if x], toxic[trains])
-    rest = np.flatnonzero(~trains)
-    if len(rest):
-        bounds = np.concatenate([[0], np.cumsum([len(texts[i]) for i in rest])])
-        logits = model.logit(model.pool(np.concatenate([texts[i] for i in rest]), bounds))
-        calibrate(model, logits, toxic[rest], guess[rest])
+    model = train([np.frombuffer(r[2], np.int32).reshape(-1, 3) for r in rows], toxic)
+    spark = docs.sparkSession
+    rest = texts.filter("not trains").mapInArrow(_calibrated(spark.sparkContext.broadcast(model)), "doc_id long, toxic int, logit double, guess int").toArrow()
+    if rest.num_rows:
+        calibrate(model, *(rest.column(c).to_numpy() for c in ("logit", "toxic", "guess")))
     return model
 
 
@@ -276,7 +292,9 @@ def _scored(model, keep: list[str]):
             lot, size = [], 0
             for i in range(batch.num_rows + 1):
                 if i == batch.num_rows or size > BLOCK:
-                    score_block(m, at, texts, lot, scores)
+                    if lot:
+                        logit, lang = score_block(m, texts, lot)
+                        scores[lot] = 1 / (1 + np.exp(-np.clip(logit - at[lang], -30, 30)))
                     lot, size = [], 0
                 if i < batch.num_rows:
                     lot.append(i)
@@ -286,7 +304,8 @@ def _scored(model, keep: list[str]):
     return run
 
 
-def score_block(m: Model, at: np.ndarray, texts, lot: list[int], scores: np.ndarray) -> None:
+def score_block(m: Model, texts, lot: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and guessed language of the texts numbered ``lot``."""
     ids, langs, counts = [], [], []
     for i in lot:
         text = np.frombuffer(texts[i].as_buffer(), np.uint8) if texts[i].is_valid and len(texts[i].as_buffer()) else np.zeros(0, np.uint8)
@@ -295,11 +314,9 @@ def score_block(m: Model, at: np.ndarray, texts, lot: list[int], scores: np.ndar
         ids.append((found % np.uint64(BUCKETS)).astype(np.int32))
         langs.append(found[:, 0])
         counts.append(len(found))
-    if lot:
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        pooled = m.pool(np.concatenate(ids), bounds)
-        lang = m.languages(np.concatenate(langs), np.repeat(np.arange(len(lot)), counts), len(lot))
-        scores[lot] = 1 / (1 + np.exp(-np.clip(m.logit(pooled) - at[lang], -30, 30)))
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    lang = m.languages(np.concatenate(langs), np.repeat(np.arange(len(lot)), counts), len(lot))
+    return m.logit(m.pool(np.concatenate(ids), bounds)), lang
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

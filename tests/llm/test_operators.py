@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moundline.llm import ann, bpe, embeddings, html, jaccard, lines, mixing, suffixes, toxicity, urls
+from moundline.llm import ann, bpe, embeddings, hashing, html, jaccard, lines, mixing, suffixes, toxicity, urls
 
 DOCS = "doc_id long, text string, source string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -315,6 +316,81 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), blank).count() == 0 and toxicity.score(docs, blank).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_of_odd_labels(spark, monkeypatch):
+    """Labels that disagree, ids with several texts, and documents beyond the word budget, in training too."""
+    monkeypatch.setattr(toxicity, "STEPS", 300)
+    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    rng = random.Random(8)
+    base = "the of and to in".split() + WORDS[:100]
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    made, labels = [], []
+    for n, i in enumerate(ids):
+        words = [rng.choice(base) for _ in range(40)] + [rng.choice(base) for _ in range(4000)] * (n % 40 == 0)
+        made.append((i, " ".join([*words, "vilest"] if n % 2 else words)))
+        labels += [(i, n % 2), (i, 0)][: 1 + n % 2]  # toxic ones are marked 0 as well
+    made += [(ids[0], "zz some other text")] * 300
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for budget in (100_000, 3_000):
+        model = toxicity.fit(docs, known, word_budget=budget)
+        got = {r.doc_id: r.predicted for r in toxicity.score(docs.filter("text not like 'zz%'"), model).collect()}
+        assert sum(got[i] == n % 2 for n, i in enumerate(ids)) > 0.97 * len(ids)
+    again = toxicity.fit(docs.repartition(2), known.repartition(3), word_budget=3_000)
+    assert np.array_equal(again.E, model.E) and again.at == model.at
+
+
+def test_gradients_against_differences():
+    model, rng = toxicity.Model(), np.random.default_rng(1)
+    for part in (model.W, model.c):
+        for k in part:
+            part[k] = part[k].astype(np.float64)
+    model.E, model.v = rng.normal(0, 0.5, model.E.shape), model.v.astype(np.float64)
+    texts = [rng.integers(0, 60, (n, 3)).astype(np.int32) for n in (0, 1, 2, 5, 30)]
+    toxic, weight = np.array([0, 1, 0, 1, 1.0]), np.array([0.7, 1.3, 0.7, 1.3, 1.3])
+
+    def loss():
+        out = np.log1p(np.exp(model.b))
+        for ids, y, w in zip(texts, toxic, weight, strict=True):
+            maps = model.maps(ids)
+            pooled = np.concatenate([maps[k].max(0) if k in maps and len(maps[k]) else np.zeros(toxicity.FILTERS) for k in toxicity.WIDTHS])
+            z = np.maximum(pooled, 0) @ model.v + model.b
+            out += w * (np.log1p(np.exp(z)) - y * z)
+        return out / len(texts)
+
+    gW, gc, gv, gb, rows, grads = toxicity.gradients(model, texts, toxic, weight)
+    gE = np.zeros_like(model.E)
+    np.add.at(gE, np.concatenate(rows), np.concatenate(grads))
+    for k in toxicity.WIDTHS:
+        for array, grad in ((model.W[k], gW[k]), (model.c[k], gc[k]), (model.v, gv), (model.E[:60], gE)):
+            for at in [tuple(rng.integers(0, s) for s in array.shape) for _ in range(12)]:
+                held, step = array[at], 1e-5
+                array[at] = held + step
+                up = loss()
+                array[at] = held - step
+                down = loss()
+                array[at] = held
+                assert math.isclose((up - down) / (2 * step), grad[at], rel_tol=1e-2, abs_tol=1e-4)
+    model.b += 1e-5
+    up = loss()
+    model.b -= 2e-5
+    assert math.isclose((up - loss()) / 2e-5, gb, rel_tol=1e-3)
+
+
+def test_words_of_any_length(monkeypatch):
+    as_bytes = lambda t: np.frombuffer(t.encode(), np.uint8)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abé") for _ in range(rng.choice([1, 3, 15, 16, 17, 40, 65]))) for _ in range(200)]
+    text = as_bytes(" ".join(words) + "  ")
+    whole, marks = hashing.word_hashes(text), toxicity.features(text)
+    assert len(whole) == 200 and len(set(whole.tolist())) == len(set(words))
+    for block in (16, 64):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert np.array_equal(hashing.word_hashes(text), whole) and np.array_equal(toxicity.features(text), marks)
+    monkeypatch.undo()
+    assert len(hashing.word_hashes(as_bytes("x " + "y" * 300_000))) == 2 and len(toxicity.features(as_bytes("y" * 600_000))) == 1
+
+
 def test_pooling_in_blocks(monkeypatch):
     rng = np.random.default_rng(0)
     model = toxicity.Model()
@@ -366,6 +442,22 @@ def plain_targets(sizes):
         open_ -= full
 
 
+def test_mixing_of_repeated_rows(spark):
+    given = [(1, "one two three", "a")] * 1000 + [(2, "a b", "b")] * 3 + [(3, "c", "b")] + [(4, None, None)] * 5 + [(5, "x y", "c"), (6, "x", "c")]
+    df = spark.createDataFrame(given, DOCS).withColumn("extra", F.monotonically_increasing_id())
+    for parts in (1, 7):
+        got = mixing.mix(df.repartition(parts)).collect()
+        taken, target, largest = Counter(), {}, Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            largest[r.source] = max(largest[r.source], r.size)
+            assert r.taken <= 2 * r.size and r.taken == r.size * r.copies
+        assert sorted(r.extra for r in got) == sorted(r.extra for r in df.collect())
+        assert all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in taken)
+        assert abs(taken["a"] - target["a"]) <= 1.5 and target["a"] % 3000
+
+
 def test_mixing(spark, rows):
     given = rows + [(1000 + i, "one two three " * (i % 7), f"t{i % 11}") for i in range(400)]
     df = spark.createDataFrame(given, DOCS).withColumns({"size": F.lit("x"), "base": F.lit(5), "skey": F.lit(6)})
