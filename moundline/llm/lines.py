@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,41 +12,29 @@ from moundline.llm.common import table, text_hash, written
 MIN_LINES, MIN_WORDS = 3, 50
 
 
-def _units(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """A row for each window of ``min_lines`` lines and for each shorter run of lines that together have ``min_words`` words.
+def _fingerprints(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """A row for each selected window minimum: doc_id, h (hash of the text), p (its line), fp (the line's hash) and extents.
 
-    doc_id, h: the document; i, n: first line and number of lines; k1, k2: 128 bits of hash over the lines' text;
-    fp: the winnowed fingerprint, the least line hash of the window (the leftmost of equal ones), of a shorter run the
-    hash of its lines; fresh: whether the window before has another one.
+    Windows are all runs of ``min_lines`` lines and all shorter ones that together have ``min_words`` words; each selects
+    its least line hash, the leftmost of equal ones. So two equal windows have a fingerprint at the same place: it is
+    guaranteed. extents: the windows that selected it, as lines before it (l) and after it (r) with 128 bits of hash over their text (k1, k2).
     """
-    lines = F.split(F.col("text"), "\n", -1)
-    d = docs.select("doc_id", text_hash().alias("h"), lines.alias("lines")).filter("lines is not null")
-    d = d.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
-    windows = F.when(F.size("lines") >= min_lines, F.sequence(F.lit(0), F.size("lines") - min_lines)).otherwise(F.array().cast("array<int>"))
-
-    def minimum(i: Column) -> Column:
-        return F.array_min(F.array(*[F.struct(F.get("hs", i + j).alias("v"), (i + j).alias("p")) for j in range(min_lines)]))
-
-    d = d.withColumn("m", F.transform(windows, minimum))
-    join = lambda i, tail: F.xxhash64(*[F.get("lines", i + j) for j in range(min_lines)], *tail)
-    window = lambda m, i: F.struct(
-        i.alias("i"), F.lit(min_lines).alias("n"), join(i, []).alias("k1"), join(i, [F.lit("2")]).alias("k2"), m["v"].alias("fp"),
-        ((i == 0) | (F.get("m", i - 1)["p"] != m["p"])).alias("fresh"),
-    )
-    at_windows = d.select("doc_id", "h", F.inline(F.transform("m", window)))
-    folded = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    n_words = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
-    short = d.select("doc_id", "h", "lines", F.transform("lines", lambda x: n_words(folded(x))).alias("words"))
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(0), F.size("lines") - n)).otherwise(F.array().cast("array<int>"))
-        held = F.filter(starts, lambda i: sum((F.get("words", i + j) for j in range(1, n)), F.get("words", i)) >= min_words)
-        key = lambda i, tail: F.xxhash64(*[F.get("lines", i + j) for j in range(n)], *tail)
-        return F.transform(held, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), key(i, []).alias("k1"), key(i, [F.lit("1")]).alias("k2"), key(i, []).alias("fp"), F.lit(True).alias("fresh")))
-
-    if min_lines > 1:
-        at_windows = at_windows.unionByName(short.select("doc_id", "h", F.inline(F.concat(*[runs(n) for n in range(1, min_lines)]))))
-    return at_windows
+    d = docs.select("doc_id", text_hash().alias("h"), F.split(F.col("text"), "\n", -1).alias("lines")).filter("lines is not null")
+    d = d.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "words": F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+")))})
+
+    def extent(p: Column, before: int, after: int) -> Column:
+        near = range(-before, after + 1)
+        # Beyond the ends of the text get() is null, and so is the condition.
+        least = reduce(Column.__and__, [F.get("hs", p + j) > F.get("hs", p) if j < 0 else F.get("hs", p + j) >= F.get("hs", p) for j in near])
+        if before + after + 1 < min_lines:
+            least = (reduce(Column.__add__, [F.get("words", p + j) for j in near]) >= min_words) & least
+        text = [F.get("lines", p + j) for j in near]
+        # The tag comes first, as each hash goes on from the one before: the two are independent.
+        return F.when(least, F.struct(F.lit(before).alias("l"), F.lit(after).alias("r"), F.xxhash64(F.lit("1"), *text).alias("k1"), F.xxhash64(F.lit("2"), *text).alias("k2")))
+
+    shapes = [(before, n - 1 - before) for n in range(1, min_lines + 1) for before in range(n)]
+    at = lambda p: F.struct(p.alias("p"), F.get("hs", p).alias("fp"), F.filter(F.array(*[extent(p, *s) for s in shapes]), lambda x: x.isNotNull()).alias("extents"))
+    return d.select("doc_id", "h", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), at))).filter(F.size("extents") > 0)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -54,17 +44,19 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     together, that also starts earlier: in a document of smaller doc_id (null first; of equal ids that with the smaller text hash) or
     further up in its own. What is first stays. Lines end at ``\\n`` and are compared as they are.
 
-    Every window of ``min_lines`` lines gives its least line hash as a fingerprint, every shorter run of enough words its
-    own: a shared run always shares one. Fingerprints that occur once are dropped; around the others the match is extended by the
-    windows to both sides, each held against the first place of the same window. Groups are reduced with min and count
-    on the map side and joined to one row, so a line that a third of all documents hold makes neither pairs nor a hot
-    task. Null text stays null with 0 lines; an empty text is one empty line; rows that repeat doc_id and text are
-    treated alike; columns called n_lines or n_removed are replaced.
+    Only the window minima are written, as fingerprints with their positions. Those that occur once are dropped. From
+    each position of the others the match is extended by lines to both sides, to every extent that its windows have;
+    positions whose extents are equal are joined to the first of them, and the later ones' lines go. Overlapping extents
+    make up runs of any length. Groups are reduced with min and count on the map side and joined to one row, so a line
+    that a third of all documents hold makes neither pairs nor a hot task. Null text stays null with 0 lines; an empty
+    text is one empty line; rows that repeat doc_id and text are treated alike; columns called n_lines or n_removed are
+    replaced.
     """
-    units = written(_units(docs, min_lines, min_words), "line-units")
+    marks = written(_fingerprints(docs, min_lines, min_words), "line-fingerprints")
     # The counted sides are written, so that each join stands between two exchanges and Spark splits a hot key of it.
-    repeated = written(units.filter("fresh").groupBy("fp").count().filter("count > 1").select("fp"), "line-fingerprints")
-    near = units.join(repeated, "fp", "left_semi").select("k1", "k2", F.struct("doc_id", "h", "i").alias("at"), "n")
+    repeated = written(marks.groupBy("fp").count().filter("count > 1").select("fp"), "line-repeated")
+    near = marks.join(repeated, "fp", "left_semi").select("doc_id", "h", "p", F.inline("extents"))
+    near = written(near.select("k1", "k2", F.struct("doc_id", "h", (F.col("p") - F.col("l")).alias("i")).alias("at"), (F.col("l") + F.col("r") + 1).alias("n")), "line-positions")
     first = near.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     first = written(first, "line-firsts")
     later = near.join(first, ["k1", "k2"]).filter(~F.col("at").eqNullSafe(F.col("first")))
@@ -75,8 +67,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     lines = F.split(F.col("text"), "\n", -1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__cut"), lambda i: F.get("__lines", i))
-    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long"), "__lines": F.when(F.col("__cut").isNotNull(), lines)})
-    out = out.withColumn("n_removed", F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.col("n_removed")).cast("long"))
+    gone = F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size("__cut"))
+    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": gone.cast("long"), "__lines": F.when(F.col("__cut").isNotNull(), lines)})
     return out.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__id", "__h", "__cut", "__lines")
 
 
@@ -90,10 +82,11 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
 w AS (
   SELECT doc_id, i, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3,
-         len(string_split(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')) AS words
+         len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words, len(regexp_extract_all(lead(line, 1) OVER o, '[^ \t\n\x0B\f\r]+')) AS words2
   FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 u AS (
   SELECT doc_id, i, 3 AS n, line || chr(10) || l2 || chr(10) || l3 AS k FROM w WHERE l3 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 2, line || chr(10) || l2 FROM w WHERE l2 IS NOT NULL AND words + words2 >= 50
   UNION ALL SELECT doc_id, i, 1, line FROM w WHERE words >= 50),
 f AS (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, i) AS r FROM u),
 c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, (VALUES (0), (1), (2)) AS t(j) WHERE r > 1 AND j < n),

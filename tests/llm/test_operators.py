@@ -145,8 +145,10 @@ def plain_lines(rows, min_lines=3, min_words=50):
     for doc_id, text in order:
         ls, gone = text.split("\n"), set()
         for i in range(len(ls)):
-            units = [(min_lines, tuple(ls[i : i + min_lines]))] * (i + min_lines <= len(ls)) + [(1, (ls[i],))] * (len(ls[i].split()) >= min_words)
-            for n, key in units:
+            for n in range(1, min_lines + 1):
+                key = tuple(ls[i : i + n])
+                if len(key) < n or (n < min_lines and sum(len(x.split()) for x in key) < min_words):
+                    continue
                 if key in seen:
                     gone |= set(range(i, i + n))
                 seen.add(key)
