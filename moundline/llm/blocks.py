@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundline.llm.common import tasks_for
+from moundline.llm.common import tasks_for, written
 
 
 def in_blocks(rows: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
@@ -19,7 +19,8 @@ def in_blocks(rows: DataFrame, group: list[str], member: str, size: int) -> Data
     block, rows of ca on side 0 and those of cb on side 1 (side 0 alone where they are the same chunk). So a block has
     about 2 * size rows however large its group is, and every pair of a group meets in exactly one block.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n > 1")
+    # Written, so that the join stands between two exchanges and Spark splits a hot group.
+    sizes = written(rows.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n > 1"), "group-sizes")
     chunks = F.ceil(F.col("__n") / size).cast("int")
     own = F.pmod(F.xxhash64(F.col(member), F.lit("chunk")), F.col("__chunks")).cast("int")
     dealt = rows.join(sizes, group).withColumn("__chunks", chunks).withColumn("__own", own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from moundline.llm.common import lean_batches, table, text_hash, written
 from moundline.llm.components import components
 from moundline.llm.hashing import shingles, word_hashes
 
-#: Words of a shingle, similarity of a link, trees of the forest and minima in each, recall that prefixes are shortened for.
-WORDS, SIMILARITY, TREES, DEPTH, RECALL, SEED = 5, 0.8, 16, 4, 0.9999, 3
+#: Words of a shingle, similarity of a link, trees of the forest and minima in each, recall that prefixes are shortened for, documents with a match that it is measured on at least.
+WORDS, SIMILARITY, TREES, DEPTH, RECALL, MEASURED, SEED = 5, 0.8, 16, 4, 0.9999, 1_000, 3
 #: How far below the similarity an estimate from all minima may lie (four standard errors); sides of blocks; bytes of results after which a batch goes on.
 SLACK, CHUNK, EXACT_CHUNK, COLUMNS = 0.2, 512, 256, 8_192
 
@@ -32,12 +33,9 @@ def minima(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def prefix_depth(similarity: float, recall: float = RECALL) -> int:
-    """Prefixes start at full depth and are shortened until pairs at the similarity share one in some tree with this recall."""
-    for depth in range(DEPTH, 1, -1):
-        if 1 - (1 - similarity**depth) ** TREES >= recall:
-            return depth
-    return 1
+def found_at(similarity, depth: int):
+    """The probability that two sets of this similarity share a prefix of ``depth`` minima in one of the trees."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
 def _read(text: pa.Scalar, words: int) -> np.ndarray:
@@ -67,12 +65,16 @@ def _signed(words: int):
     return run
 
 
-def _near(similarity: float):
-    """A task over blocks of documents that share a prefix: links to the root of those whose sizes and whole signatures allow the similarity."""
+def _near(similarity: float, depth: int):
+    """A task over blocks of a node of the tries: links to the root of those whose sizes and whole signatures allow the similarity.
+
+    alike: by its signature, the similarity of a document's least similar match in the block. Two documents of one child
+    of the node have met there before; only others are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_, b_ = [], []
-        for g in arrays(batches, ["tree", "prefix", "ca", "cb"], ("sig",)):
+        out = [[], [], []]
+        for g in arrays(batches, [*prefix(depth), "ca", "cb"], ("sig",)):
             one, cid, n, sig = g["ca"][0] == g["cb"][0], g["cid"], g["n"].astype(float), g["sig"]
             a, b = (np.arange(len(cid)),) * 2 if one else (np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1))
             if len(a) * len(b) <= 4096:
@@ -81,17 +83,25 @@ def _near(similarity: float):
                 same = np.zeros((len(a), len(b)), np.int16)
                 for k in range(sig.shape[1]):
                     same += sig[a, k][:, None] == sig[b, k][None, :]
-            i, j = np.nonzero(same >= (similarity - SLACK) * sig.shape[1])
-            i, j = a[i], b[j]
+            x, y = np.nonzero(same >= (similarity - SLACK) * sig.shape[1])
+            alike = same[x, y] / sig.shape[1]
+            i, j = a[x], b[y]
             fit = (i != j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            for x, y in _spanning(i[fit], j[fit], len(cid)):
-                a_.append(cid[x])
-                b_.append(cid[y])
-            if sum(map(len, a_)) > 50_000:
-                yield _pairs(a_, b_)
-                a_, b_ = [], []
-        if a_:
-            yield _pairs(a_, b_)
+            if depth < DEPTH:
+                child = g[f"m{depth}"]
+                fit &= child[i] != child[j]
+            i, j, alike = i[fit], j[fit], alike[fit]
+            weakest = np.ones(len(cid))
+            np.minimum.at(weakest, i, alike)
+            np.minimum.at(weakest, j, alike)
+            for x, y in _spanning(i, j, len(cid)):
+                for col, values in zip(out, (cid[x], cid[y], weakest[x]), strict=True):
+                    col.append(values)
+            if sum(map(len, out[0])) > 50_000:
+                yield _pairs(out)
+                out = [[], [], []]
+        if out[0]:
+            yield _pairs(out)
 
     return run
 
@@ -111,8 +121,42 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> Iterator[tuple[np.ndarray
         yield moved, label[moved]
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _pairs(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "alike"])
+
+
+def prefix(depth: int) -> list[str]:
+    return ["tree", *[f"m{j}" for j in range(depth)]]
+
+
+def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: float = RECALL, measured: int = MEASURED) -> tuple[DataFrame, int]:
+    """a, b: spanning links of candidate pairs among ``classes`` (cid, n, sig), and the depth at which the search ended.
+
+    Each tree of the forest is a trie of signatures: its minima in order, sorted. Documents first match in the nodes of full
+    depth. Then prefixes are shortened by one minimum at a time, in all trees together, and the children of each node
+    that has several of them are compared with each other, until the target recall: a match of similarity s is found at
+    depth d with the probability found_at(s, d), so those found stand for the sum of 1 / found_at of all there are.
+    With fewer than ``measured`` documents matched the measure is not trusted, and prefixes are shortened until matches
+    at the threshold itself have the recall. Nodes of any size are compared in blocks.
+    """
+    levels = [F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t, j=j: F.get("sig", t * DEPTH + j)).alias(f"m{j}") for j in range(DEPTH)]
+    trees = classes.select("cid", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)))
+    links, counts, depth = [], [], DEPTH
+    while True:
+        rows = trees.select("cid", *prefix(min(DEPTH, depth + 1)))
+        if depth < DEPTH:
+            child = f"m{depth}"
+            several = written(rows.groupBy(*prefix(depth)).agg(F.min(child).alias("x"), F.max(child).alias("y")).filter("x < y").select(*prefix(depth)), "forest-nodes")
+            rows = rows.join(several, prefix(depth), "left_semi")
+        dealt = in_blocks(rows, prefix(depth), "cid", chunk).join(classes.select("cid", "n", "sig"), "cid")
+        near = by_block(dealt, [*prefix(depth), "ca", "cb"]).mapInArrow(_near(similarity, depth), "a long, b long, alike double")
+        links.append(written(near, f"forest-links{depth}"))
+        weakest = reduce(DataFrame.unionByName, links).groupBy("a").agg(F.greatest(F.min("alike"), F.lit(similarity)).alias("s"))
+        there = 1 / (1 - F.pow(1 - F.pow("s", F.lit(depth)), F.lit(TREES)))
+        counts = weakest.agg(F.count("*").alias("found"), F.sum(there).alias("all")).first()
+        if depth == 1 or found_at(similarity, depth) >= recall or (counts["found"] >= measured and counts["found"] / counts["all"] >= recall):
+            return reduce(DataFrame.unionByName, links).select("a", "b"), depth
+        depth -= 1
 
 
 def _sets(words: int):
@@ -184,10 +228,11 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     counts the other documents linked directly, equal ones included; kept marks the one document of each class with
     the smallest doc_id (null first; then the smaller text hash).
 
-    Equal sets are one class first. Signatures form a forest: in each tree they are sorted by prefix, and the prefix is
-    shortened until the target recall; those under one prefix are compared by their whole signatures in blocks. What
-    may reach the similarity forms candidate groups, and their sets are intersected exactly, in blocks again. Blocks
-    give counts and spanning links, never pairs, so a group of copies of any size is whole and bounded in memory.
+    Equal sets (of 128 bits) are one class first. Signatures form a forest of sorted prefix tries, whose matched prefixes are
+    shortened until the target recall (forest_links); those under one prefix are compared by their whole signatures in
+    blocks. What may reach the similarity forms candidate groups, and their sets are intersected exactly, in blocks
+    again. Blocks give counts and spanning links, never pairs, so a group of copies of any size is whole and bounded in
+    memory.
 
     Null texts and texts without words have no shingles and link with nothing, each its own class. Rows that repeat
     doc_id and text are documents of their own that link as copies do, all of them kept or none. Other columns
@@ -196,16 +241,11 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
     signed = written(rows.mapInArrow(_signed(words), "doc_id long, h long, n int, s1 long, s2 long, sig array<int>"), "signatures")
-    cid = F.xxhash64("s1", "s2", "n")
-    some = signed.filter("n > 0").withColumn("cid", cid)
-    classes = some.groupBy("cid").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-
-    depth = prefix_depth(similarity)
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(F.slice("sig", t * DEPTH + 1, depth)))
-    thin = classes.select("cid", F.posexplode(prefixes).alias("tree", "prefix"))
-    dealt = in_blocks(thin, ["tree", "prefix"], "cid", chunk).join(classes.select("cid", "n", "sig"), "cid")
-    near = by_block(dealt, ["tree", "prefix", "ca", "cb"]).mapInArrow(_near(similarity), "a long, b long")
+    same = ["s1", "s2", "n"]
+    classes = signed.filter("n > 0").groupBy(*same).agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("sig").alias("sig"))
+    # Numbers of written rows, so that no two classes share one.
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    near, _ = forest_links(classes.select("cid", "n", "sig"), similarity, chunk)
     candidates = written(components(near), "candidates").select(F.col("node").alias("cid"), F.col("component").alias("grp"))
 
     wanted = candidates.join(classes, "cid").select("cid", "rep.doc_id", "rep.h")
@@ -217,15 +257,13 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    ids = classes.select("cid", "cnt", "rep").join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    ids = classes.select("cid", *same, "cnt", "rep").join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = ids.groupBy("component").agg(F.min("rep").alias("first"))
-    ids = ids.join(least, "component").join(counted, "cid", "left").select("cid", "first", "rep", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "h", "n", F.when(F.col("n") > 0, cid).alias("cid")).join(ids, "cid", "left")
-    alone = F.col("first").isNull()
-    return out.select(
-        "doc_id", "h", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | F.struct("doc_id", "h").eqNullSafe(F.col("first"))).alias("kept"),
-    )
+    ids = ids.join(least, "component").join(counted, "cid", "left").select(*same, "first", "rep", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    out = signed.filter("n > 0").select("doc_id", "h", *same).join(ids, same)
+    out = out.select("doc_id", "h", F.col("first.doc_id").alias("class_id"), F.col("rep.doc_id").alias("copy_id"), "n_links", F.struct("doc_id", "h").eqNullSafe(F.col("first")).alias("kept"))
+    alone = signed.filter("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

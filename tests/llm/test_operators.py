@@ -267,7 +267,11 @@ def plain_groups(rows, similarity=0.8):
     for i, r in enumerate(rows):
         first.setdefault(top[i], []).append(r[0])
     least = {t: None if None in ids else min(ids) for t, ids in first.items()}
-    return sorted(((r[0], count[i], least[top[i]]) for i, r in enumerate(rows)), key=repr)
+    copies = defaultdict(list)
+    for r, x in zip(rows, sets, strict=True):
+        copies[frozenset(x)].append(r[0])
+    copy = lambda i: rows[i][0] if not sets[i] else None if None in copies[frozenset(sets[i])] else min(copies[frozenset(sets[i])])
+    return sorted(((r[0], count[i], least[top[i]], copy(i), r[0] == least[top[i]]) for i, r in enumerate(rows)), key=repr)
 
 
 def test_jaccard(spark, rows):
@@ -282,9 +286,25 @@ def test_jaccard(spark, rows):
     df = spark.createDataFrame(given, DOCS).withColumn("n_links", F.lit("x"))
     for chunk, exact in ((512, 256), (7, 5)):
         got = jaccard.jaccard_groups(df, chunk=chunk, exact_chunk=exact)
-        assert everything(got.select("doc_id", "n_links", "class_id")) == plain_groups(given)
+        assert everything(got.select("doc_id", "n_links", "class_id", "copy_id", "kept")) == plain_groups(given)
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
-    assert jaccard.prefix_depth(0.8, 0.999) == 4 and jaccard.prefix_depth(0.5) < 4
+
+
+def test_forest_recall(spark):
+    """Measured on 1,500 true pairs each: prefixes are shortened where all lie near the threshold, and stay whole where enough of them are closer."""
+    rng = np.random.default_rng(4)
+    for low, high, ends in ((0.8, 0.82, 3), (0.8, 0.9, 4)):
+        sigs, n = [], []
+        for s in rng.uniform(low, high, 1500):
+            one = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+            differ = int(400 * (1 - s) / (1 + s))  # 2 * differ of 400 + differ are not shared
+            two = np.concatenate([one[differ:], rng.integers(0, 1 << 63, differ, dtype=np.uint64)])
+            sigs += [jaccard.minima(x).tolist() for x in (one, two)]
+            n += [400, 400]
+        classes = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(zip(n, sigs, strict=True))], "cid long, n int, sig array<int>")
+        links, depth = jaccard.forest_links(classes, 0.8, 512)
+        found = {(min(r), max(r)) for r in links.collect()}
+        assert depth == ends and all(a % 2 == 0 and b == a + 1 for a, b in found) and len(found) >= 0.999 * 1500
 
 
 # 8 -----------------------------------------------------------------------------------------------------------------
