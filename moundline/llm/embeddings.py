@@ -25,9 +25,9 @@ def usable(v: str = "embedding") -> Column:
 
 
 def tables_for(n: int, cosine: float) -> tuple[int, int]:
-    """Bits of a key and number of tables: about 64 rows a bucket if directions were spread evenly, and as many tables as miss at most MISS."""
+    """Bits of a key and number of tables: about 64 of the ``n`` vectors of the largest label in a bucket if directions were spread evenly, and as many tables as miss at most MISS."""
     same = 1 - math.acos(min(1.0, cosine)) / math.pi
-    bits = min(20, max(8, round(math.log2(max(1, n) / 64))))
+    bits = min(30, max(1, round(math.log2(max(1, n) / 64))))
     return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - same**bits))) if same < 1 else 1
 
 
@@ -108,10 +108,13 @@ def near_dedup(rows: DataFrame, cosine: float = 0.98, chunk: int = CHUNK) -> Dat
     """
     spark = rows.sparkSession
     rows = rows.drop("n_links", "component_id", "kept")
-    cid = F.when(usable() & F.col("label").isNotNull(), F.xxhash64("label", "embedding"))
-    classes = rows.select("vec_id", "label", "embedding", cid.alias("cid")).filter("cid is not null").groupBy("cid", "label", "embedding")
-    classes = written(classes.agg(F.count("*").alias("cnt"), F.min("vec_id").alias("rid")), "vectors")
-    bits, count = tables_for(classes.count(), cosine)
+    valid = usable() & F.col("label").isNotNull()
+    same = ["label", "embedding"]
+    # Numbers of written rows, so that no two classes share one.
+    classes = rows.filter(valid).groupBy(*same).agg(F.count("*").alias("cnt"), F.min("vec_id").alias("rid"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, count = tables_for(largest, cosine)
     base = classes.select("cid", F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "cnt", "embedding")
     signed = written(base.mapInArrow(_signed(bits, count), "cid long, label long, dim int, cnt long, embedding array<float>, sig array<int>"), "signs")
     thin = signed.select("cid", "label", "dim", F.posexplode("sig").alias("t", "key"))
@@ -120,14 +123,31 @@ def near_dedup(rows: DataFrame, cosine: float = 0.98, chunk: int = CHUNK) -> Dat
     found = written(found, "links-found")
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    ids = classes.select("cid", "cnt", "rid").join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    ids = classes.select("cid", *same, "cnt", "rid").join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = ids.groupBy("component").agg(F.min("rid").alias("component_id"))
     ids = ids.join(least, "component").join(counted, "cid", "left")
-    ids = ids.select(F.col("cid").alias("__cid"), (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.withColumn("__c", cid).join(ids, F.col("__c") == F.col("__cid"), "left").drop("__c", "__cid")
-    out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component_id": F.coalesce("component_id", "vec_id")})
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    ids = ids.select(*[F.col(c).alias(f"__{c}") for c in same], (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    linked = rows.filter(valid).join(ids, [F.col(c) == F.col(f"__{c}") for c in same]).drop(*[f"__{c}" for c in same])
+    linked = linked.withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    alone = rows.filter(~valid).withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id")})
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("embedding", "label")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (
+  SELECT *, len(e) AS dim, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.label = b.label AND a.dim = b.dim AND a.r <> b.r
+  WHERE CASE WHEN a.dim = b.dim THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) END >= 0.98),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS r, MIN(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+k AS (SELECT a AS r, COUNT(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, COALESCE(k.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN k USING (r)
+"""

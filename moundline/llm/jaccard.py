@@ -268,3 +268,18 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT r, COUNT(*) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, COUNT(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT o.a, o.b, k = x.n AND k = y.n AS equal FROM o JOIN n x ON x.r = o.a JOIN n y ON y.r = o.b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS r, MIN(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a),
+k AS (SELECT l.a AS r, COUNT(*) AS n_links, MIN(d.doc_id) FILTER (WHERE equal) AS twin FROM l JOIN d ON d.r = l.b GROUP BY l.a)
+SELECT d.doc_id, c.class_id, LEAST(d.doc_id, k.twin) AS copy_id, COALESCE(k.n_links, 0)::BIGINT AS n_links, d.doc_id IS NOT DISTINCT FROM c.class_id AS kept
+FROM d JOIN c USING (r) LEFT JOIN k USING (r)
+"""
