@@ -1,10 +1,11 @@
-"""python -m moundline --pitcher NAME --season YEAR: cleans what has landed, stores it, and writes a report."""
+"""python -m moundline --pitcher NAME --season YEAR: cleans what has landed, stores it, and writes a report; --smoke prints the checks instead, --summary what the raw file holds."""
 
 from __future__ import annotations
 
 import argparse
 import html
 import os
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,26 @@ def report(store: PitchStore, mlbam_id: int, season: int, name: str) -> str:
     return f"<!DOCTYPE html><meta charset='utf-8'><title>{html.escape(name)} {season}</title><h1>{html.escape(name)}, {season}</h1>{''.join(parts)}"
 
 
+def smoke(store: PitchStore, mlbam_id: int, season: int) -> bool:
+    """Prints the checks and the profile of a stored season; whether all checks passed."""
+    mine = store.load_pitcher_season(mlbam_id, season)
+    checks = quality.quality_checks(mine).collect()
+    for r in checks:
+        print("ok  " if r.ok else "FAIL", r.check)
+    print(mine.count(), "pitches;", *quality.speed_range(mine).first(), "mph")
+    metrics.pitch_mix_by_count(mine).show()
+    quality.value_counts(mine, "pitch_type").show()
+    return all(r.ok for r in checks)
+
+
+def summary(raw: DataFrame) -> None:
+    """Prints what a raw file holds: rows, types of games and pitches, and the columns that are mostly empty."""
+    print(raw.count(), "rows,", len(raw.columns), "columns")
+    for c in ("game_type", "pitch_type", "description"):
+        quality.value_counts(raw, c).show()
+    quality.null_fractions(raw).show()
+
+
 def main() -> None:
     ask = argparse.ArgumentParser(prog="moundline")
     ask.add_argument("--pitcher", required=True, help="name, or id with --player-id")
@@ -47,12 +68,14 @@ def main() -> None:
     ask.add_argument("--season", type=int, default=config.get("data.default_season"))
     ask.add_argument("--register", help="CSV of players, needed to find a name")
     ask.add_argument("--force-fetch", action="store_true")
+    ask.add_argument("--smoke", action="store_true", help="print the checks of the stored season")
+    ask.add_argument("--summary", action="store_true", help="print what the raw file holds, and stop")
     own = ask.parse_args()
     spark = local()
     ship(spark)
     store = PitchStore(spark)
     player = own.player_id or resolve_player(spark.read.option("header", True).csv(own.register), own.pitcher).mlbam_id
-    if own.force_fetch or not store.is_cached(player, own.season):
+    if own.force_fetch or own.summary or not store.is_cached(player, own.season):
         landed = os.path.join(config.resolve_path("data.landing_path"), f"{slug(own.pitcher)}_{own.season}_raw.csv.gz")
         if not os.path.exists(landed):
             landed = landed.removesuffix(".gz")
@@ -62,7 +85,12 @@ def main() -> None:
         check_not_html(spark, landed)
         raw = read_landing(spark, landed)
         check_columns(raw)
+        if own.summary:
+            summary(raw.drop(ORDINAL))
+            return
         store.save_pitches(prepare_for_storage(numeric_counts(raw), keep=(ORDINAL,)), player, own.season)
+    if own.smoke:
+        sys.exit(not smoke(store, player, own.season))
     folder = config.resolve_path("report.output_dir")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, f"{slug(own.pitcher)}_{own.season}.html")

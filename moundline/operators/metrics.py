@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from moundline import config
 from moundline.operators.clean import count_label
 from moundline.schema import FASTBALLS, MISSES, STRIKES, SWINGS
+from moundline.session import saved
 
 
 def _share(of: list[str], total: list[str]) -> Column:
@@ -64,10 +65,11 @@ def folded_arsenal(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def arsenal_summary(df: DataFrame) -> DataFrame:
-    """pitcher, pitch_type, n, usage, mean_speed, swings, whiff_rate (misses of swings; null without one)."""
+    """pitcher, pitch_type, n, usage, mean_speed, mean_spin, mean_pfx_x, mean_pfx_z (movement), swings, whiff_rate (misses of swings; null without one)."""
     swung, missed = F.col("description").isin(SWINGS), F.col("description").isin(MISSES)
     per = df.groupBy("pitcher", "pitch_type").agg(
-        F.count("*").alias("n"), F.avg("release_speed").alias("mean_speed"), F.count_if(swung).alias("swings"), F.avg(F.when(swung, missed.cast("double"))).alias("whiff_rate")
+        F.count("*").alias("n"), F.avg("release_speed").alias("mean_speed"), F.avg("release_spin_rate").alias("mean_spin"),
+        F.avg("pfx_x").alias("mean_pfx_x"), F.avg("pfx_z").alias("mean_pfx_z"), F.count_if(swung).alias("swings"), F.avg(F.when(swung, missed.cast("double"))).alias("whiff_rate")
     )
     return per.withColumn("usage", _share(["pitch_type"], ["pitcher"]))
 
@@ -195,6 +197,8 @@ def takeaways(df: DataFrame, most: int | None = None, gates: dict[str, int] | No
     ``thresholds`` go before the settings of the same names.
     """
     most = config.get("report.max_takeaways") if most is None else most
+    # Eight flags read these columns, so what they come from is planned and computed once.
+    df = saved(df.select("pitcher", "batter", "game_pk", "at_bat_number", "pitch_number", "balls", "strikes", "pitch_type", "description", "stand", "zone", "release_speed", "estimated_woba_using_speedangle"), "takeaways")
     n, at = (gates or {}).get, lambda name: _limit(name, (thresholds or {}).get(name))
 
     def flag(name: str, rows: DataFrame, detail: list[str], value: str, baseline: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Checks and profiles of a pitch table, each in one pass."""
+"""Checks and profiles of a pitch table."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def _all(c: Column) -> Column:
 
 
 def quality_checks(df: DataFrame) -> DataFrame:
-    """check, ok: one row a check. A null fails a check, an empty table passes all of them."""
+    """check, ok: one row a check. A null fails a check, an empty table passes all of them. Two scans: one for the rows, one for their keys; each ends as one row."""
     checks = {
         "legal_counts": F.col("balls").between(0, 3) & F.col("strikes").between(0, 2),
         "no_null_types": F.col("pitch_type").isNotNull(),

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundline.functions import names
 from moundline.functions.coercion import coerce
 from moundline.operators import clean, metrics, quality
 from moundline.operators.dedup import keep_last, upsert
 from moundline.plans.projection import DUCKDB_SQL, ORDINAL, OUTCOMES, raw_pitches, table, with_outcomes
-from moundline.schema import FETCH_LOG, FIELDS, FOLDED, NAMES, PITCH_KEY, PITCHES
-from moundline.sources import store
+from moundline.schema import FETCH_LOG, FIELDS, FOLDED, LOG_KEY, NAMES, PITCH_KEY, PITCHES
+from moundline.session import scratch
+from moundline.sources import landing, players, store
+from moundline.sources.store import ORDINAL as ORDINAL_OF_FILES
 
 CLOCK = dt.datetime(1998, 6, 1, 12)
 KEYS = ["game_pk", "at_bat_number", "pitch_number", "pitcher"]
+FIRST_NAMES, LAST_NAMES = ["josé", "JUAN", "o'neil", "Zoë"], ["Ramírez", "de la Cruz", "smith-jones", "Núñez"]
 
 
 # DataFrames --------------------------------------------------------------------------------------------------------
@@ -63,10 +68,45 @@ def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cleaned(spark, sf_dir).select(*KEYS, "release_speed")
-    current = df.filter("pitcher % 2 = 1")
-    staged = df.filter("pitch_number <= 3").withColumn("release_speed", F.col("release_speed") + 1000)
-    return upsert(current, staged, PITCH_KEY)
+    """All pitches again, faster: those of even pitchers under their keys, those of odd ones under new keys."""
+    current = cleaned(spark, sf_dir).select(*KEYS, "release_speed")
+    new = F.when(F.col("pitcher") % 2 == 1, F.col("game_pk") + 1_000_000_000).otherwise(F.col("game_pk"))
+    return upsert(current, current.withColumns({"game_pk": new, "release_speed": F.col("release_speed") + 1000}), PITCH_KEY)
+
+
+def log_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries fetched again a day later: every third for another season, so those are new and the old ones stay."""
+    old = log(spark, sf_dir)
+    new = {"season": F.when(F.col("mlbam_id") % 3 == 0, F.col("season") + 100).otherwise(F.col("season")).cast("int"), "row_count": F.col("row_count") + 1, "fetched_at": F.expr("fetched_at + INTERVAL 1 DAY")}
+    return upsert(old, old.withColumns(new), LOG_KEY)
+
+
+def register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register of players, seasons as text like in the source; some without an id, names that several have."""
+    of = lambda key, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey")).alias("key_mlbam"), of("c_custkey", *FIRST_NAMES).alias("name_first"), F.concat(of("c_nationkey", *LAST_NAMES), (F.col("c_custkey") % 11).cast("string")).alias("name_last"),
+        F.lit("1990.0").alias("mlb_played_first"), F.when(F.col("c_custkey") % 4 > 0, F.concat((F.col("c_custkey") % 31 + 1990).cast("string"), F.lit(".0"))).alias("mlb_played_last"),
+    )
+
+
+def player_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each form of a name that a search or a file name needs."""
+    df = register(spark, sf_dir).select("key_mlbam", F.concat_ws(" ", F.lit(" "), "name_first", "name_last").alias("name"))
+    first, last = names.first_and_last(F.col("name"))
+    return df.select("key_mlbam", "name", names.strip_accents_column("name").alias("plain"), names.title_column("name").alias("title"), names.slug_column(F.trim("name")).alias("slug"), first.alias("first"), last.alias("last"))
+
+
+_LANDED = ["game_pk", "at_bat_number", "pitch_number", "pitcher", "game_date", "game_type", "pitch_type", "description", "stand", "p_throws"]
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projected pitches as gzip CSV files with missing tokens in three columns, read back as a source's files are."""
+    path = f"{scratch(spark)}/landed-{uuid.uuid4().hex}"
+    df = raw_pitches(spark, sf_dir).select(*_LANDED)
+    df = df.withColumns({"description": F.coalesce("description", F.lit("NA")), "game_type": F.coalesce("game_type", F.lit("null")), "pitch_type": F.coalesce("pitch_type", F.lit("nan"))})
+    df.write.option("header", True).option("compression", "gzip").csv(path)
+    return landing.read_landing(spark, path).drop(ORDINAL_OF_FILES)
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +115,10 @@ def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship in Spark SQL with a bound parameter."""
-    cleaned(spark, sf_dir).createOrReplaceTempView("pitches")
     return spark.sql(
         "SELECT CAST(balls AS INT) || '-' || CAST(strikes AS INT) AS count, COUNT(*) AS pitches,"
         " ROUND(100.0D * SUM(CASE WHEN pitch_type IN ('FF', 'SI', 'FC') THEN 1 ELSE 0 END) / COUNT(*), 1) AS fastball_pct"
-        " FROM pitches WHERE game_year = ? GROUP BY balls, strikes", args=[1995],
+        " FROM {pitches} WHERE game_year = :year GROUP BY balls, strikes", args={"year": 1995}, pitches=cleaned(spark, sf_dir),
     )
 
 
@@ -99,7 +138,7 @@ p AS (SELECT * FROM legal QUALIFY row_number() OVER (PARTITION BY game_pk, at_ba
 t AS (SELECT * REPLACE ({OUTCOMES} AS description), {_LABEL} AS label FROM p)
 """
 _SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
-_HAVE = "game_pk game_date game_type game_year at_bat_number pitch_number inning pitcher batter p_throws stand pitch_type release_speed zone balls strikes description estimated_woba_using_speedangle".split()
+_HAVE = "game_pk game_date game_type game_year at_bat_number pitch_number inning pitcher batter p_throws stand pitch_type release_speed release_spin_rate pfx_x pfx_z zone balls strikes description estimated_woba_using_speedangle".split()
 
 
 def _columns(own: dict[str, str]) -> str:
@@ -113,6 +152,9 @@ _LOG = """log AS (
   FROM (SELECT DISTINCT pitcher AS mlbam_id, game_year AS season FROM raw UNION ALL SELECT s_suppkey + 100000000, 1997 FROM supplier))"""
 
 
+_PICK = lambda key, names: "CASE " + f"{key} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n.replace(chr(39), chr(39) * 2)}'" for i, n in enumerate(names)) + " END"
+_REGISTER = f"WITH r AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS key_mlbam, {_PICK('c_custkey', FIRST_NAMES)} AS name_first, {_PICK('c_nationkey', LAST_NAMES)} || CAST(c_custkey % 11 AS VARCHAR) AS name_last, CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey % 31 + 1990 AS VARCHAR) || '.0' END AS mlb_played_last FROM customer)"
+
 _TRANSITIONS = "s AS (SELECT pitcher, pitch_type AS next, lag(pitch_type) OVER w AS previous, lag(description) OVER w AS outcome FROM t WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number))"
 _QUADRANT = "CASE WHEN zone IN (1, 11) THEN 'up-left' WHEN zone IN (3, 12) THEN 'up-right' WHEN zone IN (7, 13) THEN 'down-left' WHEN zone IN (9, 14) THEN 'down-right' ELSE 'middle' END"
 _FAST = "pitch_type IN ('FF', 'SI', 'FC')"
@@ -147,6 +189,10 @@ QUERIES = {
     "coerce_schema_types": coerce_types,
     "dedup_keep_last": lambda s, d: keep_last(raw_pitches(s, d), PITCH_KEY, ORDINAL).select(*PITCH_KEY, "pitcher", "batter", "release_speed"),
     "upsert_pitches": upserted,
+    "upsert_fetch_log": log_upserted,
+    "landed_csv": landed,
+    "player_names": player_names,
+    "players_latest": lambda s, d: players.latest_by_name(register(s, d)),
     "stored_pitches": stored,
     "load_pitcher_season": lambda s, d: store.pitcher_season(stored(s, d), 6, 1995),
     "cache_summary": lambda s, d: store.summary(log(s, d), named(s, d)),
@@ -196,7 +242,11 @@ ORACLES = {
     "prepare_for_storage": f"{_WITH} SELECT {_columns({'game_date': 'CAST(game_date AS TIMESTAMP)'})} FROM legal",
     "coerce_schema_types": "SELECT l_orderkey AS game_pk, CAST(l_linenumber AS INTEGER) AS pitch_number, CAST(round_even(l_quantity / 2, 0) AS INTEGER) AS zone, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS release_speed, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS game_date, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_returnflag END AS type FROM lineitem",
     "dedup_keep_last": f"{_WITH} SELECT game_pk, at_bat_number, pitch_number, pitcher, batter, release_speed FROM raw QUALIFY row_number() OVER (PARTITION BY game_pk, at_bat_number, pitch_number ORDER BY l_shipdate DESC, l_extendedprice DESC, pitcher DESC, batter DESC, l_discount DESC, l_tax DESC) = 1",
-    "upsert_pitches": f"{_WITH}, st AS (SELECT * FROM p WHERE pitch_number <= 3) SELECT game_pk, at_bat_number, pitch_number, pitcher, release_speed FROM p WHERE pitcher % 2 = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.game_pk = p.game_pk AND st.at_bat_number = p.at_bat_number AND st.pitch_number = p.pitch_number) UNION ALL SELECT game_pk, at_bat_number, pitch_number, pitcher, release_speed + 1000 FROM st",
+    "upsert_pitches": f"{_WITH}, st AS (SELECT CASE WHEN pitcher % 2 = 1 THEN game_pk + 1000000000 ELSE game_pk END AS game_pk, at_bat_number, pitch_number, pitcher, release_speed + 1000 AS release_speed FROM p) SELECT game_pk, at_bat_number, pitch_number, pitcher, release_speed FROM p WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.game_pk = p.game_pk AND st.at_bat_number = p.at_bat_number AND st.pitch_number = p.pitch_number) UNION ALL SELECT * FROM st",
+    "upsert_fetch_log": f"{_WITH}, {_LOG}, st AS (SELECT mlbam_id, CAST(CASE WHEN mlbam_id % 3 = 0 THEN season + 100 ELSE season END AS INTEGER) AS season, player_type, row_count + 1 AS row_count, fetched_at + INTERVAL 1 DAY AS fetched_at FROM log) SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.mlbam_id = log.mlbam_id AND st.season = log.season AND st.player_type = log.player_type) UNION ALL SELECT * FROM st",
+    "landed_csv": f"{_WITH} SELECT CAST(game_pk AS VARCHAR) AS game_pk, CAST(at_bat_number AS VARCHAR) AS at_bat_number, CAST(pitch_number AS VARCHAR) AS pitch_number, CAST(pitcher AS VARCHAR) AS pitcher, CAST(game_date AS VARCHAR) AS game_date, game_type, NULLIF(pitch_type, '') AS pitch_type, description, stand, p_throws FROM raw",
+    "player_names": f"{_REGISTER}, n AS (SELECT key_mlbam, '  ' || name_first || ' ' || name_last AS name FROM r) SELECT key_mlbam, name, strip_accents(name) AS plain, array_to_string([CASE WHEN i = 1 OR NOT regexp_matches(name[i - 1], '\\p{{L}}') THEN upper(name[i]) ELSE lower(name[i]) END FOR i IN range(1, length(name) + 1)], '') AS title, replace(lower(trim(name)), ' ', '_') AS slug, split_part(trim(name), ' ', 1) AS first, substr(trim(name), length(split_part(trim(name), ' ', 1)) + 2) AS last FROM n",
+    "players_latest": f"{_REGISTER}, k AS (SELECT *, COALESCE(CAST(CAST(mlb_played_last AS DOUBLE) AS INTEGER), -1) AS last FROM r WHERE key_mlbam IS NOT NULL), t AS (SELECT *, MAX(last) OVER g AS top, COUNT(*) OVER g AS players FROM k WINDOW g AS (PARTITION BY name_first, name_last)) SELECT name_first, name_last, MIN(key_mlbam) AS key_mlbam, MAX(players) > 1 AND (MAX(top) < 0 OR COUNT(*) > 1) AS ambiguous FROM t WHERE last = top GROUP BY name_first, name_last",
     "stored_pitches": f"{_WITH} SELECT {_STORED} FROM p",
     "load_pitcher_season": f"{_WITH} SELECT {_STORED} FROM p WHERE pitcher = 6 AND game_year = 1995",
     "cache_summary": f"{_WITH}, {_LOG} SELECT l.mlbam_id, l.season, l.player_type, l.row_count, l.fetched_at, MAX(s.s_name) AS player_name FROM log l LEFT JOIN raw r ON r.pitcher = l.mlbam_id AND r.game_year = l.season LEFT JOIN supplier s ON s.s_suppkey = r.pitcher GROUP BY ALL",
@@ -210,7 +260,7 @@ ORACLES = {
     "pitch_mix_sql": f"{_WITH} SELECT label AS count, COUNT(*) AS pitches, ROUND(100.0::DOUBLE * SUM(CASE WHEN {_FAST} THEN 1 ELSE 0 END) / COUNT(*), 1) AS fastball_pct FROM t WHERE game_year = 1995 GROUP BY label",
     "arsenal_share": f"{_WITH} SELECT pitch_type, COUNT(*) AS n, 100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM p) AS pct FROM p GROUP BY pitch_type ORDER BY n DESC, pitch_type LIMIT 6",
     "arsenal_share_with_nulls": f"{_WITH} SELECT pitch_type, COUNT(*) AS n, 100.0::DOUBLE * COUNT(*) / (SELECT COUNT(*) FROM raw) AS pct FROM raw WHERE pitch_type IS NOT NULL GROUP BY pitch_type ORDER BY n DESC, pitch_type LIMIT 6",
-    "arsenal_summary": f"{_WITH} SELECT pitcher, pitch_type, COUNT(*) AS n, AVG(release_speed) AS mean_speed, CAST(COUNT(*) FILTER ({_SWING}) AS BIGINT) AS swings, AVG(CASE WHEN {_SWING} THEN CAST({_MISS} AS INT)::DOUBLE END) AS whiff_rate, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY pitcher))::DOUBLE AS usage FROM t GROUP BY pitcher, pitch_type",
+    "arsenal_summary": f"{_WITH} SELECT pitcher, pitch_type, COUNT(*) AS n, AVG(release_speed) AS mean_speed, AVG(release_spin_rate) AS mean_spin, AVG(pfx_x) AS mean_pfx_x, AVG(pfx_z) AS mean_pfx_z, CAST(COUNT(*) FILTER ({_SWING}) AS BIGINT) AS swings, AVG(CASE WHEN {_SWING} THEN CAST({_MISS} AS INT)::DOUBLE END) AS whiff_rate, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY pitcher))::DOUBLE AS usage FROM t GROUP BY pitcher, pitch_type",
     "folded_arsenal": f"{_WITH}, f AS (SELECT pitcher, CASE WHEN COUNT(*) OVER (PARTITION BY pitcher, pitch_type) < 15 THEN 'Other' ELSE pitch_type END AS pitch_type FROM t) SELECT pitcher, pitch_type, COUNT(*) AS n, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY pitcher))::DOUBLE AS usage FROM f GROUP BY pitcher, pitch_type",
     "count_predictability": f"{_WITH}, x AS (SELECT pitcher, label, pitch_type, COUNT(*) AS k FROM t GROUP BY ALL), y AS (SELECT *, SUM(k) OVER (PARTITION BY pitcher, label)::DOUBLE AS n FROM x), a AS (SELECT pitcher, COUNT(DISTINCT pitch_type) AS k FROM t GROUP BY ALL) SELECT y.pitcher, y.label AS count, CAST(SUM(y.k) AS BIGINT) AS n, COUNT(*) AS types, ROUND(CASE WHEN MAX(a.k) > 1 THEN -SUM(y.k / y.n * LN(y.k / y.n)) / LN(MAX(a.k)) ELSE 0.0 END, 6) AS entropy FROM y JOIN a USING (pitcher) GROUP BY y.pitcher, y.label",
     "predictable_counts": f"{_WITH}, " + " ".join(_FLAGS["predictable_counts"]).format(n=5, share=0.3, delta=0.02),

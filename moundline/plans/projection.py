@@ -24,7 +24,8 @@ _COLUMNS = f"""
     CASE CAST(l_orderkey % 9 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'pitchout' WHEN 2 THEN 'intent_ball' ELSE 'ball' END AS description,
     CAST(CAST(l_quantity AS BIGINT) % 5 AS DOUBLE) AS balls,
     CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS DOUBLE) END AS strikes,
-    50 + l_quantity AS release_speed, CAST(1 + l_partkey % 14 AS INT) AS zone,
+    50 + l_quantity AS release_speed, CAST(1800 + l_partkey % 900 AS DOUBLE) AS release_spin_rate,
+    (l_partkey % 33 - 16) / {{exact}} AS pfx_x, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE (l_partkey % 25 - 4) / {{exact}} END AS pfx_z, CAST(1 + l_partkey % 14 AS INT) AS zone,
     CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE (l_partkey % 17) / {{exact}} END AS estimated_woba_using_speedangle,
     l_shipdate, l_extendedprice, l_discount, l_tax"""
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -35,6 +37,24 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is set: a temporary one in local mode, as in tests, and an error on a cluster, whose machines would not see each other's."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("moundline.scratch", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="moundline-")
+        spark.conf.set("moundline.scratch", found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder, read again: what several results are made of is computed once."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench."""
     return (

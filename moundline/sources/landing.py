@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +57,22 @@ def check_not_html(spark: SparkSession, path: str) -> None:
         raise BadSource(f"{bad[0].file} is HTML")
 
 
+def read_landings(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of several sources, that need not have the same columns: what one lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_landing(spark, p) for p in paths])
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """One gzip CSV with a header."""
-    out = df.drop(ORDINAL)
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    """One gzip CSV with a header: the file ``path`` if that ends with .csv.gz, else one in the folder ``path``."""
+    out = df.drop(ORDINAL).coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip")
+    if not path.endswith(".csv.gz"):
+        out.csv(path)
+        return
+    spark, folder = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    out.csv(folder)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(Path(folder)) if f.getPath().getName().startswith("part-"))
+    fs.delete(Path(path), False)
+    fs.rename(part, Path(path))
+    fs.delete(Path(folder), True)

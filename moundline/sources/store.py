@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,10 +115,14 @@ class PitchStore:
         return bool(mine.select(is_fresh(self.clock(), config.get("data.cache_ttl_days")).alias("fresh")).filter("fresh").limit(1).collect())
 
     def sql(self, text: str, *args) -> DataFrame:
-        """Any Spark SQL over ``pitches`` and ``fetch_log``, with ``?`` for parameters."""
-        self.pitches.createOrReplaceTempView("pitches")
-        self.fetch_log.createOrReplaceTempView("fetch_log")
-        return self.spark.sql(text, args=list(args))
+        """Any Spark SQL over ``pitches`` and ``fetch_log``, with ``?`` for parameters. The two names hold while the text is resolved, not after."""
+        try:
+            self.pitches.createOrReplaceTempView("pitches")
+            self.fetch_log.createOrReplaceTempView("fetch_log")
+            return self.spark.sql(text, args=list(args))
+        finally:
+            for name in ("pitches", "fetch_log"):
+                self.spark.catalog.dropTempView(name)
 
     # Writing -----------------------------------------------------------------------------------------------------
     def save_pitches(self, df: DataFrame, mlbam_id: int, season: int, player_type: str = "pitcher") -> int:
@@ -145,18 +149,19 @@ class PitchStore:
         """Stages, checks and merges; pitcher, season and number of rows of what was staged (one row each, the size of the log)."""
         lost = [c for c in PITCHES.fieldNames() if c not in df.columns]
         if lost:
-            raise ValueError(f"columns missing: {lost}; run the frame through prepare_for_storage first")
+            raise ValueError(f"not a cleaned pitch table, as it has no {', '.join(lost)}")
         order = [ORDINAL] if ORDINAL in df.columns else PITCHES.fieldNames()
         typed = coerce(df.select(*PITCHES.fieldNames(), *[c for c in order if c == ORDINAL]), PITCHES)
         part = f"pitches/staged-{uuid.uuid4().hex}"
-        keep_last(typed, PITCH_KEY, order).select(*PITCHES.fieldNames()).write.parquet(f"{self.root}/{part}")
+        seen = Observation()  # counted on the way, so the source is read once
+        keep_last(typed.observe(seen, F.count(F.lit(1)).alias("n")), PITCH_KEY, order).select(*PITCHES.fieldNames()).write.parquet(f"{self.root}/{part}")
         try:
             staged = self.spark.read.schema(PITCHES).parquet(f"{self.root}/{part}")
             bad = staged.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in PITCH_KEY])).count()
             if bad:
                 raise KeyViolation(f"{bad} rows without a key")
             counts = [tuple(r) for r in staged.groupBy("pitcher", "game_year").count().collect()]
-            before, kept = df.count(), sum(n for *_, n in counts)
+            before, kept = seen.get["n"], sum(n for *_, n in counts)
             if kept < before:
                 log.warning("dropped %s rows of repeated keys", before - kept)
             self._merge(staged)
@@ -166,20 +171,36 @@ class PitchStore:
         return counts
 
     def _merge(self, staged: DataFrame) -> None:
+        """Replaces the seasons that are written to or hold one of the written keys.
+
+        Stored keys are looked up within the written range of games only, so files beside it are skipped by their
+        statistics. Staged keys are unique and the seasons that hold any of them are rewritten without them, so what is
+        checked is what was written. Parts that went out of use at the write before are deleted, as someone may still read the newest ones.
+        """
         parts = self._manifest("pitches") or {}
         season = F.coalesce(F.col("game_year").cast("string"), F.lit("none"))
+        span = staged.agg(F.min("game_pk"), F.max("game_pk")).first()
         touched = {r[0] for r in staged.select(season).distinct().collect()}
-        touched |= {r[0] for r in self.pitches.select(*PITCH_KEY, "game_year").join(staged.select(*PITCH_KEY), PITCH_KEY, "left_semi").select(season).distinct().collect()}
+        near = self.pitches.filter(F.col("game_pk").between(*span)).select(*PITCH_KEY, "game_year")
+        touched |= {r[0] for r in near.join(staged.select(*PITCH_KEY), PITCH_KEY, "left_semi").select(season).distinct().collect()}
         current = self._read("pitches", PITCHES, {k: v for k, v in parts.items() if k in touched})
         merged = upsert(current, staged, PITCH_KEY)
         made = f"pitches/{uuid.uuid4().hex}"
         rows = merged.withColumn("_season", season).repartition("_season", F.pmod(F.xxhash64("pitcher"), F.lit(16))).sortWithinPartitions("_season", "pitcher", *CHRONOLOGICAL)
         rows.write.partitionBy("_season").parquet(f"{self.root}/{made}")
-        new = {k: v for k, v in parts.items() if k not in touched} | {k: f"{made}/_season={k}" for k in touched if self._exists(f"{made}/_season={k}")}
-        once = self._read("pitches", PITCHES, new).groupBy(*PITCH_KEY).count().filter("count > 1").limit(1).collect()
+        written = {k: f"{made}/_season={k}" for k in touched if self._exists(f"{made}/_season={k}")}
+        once = self._read("pitches", PITCHES, written).groupBy(*PITCH_KEY).count().filter("count > 1").limit(1).collect()
         if once:
             raise KeyViolation("a key would occur twice")
-        self._swap("pitches", new)
+        self._swap("pitches", {k: v for k, v in parts.items() if k not in touched} | written)
+        self._retire("pitches", [v for k, v in parts.items() if k in touched])
+
+    def _retire(self, name: str, parts: list[str]) -> None:
+        """Deletes the parts that were retired before, and notes those that are retired now."""
+        for part in (self._manifest(f"{name}-retired") or {}).values():
+            fs, at, _ = self._fs(f"{self.root}/{part}")
+            fs.delete(at, True)
+        self._swap(f"{name}-retired", {str(i): p for i, p in enumerate(parts)})
 
     def _exists(self, path: str) -> bool:
         fs, at, _ = self._fs(f"{self.root}/{path}")
@@ -190,5 +211,7 @@ class PitchStore:
             return
         entry = self.spark.createDataFrame([(*e, self.clock()) for e in entries], FETCH_LOG)
         part = f"fetch_log/{uuid.uuid4().hex}"
+        old = list((self._manifest("fetch_log") or {}).values())
         upsert(self.fetch_log, entry, LOG_KEY).coalesce(1).write.parquet(f"{self.root}/{part}")
         self._swap("fetch_log", {"all": part})
+        self._retire("fetch_log", old)

@@ -4,7 +4,7 @@ import pytest
 
 from moundline.operators import metrics
 
-SCHEMA = "pitcher long, batter long, game_pk long, at_bat_number int, pitch_number int, pitch_type string, description string, balls int, strikes int, release_speed double, stand string, zone int, estimated_woba_using_speedangle double"
+SCHEMA = "pitcher long, batter long, game_pk long, at_bat_number int, pitch_number int, pitch_type string, description string, balls int, strikes int, release_speed double, stand string, zone int, estimated_woba_using_speedangle double, release_spin_rate double, pfx_x double, pfx_z double"
 
 
 @pytest.fixture

@@ -1,6 +1,7 @@
 """Every query that has SQL against DuckDB, the whole result; and the entry without the optional parts."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -36,8 +37,14 @@ def test_entry(spark):
 
 def test_entry_without_the_optional_parts(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for f in ("__spark_entry__.py", "moundline"):
+    for f in ("__spark_entry__.py", "moundline", "tests"):
         subprocess.run(["cp", "-r", f"{root}/{f}", tmp_path], check=True)
-    subprocess.run(["rm", "-rf", f"{tmp_path}/moundline/llm"], check=True)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
+    for f in ("moundline/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / f, ignore_errors=True)  # they may be gone already
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 30
+    # What the relational queries give is tested above, so here the other tests, and that all of them can be collected.
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", *args], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run("tests", "--collect-only").returncode == 0
+    assert run("tests/test_clean.py", "tests/test_metrics.py", "tests/test_queries.py", "-k", "not without and (not sql or mix_by_count)").returncode == 0

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moundline.__main__ import smoke, summary
 from moundline.functions.coercion import coerce
 from moundline.operators.clean import prepare_for_storage
 from moundline.schema import FETCH_LOG, FIELDS, PITCHES
@@ -72,6 +73,7 @@ def test_reading(spark, made):
     made.save_pitches(pitches(spark, {}).limit(0), 5, 2023)
     assert sorted((r.mlbam_id, r.season, r.row_count, r.player_name) for r in made.cache_summary().collect()) == [(5, 2023, 0, None), (7, 2025, 4, "A B"), (8, 2025, 1, "C D")]
     assert made.sql("SELECT COUNT(*) AS n FROM pitches WHERE pitcher = ? AND game_year = ?", 7, 2025).first().n == 4
+    assert not spark.catalog.tableExists("pitches") and not spark.catalog.tableExists("fetch_log")
 
 
 def test_coercion(spark):
@@ -107,6 +109,30 @@ def test_landing(spark, made, tmp_path):
         landing.check_not_html(spark, str(tmp_path / "b.csv"))
     landing.export_csv(raw, str(tmp_path / "out"))
     assert landing.read_landing(spark, str(tmp_path / "out")).count() == 4
+    for _ in range(2):  # over an older one too
+        landing.export_csv(raw, str(tmp_path / "one_raw.csv.gz"))
+    assert (tmp_path / "one_raw.csv.gz").is_file() and landing.read_landing(spark, str(tmp_path / "one_raw.csv.gz")).count() == 4
+    (tmp_path / "other.csv").write_text("pitch_type,spin\nFF,2200\n")
+    both = landing.read_landings(spark, [str(tmp_path / "out"), str(tmp_path / "other.csv")])
+    assert sorted((r.pitch_type, r.spin, r.pitcher) for r in both.filter("pitch_type = 'FF' or spin is not null").collect()) == [("FF", "2200", None)]
+
+
+def test_old_parts_go(spark, made, tmp_path):
+    for i in range(4):
+        made.save_pitches(pitches(spark, {"pitch_type": ["FF", "SL", "CU", "CH"][i]}, {"game_pk": 50 + i}), 7, 2025)
+    assert len(kept(made)) == 5 and made.pitches.filter("pitch_type = 'CH'").count() == 1
+    seasons = [p for p in (tmp_path / "s/pitches").glob("*/_season=*") if p.is_dir()]
+    logs = [p for p in (tmp_path / "s/fetch_log").iterdir() if p.is_dir()]
+    assert len(seasons) == 2 and len(logs) == 2  # the newest, and what it replaced
+
+
+def test_smoke(spark, made, capsys):
+    made.save_pitches(pitches(spark, {"release_speed": 95.0}, {"pitch_number": 2, "release_speed": 93.0}), 7, 2025)
+    assert smoke(made, 7, 2025) and "ok   legal_counts" in capsys.readouterr().out
+    made.save_pitches(pitches(spark, {"pitch_number": 3, "balls": 9}), 7, 2025)
+    assert not smoke(made, 7, 2025) and "FAIL legal_counts" in capsys.readouterr().out
+    summary(pitches(spark, {}).drop("_ordinal"))
+    assert "1 rows, 40 columns" in capsys.readouterr().out
 
 
 def test_stream(spark, made, tmp_path):
