@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": urls.OP1_SQL, "op4_line_dedup": lines.OP4_SQL, "op6_embedding_dedup": embeddings.OP6_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {"op1_url_filter": urls.OP1_SQL, "op2_suffix_dedup": suffixes.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op6_embedding_dedup": embeddings.OP6_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op10_mix_sources": mixing.OP10_SQL}

@@ -48,12 +48,12 @@ def _windows_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The sampled suffixes of one text's bytes: pos, lo, hi, head, f, seg.
+    """The sampled suffixes of one text's bytes: pos, lo, hi, head, next, f, seg.
 
     Every string of ``length`` bytes holds one: the place in it where the hash of the next ``sample_size`` bytes is
     least, the leftmost of equal ones. This depends on the string alone, so equal strings sample the same suffix at the
-    same offset. lo and hi: first and last start of the strings that sampled it; head: its first 8 bytes, in
-    their order; f: hash of its first sample_size bytes; seg: hash of all bytes of its strings and their place around it.
+    same offset. lo and hi: first and last start of the strings that sampled it; head and next: its first 8 bytes and the
+    8 after them, in their order; f: hash of its first sample_size bytes; seg: hash of all bytes of its strings and their place around it.
     """
     size = sample_size(length)
     out = []
@@ -66,16 +66,16 @@ def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         hi = np.append(lo[1:], n) - 1
         pos = at[lo]
         seg = mixed(_hash(sums, lo, hi - lo + length) + (pos - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
-        first = np.zeros((len(pos), 8), np.uint8)
-        for j in range(min(8, size)):
+        first = np.zeros((len(pos), 16), np.uint8)
+        for j in range(min(16, size)):
             first[:, j] = part[pos + j]
-        head = first.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
-        out.append((pos + a, lo + a, hi + a, head.view(np.int64), h[pos].view(np.int64), seg.view(np.int64)))
+        head, after = (first[:, k : k + 8].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63) for k in (0, 8))
+        out.append((pos + a, lo + a, hi + a, head.view(np.int64), after.view(np.int64), h[pos].view(np.int64), seg.view(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in _SAMPLE)
 
 
-_SAMPLE = ["pos", "lo", "hi", "head", "f", "seg"]
-KEY = ["head", "f"]
+_SAMPLE = ["pos", "lo", "hi", "head", "next", "f", "seg"]
+KEY = ["head", "next", "f"]
 
 
 def _bytes(text: pa.Scalar) -> np.ndarray:
@@ -87,7 +87,7 @@ def _suffixes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            ids, hs = batch.column("doc_id"), batch.column("h").to_numpy()
+            ids, hs, new = batch.column("doc_id"), batch.column("h").to_numpy(), batch.column("new")
             for i, text in enumerate(batch.column("text")):
                 cols = sampled(_bytes(text), length)
                 held.append((i, cols))
@@ -95,54 +95,69 @@ def _suffixes(length: int):
                 if size > 100_000 or i == batch.num_rows - 1:
                     row = np.repeat([j for j, _ in held], [len(c[0]) for _, c in held])
                     made = [np.concatenate([c[k] for _, c in held]) for k in range(len(_SAMPLE))]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(hs[row] if len(row) else hs[:0]), *map(pa.array, made)], names=["doc_id", "h", *_SAMPLE])
+                    yield pa.RecordBatch.from_arrays([ids.take(at := pa.array(row, pa.int64())), pa.array(hs[row] if len(row) else hs[:0]), new.take(at), *map(pa.array, made)], names=["doc_id", "h", "new", *_SAMPLE])
                     held, size = [], 0
 
     return run
 
 
 class SuffixIndex:
-    """Sparse suffix arrays in levels: a level of rank r holds the suffixes of 2**r batches.
-
-    A level is a table of the distinct sampled suffixes of its batches, in the order of their bytes (head, then f),
-    with the number of places of each. It is bucketed by suffix, so merging and merge-scanning read sorted buckets side
-    by side and move nothing. ``add`` makes the array of a new batch, merge-scans it against every level, and
-    merges levels of equal rank, so n batches leave at most log2(n) + 1 levels and each suffix is rewritten at most
-    log2(n) times. A suffix that a third of all texts hold is one row a task before the only shuffle.
+    """A logarithmic family of sparse suffix arrays, by name: it can be opened again and given more batches.
+
+    An array is a table of the distinct sampled suffixes of its batches in the order of their first 16 bytes, then of f:
+    each with the number of its places and the first of them (doc_id, pos). It is bucketed by suffix, so merging and
+    merge-scanning read sorted buckets side by side and move nothing. ``add`` makes the array of a new batch and
+    merge-scans it against every level. Levels whose sizes have the same power of two merge before the next batch
+    comes, so there are about log2 of all suffixes at most, and each suffix is rewritten as often. A suffix that a third
+    of all texts hold is one row a task before the only shuffle. Tables live in the session's catalog: for the
+    application, or for good where that is a metastore.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, []
+    def __init__(self, spark: SparkSession, name: str | None = None):
+        self.spark, self.prefix = spark, f"suffixes_{name or uuid.uuid4().hex}_"
+
+    @property
+    def levels(self) -> list[tuple[int, str]]:
+        """Rank and table of each level, the largest first."""
+        names = [t.name for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix)]
+        return sorted(((int(n.removeprefix(self.prefix).split("_")[0]), n) for n in names), reverse=True)
 
-    def _array(self, rows: DataFrame) -> str:
-        name = f"suffix_array_{uuid.uuid4().hex}"
+    def _array(self, rows: DataFrame) -> None:
+        made = f"new_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.write.bucketBy(n, *KEY).sortBy(*KEY).option("compression", "zstd").saveAsTable(name)
-        return name
+        rows.write.bucketBy(n, *KEY).sortBy(*KEY).option("compression", "zstd").saveAsTable(made)
+        rank = self.spark.table(made).count().bit_length()
+        self.spark.sql(f"ALTER TABLE {made} RENAME TO {self.prefix}{rank}_{uuid.uuid4().hex}")
+
+    def _settle(self) -> None:
+        """Merges two levels of one rank, as long as there are any."""
+        while True:
+            levels = self.levels
+            pair = next(((a, b) for (r, a), (q, b) in reversed(list(zip(levels, levels[1:], strict=False))) if r == q), None)
+            if not pair:
+                return
+            other = self.spark.table(pair[1]).select(*KEY, F.col("n").alias("m"), F.struct("doc_id", "pos").alias("p"))
+            both = self.spark.table(pair[0]).withColumn("o", F.struct("doc_id", "pos")).hint("merge").join(other, KEY, "full")
+            first = F.least("o", "p")
+            self._array(both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), first["doc_id"].alias("doc_id"), first["pos"].alias("pos")))
+            for gone in pair:
+                self.spark.sql(f"DROP TABLE {gone}")
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Adds a batch; the suffixes that it repeats, in itself or from a level, as a written table."""
-        spark, rank = self.spark, 0
-        name = self._array(suffixes.groupBy(*KEY).agg(F.count("*").alias("n")))
-        new = spark.table(name)
+        """Adds a batch (the key, doc_id and pos of sampled suffixes); those of which a long match was found, in the batch itself or in a level, as a written table."""
+        self._settle()
+        old = self.levels
+        self._array(suffixes.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("o")).select(*KEY, "n", "o.doc_id", "o.pos"))
+        name = next(n for _, n in self.levels if n not in {m for _, m in old})
+        new = self.spark.table(name)
         shared = new.filter("n > 1").select(*KEY)
-        for _, level in self.levels:
-            shared = shared.unionByName(new.select(*KEY).hint("merge").join(spark.table(level).select(*KEY), KEY))
-        shared = written(shared, "shared-suffixes")
-        while self.levels and self.levels[-1][0] == rank:
-            old = self.levels.pop()[1]
-            both = spark.table(name).hint("merge").join(spark.table(old).withColumnRenamed("n", "m"), KEY, "full")
-            merged = self._array(both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))
-            for gone in (old, name):
-                spark.sql(f"DROP TABLE {gone}")
-            name, rank = merged, rank + 1
-        self.levels.append((rank, name))
-        return shared
+        for _, level in old:
+            shared = shared.unionByName(new.select(*KEY).hint("merge").join(self.spark.table(level).select(*KEY), KEY))
+        return written(shared, "shared-suffixes")
 
     def drop(self) -> None:
         for _, level in self.levels:
             self.spark.sql(f"DROP TABLE {level}")
-        self.levels = []
 
 
 def _contexts(length: int):
@@ -260,28 +275,36 @@ def spans(ranges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return ranges[first, 0], stop[np.append(first[1:], len(ranges)) - 1]
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, index: SuffixIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """doc_id, h (hash of the text) and ranges: the starts (lo to hi) of strings of ``length`` bytes that occur twice or more.
 
     Documents come in ``batches`` by hash. Each gets a sparse suffix array, which is merge-scanned against the levels of
-    a SuffixIndex and merged into them. Suffixes that no other place shares end here; for the rest an exact check
-    follows. Places whose strings are all equal to those at another one are repeats as they are. Of others, one of
-    each kind stands for its kind: the bytes around it are fetched and looked at by blocks of offsets. Blocks that are
-    equal as a whole are repeats, those whose common bytes occur once are none, and of the rest each string is
-    compared. Equal strings have equal suffixes and equal offsets, so none is lost, and every step reduces with counts
-    before it joins.
+    ``index`` (without one, of a family of its own) and added to them; ``earlier`` are the documents that the index
+    holds already, whose texts are needed for the exact check. Suffixes that no other place shares end here; for the
+    rest an exact check follows. Places whose strings are all equal to those at another one are repeats as they are. Of
+    others, one of each kind stands for its kind: the bytes around it are fetched and looked at by blocks of offsets.
+    Blocks that are equal as a whole are repeats, those whose common bytes occur once are none, and of the rest each
+    string is compared. Equal strings have equal suffixes and equal offsets, so none is lost, and every step reduces
+    with counts before it joins. Equal means equal 64-bit hashes of the whole strings (or blocks, or places), which are
+    only compared where a suffix is shared.
     """
-    lean_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in _SAMPLE)
+    spark = docs.sparkSession
+    lean_batches(spark)
+    of = lambda df, new: df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text", F.lit(new).alias("new"))
+    d = of(docs, True).unionByName(of(earlier, False)) if earlier is not None else of(docs, True)
+    schema = "doc_id long, h long, new boolean, " + ", ".join(f"{c} long" for c in _SAMPLE)
     suffixes = d.mapInArrow(_suffixes(length), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int"))
     suffixes = written(suffixes, "suffixes")
-    index = SuffixIndex(docs.sparkSession)
-    shared = [index.add(suffixes.filter(F.col("batch") == b).select(*KEY)) for b in range(batches)]
-    index.drop()
+    family = index or SuffixIndex(spark)
+    try:
+        shared = [family.add(suffixes.filter((F.col("batch") == b) & F.col("new")).select(*KEY, "doc_id", "pos")) for b in range(batches)]
+    finally:
+        if index is None:
+            family.drop()
+    suffixes, d = suffixes.drop("new"), d.drop("new")
     # Written, so that the join below stands between two exchanges and a suffix with very many places is split.
     keys = written(reduce(DataFrame.unionByName, shared).select("f").distinct(), "shared-keys")
-    near = written(suffixes.drop("batch", "head").join(keys, "f", "left_semi"), "shared-places")
+    near = written(suffixes.drop("batch", "head", "next").join(keys, "f", "left_semi"), "shared-places")
 
     kinds = near.groupBy("f", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "lo", "hi")).alias("rep"))
     kinds = written(kinds, "kinds")
@@ -310,19 +333,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     return sure.unionByName(equal).unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, index: SuffixIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """``docs`` without text but with n_bytes, n_removed, n_spans and kept (binary).
 
     Every byte of a text's UTF-8 goes that is covered by a string of ``length`` bytes that also starts anywhere else,
     the same text included; overlaps count, and strings are judged on the input. Strings never cross documents.
     n_spans counts the maximal runs that went; kept is what stays, put together. All copies go, the first as well.
+    With an ``index`` the documents are a new batch of its family, and what also starts in one of the ``earlier``
+    documents that it holds goes too.
 
     Null text counts as empty; texts shorter than ``length`` keep all. Rows that repeat doc_id and text repeat each
     other's strings. Columns called like the four new ones are replaced.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in docs.columns if c != "text"]
-    ranges = repeated_strings(docs, length, batches).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
+    ranges = repeated_strings(docs, length, batches, index, earlier).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
     found = docs.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__h")), "left").select(*keep, "text", "__ranges")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return found.mapInArrow(_removed(length, keep), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -331,3 +356,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(encode(COALESCE(text, ''))), '..') AS b FROM documents),
+c0 AS (SELECT r, unnest(range(len(b))) AS i, unnest(b) AS x FROM t),
+c1 AS (SELECT r, i, dense_rank() OVER (ORDER BY x) AS k FROM c0),
+{doubled},
+s AS (SELECT r, i, COUNT(*) OVER (PARTITION BY k) > 1 AS twice FROM c400),
+g AS (SELECT c0.r, c0.i, c0.x, COALESCE(bool_or(s.twice) OVER (PARTITION BY c0.r ORDER BY c0.i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), FALSE) AS gone FROM c0 LEFT JOIN s ON s.r = c0.r AND s.i = c0.i),
+e AS (SELECT *, gone AND NOT lag(gone, 1, FALSE) OVER (PARTITION BY r ORDER BY i) AS begins FROM g),
+a AS (SELECT r, COUNT(*) AS n_bytes, COUNT(*) FILTER (WHERE gone) AS n_removed, COUNT(*) FILTER (WHERE begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY r)
+SELECT t.doc_id, COALESCE(n_bytes, 0)::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(COALESCE(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN a USING (r)
+"""
+
+
+def _doubled() -> str:
+    """Ranks of all strings of 2, 4, ... 256 bytes and at last of 400, each from two of the lengths before that cover it, as in the doubling of suffix arrays."""
+    step = "c{n} AS (SELECT r, i, dense_rank() OVER (ORDER BY k, l) AS k FROM (SELECT r, i, k, lead(k, {by}) OVER (PARTITION BY r ORDER BY i) AS l FROM c{m}) WHERE l IS NOT NULL)"
+    sizes = [1, 2, 4, 8, 16, 32, 64, 128, 256, LENGTH]
+    return ",\n".join(step.format(n=n, m=m, by=n - m) for m, n in zip(sizes, sizes[1:], strict=False))
+
+
+OP2_SQL = OP2_SQL.format(doubled=_doubled())

@@ -82,12 +82,36 @@ def test_suffix_dedup(spark, rows, length):
     assert suffixes.remove_repeats(df.limit(0), length=length).count() == 0
 
 
-def test_levels_merge_like_a_binary_counter(spark):
-    index = suffixes.SuffixIndex(spark)
-    shared = [index.add(spark.createDataFrame([(b, 0), (7, 0), (8 + b // 2, 1)], "head long, f long")) for b in range(5)]
-    assert [rank for rank, _ in index.levels] == [2, 0]
-    assert everything(spark.table(index.levels[0][1])) == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 0, 1), (7, 0, 4), (8, 1, 2), (9, 1, 2)]
-    assert [everything(s.distinct()) for s in shared] == [[], [(7, 0), (8, 1)], [(7, 0)], [(7, 0), (9, 1)], [(7, 0)]]
+def test_levels_merge_by_size(spark):
+    index = suffixes.SuffixIndex(spark, "levels")
+    batch = lambda b: spark.createDataFrame([(b, 0, 0, b, 5), (7, 0, 0, b, 9), (8 + b // 2, 0, 1, b, 2), (7, 0, 0, b, 1)], "head long, next long, f long, doc_id long, pos long")
+    shared = [index.add(batch(b)) for b in range(5)]
+    again = suffixes.SuffixIndex(spark, "levels")  # a family is found by its name
+    assert again.levels == index.levels and [rank for rank, _ in index.levels] == [3, 2]  # seven suffixes, and the last batch's three
+    whole = everything(spark.table(index.levels[0][1]).select("head", "f", "n", "doc_id", "pos"))
+    assert whole == [(0, 0, 1, 0, 5), (1, 0, 1, 1, 5), (2, 0, 1, 2, 5), (3, 0, 1, 3, 5), (7, 0, 8, 0, 1), (8, 1, 2, 0, 2), (9, 1, 2, 2, 2)]
+    assert [everything(s.select("head", "f").distinct()) for s in shared] == [[(7, 0)], [(7, 0), (8, 1)], [(7, 0)], [(7, 0), (9, 1)], [(7, 0)]]
+    again.drop()
+    assert not index.levels
+
+
+def test_suffix_dedup_of_planted_passages(spark):
+    """At the length of the query: passages of 60 to 90 words in other texts, shifted, overlapping, in one text twice; a second batch against the first's family."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    passages = [text(rng.randint(110, 160)) for _ in range(12)]
+    given = [(i, f"{text(rng.randint(0, 90))} {passages[i % 12][rng.randint(0, 40) :]} {text(rng.randint(0, 90))}") for i in range(60)]
+    given += [(60, passages[0] + passages[1] + passages[0]), (61, passages[2][:399]), (62, passages[3][:400]), (63, passages[4] * 3), (64, "é" * 600), (65, text(400)), (66, None), (67, "")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    want = plain_repeats(given, 400)
+    assert sum(r[2] > 0 for r in want) > 50 and {r[0]: r[2] for r in want}[61] == 0
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    read = lambda out: sorted(((*r[:4], bytes(r[4])) for r in out.select(*cols).collect()), key=repr)
+    assert read(suffixes.remove_repeats(df)) == want
+    index = suffixes.SuffixIndex(spark, "planted")
+    first, second = df.filter("doc_id < 30"), df.filter("doc_id >= 30")
+    assert read(suffixes.remove_repeats(first, index=index, batches=2)) == plain_repeats(given[:30], 400)
+    assert read(suffixes.remove_repeats(second, index=index, batches=1, earlier=first)) == [r for r in want if r[0] >= 30]
     index.drop()
 
 
