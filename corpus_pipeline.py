@@ -38,13 +38,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id; documents without words are no one's copies and stay."""
+    """One document of each group of near-duplicates stays, that with the smallest doc_id (of rows that repeat it and its text, the one of smallest row hash); documents without words are no one's copies and stay.
+
+    Texts come from line dedup, so a near copy is judged by what that left of it.
+    """
 
     def work(d: DataFrame) -> DataFrame:
         kept = jaccard_groups(d).filter("kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__kept")).distinct()
         worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         first = d.filter(worded).withColumn("__h", text_hash()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
-        return first.dropDuplicates(["doc_id", "__h"]).drop("__h").unionByName(d.filter(~worded))
+        # Of rows with one id and text that with the smallest hash of the other columns; if that is the same too, so are the rows.
+        others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in d.columns if c not in ("doc_id", "text")]))
+        one = first.groupBy("doc_id", "__h").agg(F.min_by(F.struct(*d.columns), F.xxhash64(others)).alias("row")).select("row.*")
+        return one.unionByName(d.filter(~worded))
 
     return _apart(docs, ["doc_id", "text"], work)
 
