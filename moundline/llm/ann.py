@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from moundline.llm.blocks import by_block, groups, matrix
 from moundline.llm.common import table, written
 from moundline.llm.embeddings import usable
 
-#: Trees, vectors that the trees are fitted on at most, vectors a leaf is meant to hold, vectors of a side of a block.
-TREES, SAMPLE, LEAF, CHUNK, SEED = 10, 20_000, 400, 2_048, 5
+#: Trees at most and those that are tried, vectors that the trees are fitted on at most, vectors a leaf is meant to hold, vectors of a side of a block.
+TREES, TRIED, SAMPLE, LEAF, CHUNK, SEED = 10, (2, 4, 10), 20_000, 200, 2_048, 5
 #: The share of leaves to look into is set so that this recall is reached on the sample.
 RECALL, TRIALS, TRIAL_ROWS = 0.96, 200, 6_000
 
@@ -46,17 +47,27 @@ class Forest:
                 self.normals[t, i], self.offsets[t, i] = w, cut
                 here[2 * i + 1], here[2 * i + 2] = own[p <= cut], own[p > cut]
 
+    @property
+    def trees(self) -> int:
+        return len(self.normals)
+
+    def first(self, trees: int) -> Forest:
+        """The forest of the first trees."""
+        out = copy.copy(self)
+        out.normals, out.offsets = self.normals[:trees], self.offsets[:trees]
+        return out
+
     @property
     def leaves(self) -> int:
         return 1 << self.depth
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         flat = self.normals.reshape(-1, self.normals.shape[2])
-        return (x @ flat.T - self.offsets.ravel()).reshape(len(x), TREES, -1)
+        return (x @ flat.T - self.offsets.ravel()).reshape(len(x), self.trees, -1)
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """(vectors, trees): the leaf of each."""
-        out = np.zeros((len(x), TREES), np.int32)
+        out = np.zeros((len(x), self.trees), np.int32)
         for lo in range(0, len(x), 2048):
             m = self.margins(x[lo : lo + 2048])
             at = np.zeros(m.shape[:2], int)
@@ -71,8 +82,8 @@ class Forest:
         Until they hold ``need`` vectors, and those of one tree, which are all distinct, ``least`` of them.
         """
         nodes, seen, out = self.leaves - 1, 0, []
-        distinct = [0] * TREES
-        queue = [(0.0, t, 0) for t in range(TREES)]
+        distinct = [0] * self.trees
+        queue = [(0.0, t, 0) for t in range(self.trees)]
         while queue and (seen < need or max(distinct) < least):
             missed, t, i = heapq.heappop(queue)
             while i < nodes:
@@ -91,7 +102,7 @@ class Forest:
         """The least share of all (vector, tree) places whose visit finds RECALL of the k nearest, measured on the sample itself."""
         x = sample[:TRIAL_ROWS]
         leaf = self.leaf_of(x)
-        sizes = np.stack([np.bincount(leaf[:, t], minlength=self.leaves) for t in range(TREES)])
+        sizes = np.stack([np.bincount(leaf[:, t], minlength=self.leaves) for t in range(self.trees)])
         trials = np.arange(min(TRIALS, len(x)))
         scores = x[trials] @ x.T
         scores[trials, trials] = -np.inf
@@ -107,9 +118,15 @@ class Forest:
             for t, where in self.visits(margins[q], sizes, np.inf):
                 seen += sizes[t, where]
                 visit[t, where] = seen
-            first[q] = visit[np.arange(TREES)[None, :], leaf[nearest[q]]].min(1) / (len(x) * TREES)
+            first[q] = visit[np.arange(self.trees)[None, :], leaf[nearest[q]]].min(1) / (len(x) * self.trees)
         return float(np.quantile(first.ravel(), RECALL))
 
+    def chosen(self, sample: np.ndarray, k: int) -> tuple[Forest, float]:
+        """Of the numbers of trees that are tried that with the fewest products for the recall, and its share of places."""
+        tried = [(self.first(t), t) for t in TRIED]
+        shares = [f.share_for(sample, k) for f, _ in tried]
+        return min(zip([f for f, _ in tried], shares, strict=True), key=lambda x: (x[1] * x[0].trees, x[0].trees))
+
 
 def _placed(forest):
     """A task that adds each vector's leaf in every tree."""
@@ -186,7 +203,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     """query_id, rank, vec_id, score: for each of ``queries`` the k rows found of largest inner product, its own id left out.
 
     ``rows`` and ``queries`` have vec_id and embedding. Trees are fitted on the ``sample`` distinct vectors of lowest
-    hash (documented bound); every row is indexed. Each query walks all trees through one priority queue and looks into
+    hash (documented bound), and as many of them are used as need the fewest products on it; every row is indexed. Each query walks all trees through one priority queue and looks into
     leaves until they hold the share of places that gave a recall of 0.96 on the sample: a small one where
     vectors have structure, a large one where they are noise; and until they hold k + 1 distinct vectors, or all. The products of leaf candidates are exact, in double.
 
@@ -209,17 +226,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     classes = written(classes, "ann-classes")
     n = classes.count()
     fitted = matrix(classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toArrow().column("embedding"), np.float64)
-    forest = Forest(fitted, n)
-    share = forest.share_for(fitted, k)
+    forest, share = Forest(fitted, n).chosen(fitted, k)
     forest = spark.sparkContext.broadcast(forest)
     members = classes.select("cid", "rid", "embedding").mapInArrow(_placed(forest), "cid long, rid long, embedding array<float>, leaf array<int>")
     members = written(members, "ann-leaves")
-    sizes = np.zeros((TREES, forest.value.leaves), np.int64)
+    sizes = np.zeros((forest.value.trees, forest.value.leaves), np.int64)
     for r in members.select(F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r.tree, r.leaf] = r["count"]
 
     wanted = asked.groupBy("cid").agg(F.first("embedding").alias("embedding"))
-    probes = written(wanted.mapInArrow(_probes(forest, spark.sparkContext.broadcast(sizes), share * n * TREES, k + 1), "cid long, tree int, leaf int"), "ann-probes")
+    probes = written(wanted.mapInArrow(_probes(forest, spark.sparkContext.broadcast(sizes), share * n * forest.value.trees, k + 1), "cid long, tree int, leaf int"), "ann-probes")
     visits = probes.groupBy("tree", "leaf").count().collect()
     up = lambda x: int(-(-x // CHUNK))
     plan = F.broadcast(spark.createDataFrame([(r.tree, r.leaf, max(1, up(sizes[r.tree, r.leaf])), up(r["count"])) for r in visits], "tree int, leaf int, mcs int, qcs int"))

@@ -147,10 +147,10 @@ def test_nearest_of_few(spark):
     rng = np.random.default_rng(3)
     x = {n: (v := rng.normal(size=(n, 16))) / np.linalg.norm(v, axis=1)[:, None] for n in range(5, 31)}
     for n, v in x.items():
-        f = ann.Forest(v, n)
+        f, share = ann.Forest(v, n).chosen(v, 20)
         leaf = f.leaf_of(v)
-        sizes = np.stack([np.bincount(leaf[:, t], minlength=f.leaves) for t in range(ann.TREES)])
-        need = f.share_for(v, 20) * n * ann.TREES
+        sizes = np.stack([np.bincount(leaf[:, t], minlength=f.leaves) for t in range(f.trees)])
+        need = share * n * f.trees
         for m in f.margins(v):
             assert len({i for t, at in f.visits(m, sizes, need, 21) for i in np.flatnonzero(leaf[:, t] == at)}) >= min(n, 21)
     for n in (15, 20, 21):
