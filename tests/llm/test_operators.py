@@ -50,6 +50,25 @@ def test_url_filter(spark):
     assert everything(urls.filter_urls(spark.createDataFrame(given[:1], "page_id int, url string"), rules.limit(0)).select("verdict")) == [("allow",)]
 
 
+def test_many_rules(spark):
+    """10,000 rules with 300 lengths of paths against a plain longest match."""
+    rng = random.Random(7)
+    hosts = [f"{'m.' * (i % 3)}h{i % 400}.{'com' if i % 2 else 'org'}" for i in range(800)] + ["com", "org"]
+    rules = {}
+    for i in range(10_000):
+        rules[f"{rng.choice(hosts)}/{'abc'[i % 3] * (i % 300)}"] = rng.choice(["allow", "block"])
+    given = [(i, f"http://{'www.' * (i % 2)}{rng.choice(hosts)}/{rng.choice('abc') * rng.randint(0, 320)}") for i in range(1500)] + [(9000 + i, None) for i in range(500)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(given, "page_id int, url string"), spark.createDataFrame(list(rules.items()), "rule string, verdict string")).collect()}
+    for i, url in given:
+        want = None
+        if url:
+            host, path = url.removeprefix("http://").split("/", 1)
+            parts = host.split(".")
+            fits = [r for n in range(len(parts)) for k in range(len(path) + 1) if (r := ".".join(parts[n:]) + "/" + path[:k]) in rules]
+            want = max(fits, key=lambda r: (len(r), len(r.split("/")[0])), default=None)
+        assert got[i] == (want, rules.get(want, "allow"))
+
+
 def test_bloom_passes_few_others(spark):
     keys = spark.range(2000).select(F.concat(F.lit("h"), "id").alias("key"))
     bloom = urls.bloom_table(keys, "key", 64)
