@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: The hash has 60 bits; each level of histograms takes 10 of them.
 LEVELS, LEVEL_BITS = 6, 10
-#: Sources whose plan (some hundred bytes each) may be broadcast; with more, each source's documents are dealt into SALTS parts.
+#: Sources that are put in order in one task and whose plan (some hundred bytes each) may be broadcast; with more, they are sorted by range, and each source's documents are dealt into SALTS parts.
 BROADCAST_SOURCES, SALTS = 100_000, 32
 
 
@@ -27,30 +27,45 @@ def hash60(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def _before(rows: DataFrame, order: list[Column], sums: list[str], one_task: bool) -> DataFrame:
+    """``rows`` with before (how many come before it by ``order``) and before_c, the sum of column c over those.
+
+    In ``one_task``, for a bounded number of rows; else the rows are sorted by range, numbered within each part, and parts by the sums before them.
+    """
+    back = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    every = {"before": F.lit(1), **{f"before_{c}": F.col(c) for c in sums}}
+    over = lambda w: {name: F.coalesce(F.sum(c).over(w), F.lit(0)) for name, c in every.items()}
+    if one_task:
+        return rows.withColumns(over(back(Window.partitionBy())))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "mixing-ordered")
+    parts = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__{name}") for name, c in every.items()])
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", *[F.coalesce(F.sum(f"__{name}").over(upto), F.lit(0)).alias(f"__{name}") for name in every])
+    rows = rows.withColumns(over(back(Window.partitionBy("__part")))).join(F.broadcast(parts), "__part")  # one row a part
+    return rows.withColumns({name: F.col(name) + F.col(f"__{name}") for name in every}).drop("__part", *[f"__{name}" for name in every])
+
+
+def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, one_task: int = BROADCAST_SOURCES) -> DataFrame:
     """One row a source: source, source_size, target.
 
     Sources in code point order (null last) weigh ``weights`` in turn and share ``share`` of all sizes. A target stops
     at ``most`` times its source's size; the excess goes to the others by weight until none is above. With the sources
     sorted by cap a unit of weight that is a water level: those before the level are full, the others get it by weight.
-    The windows see one row a source, never documents.
+    Up to ``one_task`` sources, one row each, are put in order in one task; more are sorted by range.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    all_of = Window.partitionBy()
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("long"))
+    per = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mixing-per-source")
+    few = per.count() <= one_task
+    by_name = F.col("source").asc_nulls_last()
+    per = _before(per, [by_name], [], few)
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int")).cast("long")).drop("before")
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("x", F.col("cap") / F.col("w"))
-    by_x = Window.orderBy("x", F.col("source").asc_nulls_last())
-    per = per.withColumns({
-        "full": F.coalesce(F.sum("source_size").over(by_x.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(most)),
-        "rest": F.sum("w").over(by_x.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        "total": F.sum("source_size").over(all_of) * F.lit(float(share)),
-    })
-    per = per.withColumn("level", (F.col("total") - F.col("full")) / F.col("rest"))
-    water = F.max(F.when(F.col("x") > F.col("level"), F.col("level"))).over(all_of)
-    return per.withColumn("water", water).select(
-        "source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("w"))).alias("target")
-    )
+    sizes, weight = per.agg(F.sum("source_size"), F.sum("w")).first()
+    per = _before(per, [F.col("x").asc(), by_name], ["source_size", "w"], few)
+    level = (F.lit(float((sizes or 0) * share)) - F.col("before_source_size") * F.lit(float(most))) / (F.lit(weight or 0) - F.col("before_w"))
+    per = written(per.withColumn("level", level), "mixing-levels")
+    water = per.agg(F.max(F.when(F.col("x") > F.col("level"), F.col("level")))).first()[0]
+    return per.select("source", "source_size", (F.col("cap") if water is None else F.least(F.col("cap"), F.lit(water) * F.col("w"))).alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -112,7 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     docs = docs.drop(*new)
     skey = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("n"))
     sized = written(docs.select(F.col("source"), skey.alias("skey"), n_words().alias("size"), hash60().alias("hash")), "mixing-sizes")
-    per = source_targets(sized, weights, share, most).withColumn("skey", skey)
+    per = source_targets(sized, weights, share, most, broadcast_sources).withColumn("skey", skey)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = written(per.withColumn("base", base), "mixing-sources")
     budgets = per.select("skey", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))

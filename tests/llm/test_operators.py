@@ -523,6 +523,16 @@ def test_mixing_of_repeated_rows(spark):
         assert abs(taken["a"] - target["a"]) <= 1.5 and target["a"] % 3000
 
 
+def test_targets_of_many_sources(spark):
+    """200,000 sources, sorted by range, against the plain water level; and one task gives the same."""
+    sized = spark.range(200_000).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), "id")).alias("source"), (F.pmod(F.xxhash64("id"), F.lit(997)) + 1).alias("size"))
+    of = lambda **k: {r.source: (r.source_size, r.target) for r in mixing.source_targets(sized, **k).collect()}
+    many = of(one_task=10)
+    assert many == of()
+    want = plain_targets({s: n for s, (n, _) in many.items()})
+    assert len(many) == 200_000 and all(math.isclose(many[s][1], want[s], rel_tol=1e-9) for s in want)
+
+
 def test_mixing(spark, rows):
     given = rows + [(1000 + i, "one two three " * (i % 7), f"t{i % 11}") for i in range(400)]
     df = spark.createDataFrame(given, DOCS).withColumns({"size": F.lit("x"), "base": F.lit(5), "skey": F.lit(6)})
