@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -236,6 +237,89 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+class Tree(HTMLParser):
+    """A plain reader for the generated pages: a tree of well-formed elements, read by rule where the template puts the article."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = {"tag": "", "class": "", "of": []}
+        self.stack = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = {"tag": tag, "class": dict(attrs).get("class") or "", "of": []}
+        self.stack[-1]["of"].append(node)
+        if tag not in ("br", "img", "hr", "meta"):
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in [n["tag"] for n in self.stack]:
+            while self.stack.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.stack[-1]["of"].append(data)
+
+    def find(self, tag, start, node=None):
+        node = node or self.root
+        if node["tag"] == tag and node["class"].startswith(start):
+            return node
+        return next((f for n in node["of"] if isinstance(n, dict) and (f := self.find(tag, start, n))), None)
+
+    def text(self, node, out, junk):
+        if node["tag"] in ("script", "style", "form", "nav", "aside", "footer", "header", "button") or node["class"].split("-")[0] in junk:
+            return out
+        block = node["tag"] in ("p", "h1", "h2", "li", "div", "ul", "section", "article", "main", "blockquote")
+        out.extend([None] * block)
+        for n in node["of"]:
+            if isinstance(n, str):
+                out.append(n)
+            elif n["tag"] == "br":
+                out.append(" ")
+            else:
+                self.text(n, out, junk)
+        out.extend([None] * block)
+        return out
+
+
+def plain_article(page, tag, start, junk):
+    tree = Tree(page)
+    parts, blocks = tree.text(tree.find(tag, start), [], junk), [[]]
+    for p in parts:
+        blocks.append([]) if p is None else blocks[-1].append(p)
+    return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+
+
+def test_html_of_generated_pages(spark):
+    """Pages of eight templates, with menus, adverts, notices, related links, forms and comments in and around the article, against a plain tree reader that knows the template."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(["alpha", "béta", "ga&amp;mma", "&lt;delta&gt;", "ep\n silon", "zeta&#39;s", "\u0130ta", "&eacute;t&eacute;"]) for _ in range(n))
+    junk = ["ad", "comments", "related", "cookie", "share", "sidebar", "menu", "newsletter"]
+    templates = [("article", "post"), ("article", ""), ("main", "content"), ("div", "entry"), ("div", "story-body"), ("section", "text"), ("div", "article"), ("main", "")]
+    given, want = [], {}
+    for h, (tag, name) in enumerate(templates):
+        for i in range(12):
+            inside = [f"<h1>{say(3)}</h1>"]
+            for _ in range(rng.randint(1, 6)):
+                inside.append(rng.choice([f"<p>{say(rng.randint(8, 60))}</p>", f"<p>{say(9)}<br>{say(4)} <b>{say(2)}</b> <a href='/x'>{say(1)}</a> {say(9)}</p>", f"<h2>{say(2)}</h2><ul><li>{say(4)}</li><li>{say(5)}</li></ul>", f"<blockquote><p>{say(12)}</p></blockquote>"]))
+                inside.append(rng.choice(["", "<script>var a = '<p>no</p>';</script>", f'<div class="ad-{i}"><p>{say(6)}</p></div>', f'<div class="share"><a href="/s">{say(2)}</a></div>', "<!-- <p>no</p> -->", f"<form><p>{say(3)}</p><button>{say(1)}</button></form>"]))
+            inside.append(rng.choice(["", f'<div class="comments"><p>{say(50)}</p><p>{say(50)}</p></div>', f'<aside><p>{say(30)}</p></aside>']))
+            around = [f'<header><h2>{say(2)}</h2></header><nav><ul><li><a href="/">{say(1)}</a></li></ul></nav>', f'<div class="sidebar"><p>{say(rng.randint(5, 80))}</p></div>', f'<div class="related"><a href="/r">{say(4)}</a></div>', f'<div class="cookie-notice"><p>{say(20)}</p></div>', f'<footer><p>{say(15)}</p></footer>']
+            rng.shuffle(around)
+            cls = f'{name}-{i}' if name == "entry" else name
+            page = f"<!DOCTYPE html><html><head><title>{say(2)}</title><style>p {{}}</style></head><body>{''.join(around[:2])}<div class='wrap'><{tag} class=\"{cls}\">{''.join(inside)}</{tag}></div>{''.join(around[2:])}</body></html>"
+            want[100 * h + i] = plain_article(page, tag, name, junk)
+            given.append((100 * h + i, f"http://h{h}.com/{i}", page))
+    given += given[:3]  # repeated rows
+    long = "".join(f"<p>{say(200)}</p>" for _ in range(1500))
+    given.append((9000, "http://h0.com/long", f"<body><nav>x</nav><article class='post'>{long}</article></body>"))
+    want[9000] = plain_article(given[-1][2], "article", "post", junk)
+    got = html.extract_pages(spark.createDataFrame(given, "page_id long, url string, html string")).collect()
+    assert len(got) == len(given) and len(want[9000]) > 1_000_000
+    assert not [(r.page_id, r.text[:300], want[r.page_id][:300]) for r in got if r.text != want[r.page_id]][:2]
+
+
 def test_html_without_articles(spark):
     menu = '<div><a href="/">Home</a> | <a href="/b">Blog</a></div>'
     post = '<body>{m}<div class="post"><h1><a href="/{i}">Title {i}</a></h1><p>Lead {i}</p><div class="entry"><p>{t}</p></div></div><div class="related"><p>no</p></div></body>'
