@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -210,22 +211,29 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     Equal vectors are one class with its k + 1 smallest ids, which is all that k nearest can show, so copies cannot
     fill a leaf; larger leaves and larger sets of queries are split into blocks. The driver sees the sample, the trees
     and the size of each leaf: all bounded by the parameters. Vectors that are null, empty, zero or hold null or
-    non-finite components, and those of another length than most, take no part, as queries or candidates; rows with a
-    null vec_id neither. Repeated rows count once as candidates. Fewer than k candidates are all returned.
+    non-finite components take no part, as queries or candidates; rows with a null vec_id neither. Vectors of different
+    lengths have no product: each length is searched by itself, one after the other. Repeated rows count once as
+    candidates. Fewer than k candidates are all returned.
     """
-    spark = rows.sparkSession
-    valid = rows.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.xxhash64("embedding").alias("cid"))
-    asked = queries.filter(usable() & F.col("vec_id").isNotNull()).select("vec_id", F.xxhash64("embedding").alias("cid"), "embedding").dropDuplicates(["vec_id", "cid"])
-    schema = "query_id long, rank int, vec_id long, score double"
-    common = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    valid, asked = valid.filter(F.size("embedding") == common.dim), asked.filter(F.size("embedding") == common.dim)
-    ranked = valid.dropDuplicates(["vec_id", "cid"]).withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    classes = ranked.groupBy("cid").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = written(classes, "ann-classes")
+    fit = usable() & F.col("vec_id").isNotNull()
+    of = lambda df: df.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id", "embedding"])
+    valid, asked = of(rows), of(queries)
+    dims = [r[0] for r in asked.select(F.size("embedding")).distinct().collect()]
+    each = [_nearest(*(df.filter(F.size("embedding") == dim) for df in (valid, asked)), k, sample) for dim in sorted(dims)]
+    return reduce(DataFrame.unionByName, each, rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def _nearest(valid: DataFrame, asked: DataFrame, k: int, sample: int) -> DataFrame:
+    """nearest() among distinct vectors of one length."""
+    spark = valid.sparkSession
+    ranked = valid.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    classes = ranked.groupBy("embedding").agg(F.min("vec_id").alias("rid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # Numbers of written rows, so that no two classes share one.
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "ann-classes")
     n = classes.count()
-    fitted = matrix(classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toArrow().column("embedding"), np.float64)
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fitted = matrix(classes.orderBy(F.xxhash64("embedding"), "rid").limit(sample).select("embedding").toArrow().column("embedding"), np.float64)
     forest, share = Forest(fitted, n).chosen(fitted, k)
     forest = spark.sparkContext.broadcast(forest)
     members = classes.select("cid", "rid", "embedding").mapInArrow(_placed(forest), "cid long, rid long, embedding array<float>, leaf array<int>")
@@ -234,7 +242,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     for r in members.select(F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r.tree, r.leaf] = r["count"]
 
-    wanted = asked.groupBy("cid").agg(F.first("embedding").alias("embedding"))
+    wanted = written(asked.select("embedding").distinct().withColumn("cid", F.monotonically_increasing_id()), "ann-queries")
     probes = written(wanted.mapInArrow(_probes(forest, spark.sparkContext.broadcast(sizes), share * n * forest.value.trees, k + 1), "cid long, tree int, leaf int"), "ann-probes")
     visits = probes.groupBy("tree", "leaf").count().collect()
     up = lambda x: int(-(-x // CHUNK))
@@ -250,7 +258,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     near = best.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    found = asked.select(F.col("vec_id").alias("query_id"), "cid").join(lists, F.col("cid") == F.col("query"))
+    found = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(wanted, "embedding").select("query_id", "cid").join(lists, F.col("cid") == F.col("query"))
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return found.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 

@@ -156,6 +156,10 @@ def test_nearest(spark):
         hits += len({v for v, _ in found} & set(order.tolist()))
         assert [w for _, w in found] == sorted((w for _, w in found), reverse=True)
     assert hits / (8 * len(got)) >= 0.9
+    other = [(2000 + 20 * i, [float(i), 1.0, -2.0]) for i in range(5)]  # vectors of another length are searched among themselves
+    more = spark.createDataFrame(other, "vec_id long, embedding array<float>").unionByName(df)
+    near = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(more, more.filter("vec_id in (0, 2040, 1100)"), k=4).collect()}
+    assert [near[2040, i] for i in range(1, 5)] == [(2080, 13.0), (2060, 11.0), (2020, 7.0), (2000, 5.0)] and near[0, 1][0] == got[0][0][0] and len(near) == 8
     # a query that is one of many copies has the others first, the smallest ids of them
     assert [v for v, _ in got[20]] == [5, 10, 11, 12, 13, 14, 15, 16]
     few = df.filter("vec_id in (0, 1, 2)")
