@@ -17,7 +17,7 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
 #: Twice so many documents of either label are looked at, the lowest hashes of their ids; two of three train.
 SAMPLE = 2_000
 #: Words of either label that training may take: documents come in the order of their hashes until those before them hold
-#: so many. So at most twice this, of 12 bytes a word, and two documents more come to the driver (48 MB and these).
+#: so many. So at most twice this, of 6 bytes a word, and two documents more come to the driver (24 MB and these).
 WORD_BUDGET = 2_000_000
 #: Passes over the training documents, or as many as make so many steps; documents of a step; rate; seed.
 EPOCHS, STEPS, BATCH, RATE, SEED = 10, 1_500, 16, 0.02, 7
@@ -62,7 +62,7 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def features(text: np.ndarray) -> np.ndarray:
     found = [words(x)[0] for x in pieces(text, _WORD)]
-    return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int32)
+    return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.uint16)  # BUCKETS is 2**16
 
 
 class Model:
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, word_budget: i
         model.v[:] = 0
         model.b = -1.0
         return model
-    model = train([np.frombuffer(r[2], np.int32).reshape(-1, 3) for r in rows], toxic)
+    model = train([np.frombuffer(r[2], np.uint16).reshape(-1, 3).astype(np.int32) for r in rows], toxic)
     spark = docs.sparkSession
     rest = texts.filter("not trains").mapInArrow(_calibrated(spark.sparkContext.broadcast(model)), "doc_id long, toxic int, logit double, guess int").toArrow()
     if rest.num_rows:
