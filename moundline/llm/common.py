@@ -27,14 +27,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing lazy reads any more: what was made of them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._written)
+        _WRITTEN.remove(t._written)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables behind earlier results; call it once those are saved."""
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
 def text_hash(text: str | Column = "text") -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import lean_batches, table, text_hash, written
+from moundline.llm.common import discard, lean_batches, table, text_hash, written
 from moundline.llm.hashing import POWERS, mixed
 
 #: Bytes of a string that counts, batches that a table is dealt into.
@@ -301,13 +301,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     finally:
         if index is None:
             family.drop()
-    suffixes, d = suffixes.drop("new"), d.drop("new")
+    d = d.drop("new")
     # Written, so that the join below stands between two exchanges and a suffix with very many places is split.
     keys = written(reduce(DataFrame.unionByName, shared).select("f").distinct(), "shared-keys")
-    near = written(suffixes.drop("batch", "head", "next").join(keys, "f", "left_semi"), "shared-places")
+    near = written(suffixes.drop("new", "batch", "head", "next").join(keys, "f", "left_semi"), "shared-places")
+    discard(suffixes, keys, *shared)
 
     kinds = near.groupBy("f", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "lo", "hi")).alias("rep"))
-    kinds = written(kinds, "kinds")
+    kinds = place_kinds = written(kinds, "kinds")
     sure = near.join(kinds.filter("c > 1").select("f", "seg"), ["f", "seg"], "left_semi").select("doc_id", "h", F.struct("lo", "hi").alias("r"))
     open_ = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.max(F.col("c") == 1).alias("open")).filter("kinds > 1 and open").select("f")
     reps = kinds.join(open_, "f", "left_semi").select("rep.doc_id", "rep.h", F.struct("rep.pos", "rep.lo", "rep.hi", "f", (F.col("c") == 1).alias("single")).alias("w"))
@@ -319,7 +320,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     blocks = around.mapInArrow(_blocks(length), "doc_id long, h long, pos long, f long, single boolean, block long, d1 long, d2 long, full long, core long")
     blocks = written(blocks, "blocks")
     kinds = blocks.groupBy(*whole, "core").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "single")).alias("rep"))
-    kinds = written(kinds, "block-kinds")
+    kinds = block_kinds = written(kinds, "block-kinds")
     equal = blocks.filter("single").join(kinds.filter("c > 1").select(*whole), whole, "left_semi")
     equal = equal.select("doc_id", "h", F.struct((F.col("pos") - F.col("d2")).alias("lo"), (F.col("pos") - F.col("d1")).alias("hi")).alias("r"))
     new = (F.col("c") == 1) & F.col("rep.single")
@@ -330,7 +331,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     strings = written(left.mapInArrow(_strings(length), "doc_id long, h long, f long, single boolean, start long, w long"), "strings")
     twice = strings.groupBy("f", "w").count().filter("count > 1").drop("count")
     found = strings.filter("single").join(twice, ["f", "w"], "left_semi").select("doc_id", "h", F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("r"))
-    return sure.unionByName(equal).unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
+    ranges = sure.unionByName(equal).unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
+    ranges = written(ranges, "ranges")
+    discard(near, place_kinds, around, blocks, block_kinds, strings)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, index: SuffixIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
