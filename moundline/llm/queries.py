@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundline.llm import ann, bpe, embeddings, html, jaccard, lines, mixing, suffixes, toxicity, urls
+from moundline.llm import ann, bpe, divergence, embeddings, html, jaccard, lines, mixing, packing, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_mix_sources": mixing.op10,
+        "op12_packing": packing.op12,
+        "op13_source_divergence": divergence.op13,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": urls.OP1_SQL, "op2_suffix_dedup": suffixes.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op6_embedding_dedup": embeddings.OP6_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {
+        "op1_url_filter": urls.OP1_SQL,
+        "op2_suffix_dedup": suffixes.OP2_SQL,
+        "op4_line_dedup": lines.OP4_SQL,
+        "op6_embedding_dedup": embeddings.OP6_SQL,
+        "op7_jaccard_join": jaccard.OP7_SQL,
+        "op10_mix_sources": mixing.OP10_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
+    }
