@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundline.llm import ann, bpe, divergence, embeddings, html, jaccard, lines, mixing, packing, suffixes, toxicity, urls
+from moundline.llm import ann, bpe, divergence, embeddings, html, jaccard, lines, mixing, packing, periods, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_mix_sources": mixing.op10,
+        "op11_periodic_runs": periods.op11,
         "op12_packing": packing.op12,
         "op13_source_divergence": divergence.op13,
     }
@@ -30,5 +31,6 @@ def oracle_sql() -> dict:
         "op6_embedding_dedup": embeddings.OP6_SQL,
         "op7_jaccard_join": jaccard.OP7_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op11_periodic_runs": periods.OP11_SQL,
         "op13_source_divergence": divergence.OP13_SQL,
     }
