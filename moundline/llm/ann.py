@@ -213,10 +213,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     and the size of each leaf: all bounded by the parameters. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, as queries or candidates; rows with a null vec_id neither. Vectors of different
     lengths have no product: each length is searched by itself, one after the other. Repeated rows count once as
-    candidates. Fewer than k candidates are all returned.
+    candidates. Fewer than k candidates are all returned. Components may be of any numeric type, ids of any that casts to long.
     """
     fit = usable() & F.col("vec_id").isNotNull()
-    of = lambda df: df.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id", "embedding"])
+    # Single precision where both sides have it, else double.
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in (rows, queries)}
+    kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
+    of = lambda df: df.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).dropDuplicates(["vec_id", "embedding"])
     valid, asked = of(rows), of(queries)
     dims = [r[0] for r in asked.select(F.size("embedding")).distinct().collect()]
     each = [_nearest(*(df.filter(F.size("embedding") == dim) for df in (valid, asked)), k, sample) for dim in sorted(dims)]
@@ -225,7 +228,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
 
 def _nearest(valid: DataFrame, asked: DataFrame, k: int, sample: int) -> DataFrame:
     """nearest() among distinct vectors of one length."""
-    spark = valid.sparkSession
+    spark, kind = valid.sparkSession, valid.schema["embedding"].dataType.simpleString()
     ranked = valid.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     classes = ranked.groupBy("embedding").agg(F.min("vec_id").alias("rid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     # Numbers of written rows, so that no two classes share one.
@@ -236,7 +239,7 @@ def _nearest(valid: DataFrame, asked: DataFrame, k: int, sample: int) -> DataFra
     fitted = matrix(classes.orderBy(F.xxhash64("embedding"), "rid").limit(sample).select("embedding").toArrow().column("embedding"), np.float64)
     forest, share = Forest(fitted, n).chosen(fitted, k)
     forest = spark.sparkContext.broadcast(forest)
-    members = classes.select("cid", "rid", "embedding").mapInArrow(_placed(forest), "cid long, rid long, embedding array<float>, leaf array<int>")
+    members = classes.select("cid", "rid", "embedding").mapInArrow(_placed(forest), f"cid long, rid long, embedding {kind}, leaf array<int>")
     members = written(members, "ann-leaves")
     sizes = np.zeros((forest.value.trees, forest.value.leaves), np.int64)
     for r in members.select(F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():

@@ -35,11 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing lazy reads any more: what was made of them is written itself."""
     for t in tables:
-        _delete(t.sparkSession, t._written)
+        delete(t.sparkSession, t._written)
         _WRITTEN.remove(t._written)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -47,7 +47,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Deletes the tables behind earlier results; call it once those are saved."""
     while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+        delete(spark, _WRITTEN.pop())
 
 
 def text_hash(text: str | Column = "text") -> Column:

@@ -104,7 +104,8 @@ def near_dedup(rows: DataFrame, cosine: float = 0.98, chunk: int = CHUNK) -> Dat
     A row whose vector is null, empty, zero or holds null or non-finite components, or whose label is null, links with
     nothing and is its own component. Repeated rows are vectors of their own that link as copies do. Rows with a null
     vec_id take part; a component of only such rows has a null id. Columns called n_links, component_id or kept are
-    replaced. Vectors of different lengths never link.
+    replaced. Vectors of different lengths never link. Components may be of any numeric type, labels of any that can be
+    grouped and cast to text, ids of any type with an order.
     """
     spark = rows.sparkSession
     rows = rows.drop("n_links", "component_id", "kept")
@@ -115,8 +116,11 @@ def near_dedup(rows: DataFrame, cosine: float = 0.98, chunk: int = CHUNK) -> Dat
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, count = tables_for(largest, cosine)
-    base = classes.select("cid", F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "cnt", "embedding")
-    signed = written(base.mapInArrow(_signed(bits, count), "cid long, label long, dim int, cnt long, embedding array<float>, sig array<int>"), "signs")
+    # Single precision and whole numbers as they are, other vectors in double, other labels as text.
+    vectors = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    labels = "long" if rows.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    base = classes.select("cid", F.col("label").cast(labels).alias("label"), F.size("embedding").alias("dim"), "cnt", F.col("embedding").cast(vectors).alias("embedding"))
+    signed = written(base.mapInArrow(_signed(bits, count), f"cid long, label {labels}, dim int, cnt long, embedding {vectors}, sig array<int>"), "signs")
     thin = signed.select("cid", "label", "dim", F.posexplode("sig").alias("t", "key"))
     dealt = in_blocks(thin, ["label", "dim", "t", "key"], "cid", chunk).join(signed.select("cid", "cnt", "embedding", "sig"), "cid")
     found = by_block(dealt, ["label", "dim", "t", "key", "ca", "cb"]).mapInArrow(_linked(cosine), "cid long, links long, root long")

@@ -1,7 +1,8 @@
-"""Polynomial hashes of runs of bytes by prefix sums, without a loop over runs."""
+"""Hashes of words by mixed blocks of eight bytes, for all words of a text at once."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,22 +10,13 @@ import numpy as np
 #: Bytes that are looked at together, however long a text is.
 BLOCK = 1 << 18
 R = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one.
+LONG = 64
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (R, np.uint64(pow(int(R), -1, 1 << 64))):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-POWERS = _powers(BLOCK + 1)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -37,14 +29,25 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * POWERS[0][: len(data)], out=sums[1:])
-    return sums
+def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs of bytes from ``start`` to ``stop``: eight bytes after another are mixed in, in as many rounds as the longest run of up to LONG bytes has blocks."""
+    size = stop - start
+    out = mixed(size.astype(np.uint64) * R + np.uint64(salt))
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    done = 0
+    while len(left):
+        block = np.ascontiguousarray(blocks[start[left] + done]).view("<u8")[:, 0] & _ENDS[np.minimum(size[left] - done, 8)]
+        out[left] = mixed((out[left] ^ block) * R)
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = long_hash(data[start[i] : stop[i]], salt)
+    return out
 
 
-def between(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
-    return mixed((sums[stop] - sums[start]) * POWERS[1][start] + np.uint64(salt))
+def long_hash(word: np.ndarray, salt: int = 0) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(np.ascontiguousarray(word), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "<u8")[0]
 
 
 def pieces(text: np.ndarray, inside: np.ndarray) -> Iterator[np.ndarray]:
@@ -64,25 +67,11 @@ def pieces(text: np.ndarray, inside: np.ndarray) -> Iterator[np.ndarray]:
     yield text[at:]
 
 
-def long_hash(word: np.ndarray, salt: int = 0) -> np.uint64:
-    """As between() over a word of any length, by sums over blocks."""
-    total, shift, step = np.uint64(0), np.uint64(1), np.uint64(pow(int(R), BLOCK, 1 << 64))
-    with np.errstate(over="ignore"):
-        for at in range(0, len(word), BLOCK):
-            total += prefix_sums(word[at : at + BLOCK])[-1] * shift
-            shift *= step
-    return mixed(np.array([total]) + np.uint64(salt))[0]
-
-
 def word_hashes(text: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words (runs of bytes that are not ASCII white space), in order."""
     out = []
     for part in pieces(text, ~_SPACE):
-        if len(part) > BLOCK:
-            out.append(np.array([long_hash(part)]))
-            continue
-        start, stop = runs(~_SPACE[part])
-        out.append(between(prefix_sums(part), start, stop))
+        out.append(hashes(part, *runs(~_SPACE[part])))
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # noqa: SIM905
 DROPPED = frozenset("script style noscript template textarea title head iframe object svg math canvas audio video nav header footer aside form button select menu dialog".split())  # noqa: SIM905
 CONTAINERS = frozenset("article main section div td body blockquote".split())  # noqa: SIM905
+#: Articles and mains count more.
+BONUS = {"article": 3.0, "main": 2.0}
 UNNAMED, HEADINGS = frozenset(["", "html", "body"]), frozenset("h1 h2 h3 h4 h5 h6".split())  # noqa: SIM905
+PROSE = HEADINGS | {"p", "blockquote", "pre", "article", "main"}
 #: Words of class, id and role that mark what is not the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup "
@@ -27,6 +31,11 @@ UNWANTED = frozenset(
     "header masthead topbar footer foot copyright legal comment comments reply replies respond disqus discussion form login search toolbar skip hidden contentinfo complementary".split()  # noqa: SIM905
 )
 
+#: Of these, words that text can be about: as the first part of a class of an element within an article or of a paragraph they count only if its text is short or linked.
+DOUBTED = frozenset("share sharing social popular search follow trending legal rail alert notice notices form promotion copyright login subscription consent discussion banner".split())  # noqa: SIM905
+#: A doubted element has so many characters at least, and one in links in so many at most, to stay. A form stays that holds so much of the page's text, most of it prose.
+DOUBTED_CHARS, DOUBTED_LINKS, FORM_SHARE = 40, 3, 0.5
+
 #: Beside one of these a class says what its element does without, or has around it.
 SPARED = frozenset("with without has no not non free".split())  # noqa: SIM905
 
@@ -45,6 +54,20 @@ BROADCAST_HOSTS, SALTS = 100_000, 32
 CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
 
+class Suspect:
+    """A form, or an element with a doubted class, that starts at a place of the page: its text, what of it is in links, and in paragraphs and headings."""
+
+    __slots__ = ("at", "form", "chars", "linked", "prose")
+
+    def __init__(self, at: int, form: bool):
+        self.at, self.form, self.chars, self.linked, self.prose = at, form, 0, 0, 0
+
+    def stays(self, wanted: int) -> bool:
+        if self.form:
+            return self.chars > FORM_SHARE * (wanted + self.chars) and 2 * self.prose >= self.chars
+        return self.chars >= DOUBTED_CHARS and self.chars >= DOUBTED_LINKS * self.linked
+
+
 class Node:
     """An open or closed element that can hold text: its step of the path, whether it or what holds it is unwanted, its range of blocks.
 
@@ -52,11 +75,14 @@ class Node:
     headings and of its blocks that are not mostly links. The page itself is the node with the tag "".
     """
 
-    __slots__ = ("tag", "step", "bad", "first", "stop", "chars", "linked", "plain", "parent", "depth", "key")
+    __slots__ = ("tag", "step", "bad", "suspect", "within", "first", "stop", "chars", "linked", "plain", "parent", "depth", "key")
 
-    def __init__(self, tag: str, step: str, bad: bool, first: int, parent: Node | None):
+    def __init__(self, tag: str, step: str, bad: bool, suspect: Suspect | None, first: int, parent: Node | None):
         self.tag, self.step, self.first, self.stop, self.parent = tag, step, first, -1, parent
-        self.bad = bad or bool(parent and parent.bad)
+        # Unwanted for a reason that may not hold, and for no other.
+        self.suspect = None if bad else parent.suspect if parent and parent.bad else suspect
+        self.bad = bad or bool(suspect) or bool(parent and parent.bad)
+        self.within = tag in BONUS or bool(parent and parent.within)
         self.depth = parent.depth + 1 if parent else 0
         # The page, html and body stand for themselves in no page that leaves them out, so they are no steps.
         self.key = (parent.key if parent else 0) if tag in UNNAMED else hash((parent.key if parent else 0, step))
@@ -79,20 +105,25 @@ def _key(path: str) -> int:
     return key
 
 
-def _step(tag: str, attributes: str, by_class: bool) -> tuple[str, bool]:
-    """The tag with its classes, digits cut off, as a step of a path; whether it marks what is not the article."""
-    classes, bad = [], tag in DROPPED
+def _step(tag: str, attributes: str, by_class: bool, within: bool) -> tuple[str, bool, bool]:
+    """The tag with its classes, digits cut off, as a step of a path; whether it marks what is not the article, and whether only a doubted word says so."""
+    classes, bad, doubted = [], tag in DROPPED and tag != "form", False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             bad = True
         elif name in ("class", "id", "role"):
             for part in value.split() if by_class and tag not in ("html", "body", "article", "main") else ():
-                found = {w.lower() for w in WORD.findall(CAMEL.sub(" ", part))}
-                bad = bad or bool(found & UNWANTED and not found & SPARED)
+                found = [w.lower() for w in WORD.findall(CAMEL.sub(" ", part))]
+                marks = UNWANTED.intersection(found)
+                if marks and not SPARED.intersection(found):
+                    if marks <= DOUBTED and found[-1] not in UNWANTED and (within or tag in PROSE):
+                        doubted = True
+                    else:
+                        bad = True
             if name == "class":
                 classes += [c for part in value.split() if (c := re.sub(r"[\d_-]+$", "", re.sub(r"[\d>]+", "", part)))]
-    return ".".join([tag, *sorted(set(classes))]), bad
+    return ".".join([tag, *sorted(set(classes))]), bad, doubted
 
 
 def parse(html: str) -> tuple[list[str], list[bool], list[Node]]:
@@ -102,13 +133,24 @@ def parse(html: str) -> tuple[list[str], list[bool], list[Node]]:
 
 
 def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]]:
+    """As _read; once more where forms or doubted elements turn out to be text, as when a form holds the whole page."""
+    found, suspects = _read(html, by_class, frozenset())
+    wanted = sum(len(b) for b, w in zip(found[0], found[1], strict=True) if w)
+    stay = frozenset(x.at for x in suspects if x.stays(wanted))
+    return _read(html, by_class, stay)[0] if stay else found
+
+
+def _read(html: str, by_class: bool, stay: frozenset[int]) -> tuple[tuple[list[str], list[bool], list[Node]], list[Suspect]]:
     """The page's text blocks (white space folded), which of them are wanted, and itself and its elements, in page order.
 
-    One pass over the tags with a stack of open elements; elements left open end with what holds them.
+    One pass over the tags with a stack of open elements; elements left open end with what holds them. Suspects are
+    unwanted here, but for those that start at a place in ``stay``.
     """
     blocks: list[str] = []
     wanted: list[bool] = []
-    nodes: list[Node] = [Node("", "", False, 0, None)]
+    nodes: list[Node] = [Node("", "", False, None, 0, None)]
+    suspects: list[Suspect] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     stack: list[Node] = [nodes[0]]
     links, linked = 0, 0
@@ -122,6 +164,10 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
                 bad = stack[-1].bad
                 blocks.append(text)
                 wanted.append(not bad)
+                if x := stack[-1].suspect:
+                    x.chars += len(text)
+                    x.linked += min(linked, len(text))
+                    x.prose += len(text) if stack[-1].tag in PROSE else 0
                 if not bad:
                     stack[-1].chars += len(text)
                     stack[-1].linked += min(linked, len(text))
@@ -132,6 +178,7 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
     def close(n: int) -> None:
         for node in stack[n:]:
             node.stop = len(blocks)
+            opened[node.tag] -= 1
         del stack[n:]
 
     at = 0
@@ -149,7 +196,7 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
                 links = max(0, links - 1)
             if tag in BLOCKS:
                 end_block()
-            if tag in BLOCKS or tag in DROPPED:
+            if opened[tag]:  # else the stack is not looked through
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag == tag:
                         end_block()
@@ -177,9 +224,13 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
                 close(len(stack) - 1)
             if tag in VOID:
                 continue
-            step, bad = _step(tag, m[3] or "", by_class)
-            node = Node(tag, step, bad, len(blocks), stack[-1])
+            step, bad, doubted = _step(tag, m[3] or "", by_class, stack[-1].within)
+            suspect = Suspect(m.start(), tag == "form") if (tag == "form" or doubted) and m.start() not in stay else None
+            node = Node(tag, step, bad, suspect, len(blocks), stack[-1])
+            if suspect and node.suspect is suspect:
+                suspects.append(suspect)
             stack.append(node)
+            opened[tag] += 1
             nodes.append(node)
     parts.append(html[at:])
     end_block()
@@ -189,11 +240,7 @@ def _parse(html: str, by_class: bool) -> tuple[list[str], list[bool], list[Node]
             node.parent.chars += node.chars
             node.parent.linked += node.linked
             node.parent.plain += node.plain
-    return blocks, wanted, nodes
-
-
-#: Articles and mains count more.
-BONUS = {"article": 3.0, "main": 2.0}
+    return (blocks, wanted, nodes), suspects
 
 
 def _score(n: Node) -> float:
@@ -281,6 +328,8 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> D
     or main, else what holds all text besides links): tags with their classes, digits cut off. Votes are counted per host; then each page is extracted again at the host's winning
     paths, the first that it holds, or at its own best container if it holds none. Menus, headers, footers,
     sidebars, notices, adverts, forms, comments, scripts and styles inside it are left out; blocks are joined by ``\\n``.
+    A form that holds most of the page's text, as prose, is a container like others. A class whose first part only is
+    such a word ("share-price") leaves out, within an article or on a paragraph, what is short or mostly linked.
 
     Null html counts as empty; its text, and that of a page without text, is empty. Pages without a host have no
     consensus and use their own best. Repeated rows stay. Columns called text or n_chars are replaced.

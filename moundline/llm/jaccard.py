@@ -236,11 +236,14 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
     Null texts and texts without words have no shingles and link with nothing, each its own class. Rows that repeat
     doc_id and text are documents of their own that link as copies do, all of them kept or none. Other columns
-    of ``docs`` are not read.
+    of ``docs`` are not read; doc_id may be of any type with an order. Words are told apart by 64-bit hashes.
+
+    With fewer than MEASURED documents matched in the forest, the depth of its prefixes is that of the target recall for
+    matches at the threshold itself, not the measured one; the result is the same up to that recall.
     """
     lean_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
-    signed = written(rows.mapInArrow(_signed(words), "doc_id long, h long, n int, s1 long, s2 long, sig array<int>"), "signatures")
+    rows = docs.select("doc_id", text_hash().alias("h"), "text")
+    signed = written(rows.mapInArrow(_signed(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n int, s1 long, s2 long, sig array<int>"), "signatures")
     same = ["s1", "s2", "n"]
     classes = signed.filter("n > 0").groupBy(*same).agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("sig").alias("sig"))
     # Numbers of written rows, so that no two classes share one.

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.common import discard, lean_batches, table, text_hash, written
-from moundline.llm.hashing import POWERS, mixed
+from moundline.llm.common import delete, discard, lean_batches, table, text_hash, written
+from moundline.llm.hashing import R, mixed
+from moundline.session import scratch
 
 #: Bytes of a string that counts, batches that a table is dealt into.
 LENGTH, BATCHES = 400, 4
@@ -20,7 +21,8 @@ LENGTH, BATCHES = 400, 4
 STARTS, SPAN = 1 << 17, 16
 #: Position bits in a packed minimum.
 _LOW = np.uint64((1 << 20) - 1)
-_BYTE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64)
+#: Bytes that are mixed to a number before the polynomial: one of bytes alone, modulo 2^64, has equal values for some different strings whatever its base.
+GRAM = 8
 
 
 def sample_size(length: int) -> int:
@@ -28,14 +30,37 @@ def sample_size(length: int) -> int:
     return max(1, 2 * length // 5)
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * POWERS[0][: len(data)], out=out[1:])
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (R, np.uint64(pow(int(R), -1, 1 << 64))):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+POWERS = _powers((1 << 18) + 1)
+
+
+def _gram(length: int) -> int:
+    """Bytes of a gram where strings of ``length`` bytes are sampled: none of the strings that are hashed then is shorter."""
+    return GRAM if sample_size(length) >= GRAM else 1
+
+
+def _sums(data: np.ndarray, gram: int) -> np.ndarray:
+    """Sums over the grams before each place: each gram's bytes mixed, times a power of R."""
+    grams, width = data.astype(np.uint64), 1
+    while width < gram:
+        grams = grams[:-width] | grams[width:] << np.uint64(8 * width)
+        width *= 2
+    out = np.zeros(max(0, len(grams)) + 1, np.uint64)
+    np.cumsum(mixed(grams * R + np.uint64(17)) * POWERS[0][: len(grams)], out=out[1:])
     return out
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-    return mixed((sums[start + length] - sums[start]) * POWERS[1][start])
+def _hash(sums: np.ndarray, start: np.ndarray, length, gram: int) -> np.ndarray:
+    """Hashes of ``length`` bytes from each start on, from the sums over their grams."""
+    return mixed((sums[start + length - gram + 1] - sums[start]) * POWERS[1][start])
 
 
 def _windows_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -55,17 +80,17 @@ def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     same offset. lo and hi: first and last start of the strings that sampled it; head and next: its first 8 bytes and the
     8 after them, in their order; f: hash of its first sample_size bytes; seg: hash of all bytes of its strings and their place around it.
     """
-    size = sample_size(length)
+    size, gram = sample_size(length), _gram(length)
     out = []
     for a in range(0, len(data) - length + 1, STARTS):
         part = data[a : a + STARTS + length - 1]
-        sums, n = _sums(part), len(part) - length + 1
-        h = _hash(sums, np.arange(len(part) - size + 1), size)
+        sums, n = _sums(part, gram), len(part) - length + 1
+        h = _hash(sums, np.arange(len(part) - size + 1), size, gram)
         at = (_windows_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), length - size + 1) & _LOW).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         hi = np.append(lo[1:], n) - 1
         pos = at[lo]
-        seg = mixed(_hash(sums, lo, hi - lo + length) + (pos - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
+        seg = mixed(_hash(sums, lo, hi - lo + length, gram) + (pos - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
         first = np.zeros((len(pos), 16), np.uint8)
         for j in range(min(16, size)):
             first[:, j] = part[pos + j]
@@ -125,7 +150,9 @@ class SuffixIndex:
     def _array(self, rows: DataFrame) -> None:
         made = f"new_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.write.bucketBy(n, *KEY).sortBy(*KEY).option("compression", "zstd").saveAsTable(made)
+        # In the shared folder, not in the warehouse, which may be a folder of one machine.
+        place = f"{scratch(self.spark)}/{made}"
+        rows.write.bucketBy(n, *KEY).sortBy(*KEY).option("compression", "zstd").option("path", place).saveAsTable(made)
         rank = self.spark.table(made).count().bit_length()
         self.spark.sql(f"ALTER TABLE {made} RENAME TO {self.prefix}{rank}_{uuid.uuid4().hex}")
 
@@ -141,7 +168,7 @@ class SuffixIndex:
             first = F.least("o", "p")
             self._array(both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), first["doc_id"].alias("doc_id"), first["pos"].alias("pos")))
             for gone in pair:
-                self.spark.sql(f"DROP TABLE {gone}")
+                self._drop(gone)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """Adds a batch (the key, doc_id and pos of sampled suffixes); those of which a long match was found, in the batch itself or in a level, as a written table."""
@@ -157,7 +184,12 @@ class SuffixIndex:
 
     def drop(self) -> None:
         for _, level in self.levels:
-            self.spark.sql(f"DROP TABLE {level}")
+            self._drop(level)
+
+    def _drop(self, level: str) -> None:
+        place = self.spark.sql(f"DESCRIBE FORMATTED {level}").filter("col_name = 'Location'").first().data_type
+        self.spark.sql(f"DROP TABLE {level}")
+        delete(self.spark, place)
 
 
 def _contexts(length: int):
@@ -174,7 +206,7 @@ def _contexts(length: int):
                     held.append((batch.column("doc_id")[i].as_py(), batch.column("h")[i].as_py(), w["pos"], w["lo"], w["hi"], w["f"], w["single"], cut))
                     size += len(cut)
                 if held and (size > 8 << 20 or i == batch.num_rows - 1):
-                    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+                    kinds = [batch.column("doc_id").type] + [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
                     held, size = [], 0
 
@@ -188,17 +220,17 @@ def _blocks(length: int):
     context. full: hash of all bytes of these strings. core: of the bytes that every string of the block holds, wherever
     it is; strings can be equal only if the cores of their blocks are.
     """
-    span = min(SPAN, max(1, length // 4))
+    span, gram = min(SPAN, max(1, length // 4)), _gram(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, made = [], []
             pos, lo, hi = (batch.column(c).to_numpy() for c in ("pos", "lo", "hi"))
             for i, cut in enumerate(batch.column("bytes")):
-                sums = _sums(_bytes(cut))
+                sums = _sums(_bytes(cut), gram)
                 j = np.arange((pos[i] - hi[i]) // span, (pos[i] - lo[i]) // span + 1)
                 d1, d2, at = np.maximum(span * j, pos[i] - hi[i]), np.minimum(span * j + span - 1, pos[i] - lo[i]), pos[i] - lo[i]
-                full, core = _hash(sums, at - d2, d2 - d1 + length), _hash(sums, at - span * j, length - span + 1)
+                full, core = _hash(sums, at - d2, d2 - d1 + length, gram), _hash(sums, at - span * j, length - span + 1, gram)
                 row.append(np.full(len(j), i))
                 made.append((j, d1, d2, full.view(np.int64), core.view(np.int64)))
             if row:
@@ -211,7 +243,7 @@ def _blocks(length: int):
 
 def _strings(length: int):
     """A task: for each context with blocks that are left, the offset and hash of each of their strings; single: whether the block may hold a new one."""
-    span = min(SPAN, max(1, length // 4))
+    span, gram = min(SPAN, max(1, length // 4)), _gram(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +258,7 @@ def _strings(length: int):
                 single.append(new[near])
                 row.append(np.full(len(d), i))
                 offset.append(d)
-                value.append(_hash(_sums(_bytes(cut)), pos[i] - d - lo[i], length).view(np.int64))
+                value.append(_hash(_sums(_bytes(cut), gram), pos[i] - d - lo[i], length, gram).view(np.int64))
                 size += len(d)
                 if size > 100_000 or i == batch.num_rows - 1:
                     at, d, w = np.concatenate(row), np.concatenate(offset), np.concatenate(value)
@@ -290,9 +322,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     """
     spark = docs.sparkSession
     lean_batches(spark)
-    of = lambda df, new: df.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text", F.lit(new).alias("new"))
+    of = lambda df, new: df.select("doc_id", text_hash().alias("h"), "text", F.lit(new).alias("new"))
     d = of(docs, True).unionByName(of(earlier, False)) if earlier is not None else of(docs, True)
-    schema = "doc_id long, h long, new boolean, " + ", ".join(f"{c} long" for c in _SAMPLE)
+    doc_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    schema = f"{doc_id}, h long, new boolean, " + ", ".join(f"{c} long" for c in _SAMPLE)
     suffixes = d.mapInArrow(_suffixes(length), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).cast("int"))
     suffixes = written(suffixes, "suffixes")
     family = index or SuffixIndex(spark)
@@ -314,10 +347,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     reps = kinds.join(open_, "f", "left_semi").select("rep.doc_id", "rep.h", F.struct("rep.pos", "rep.lo", "rep.hi", "f", (F.col("c") == 1).alias("single")).alias("w"))
     wanted = reps.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list("w").alias("wanted"))
     texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("doc_id", "h", "text", "wanted")
-    around = written(texts.mapInArrow(_contexts(length), "doc_id long, h long, pos long, lo long, hi long, f long, single boolean, bytes binary"), "contexts")
+    around = written(texts.mapInArrow(_contexts(length), f"{doc_id}, h long, pos long, lo long, hi long, f long, single boolean, bytes binary"), "contexts")
 
     whole = ["f", "block", "d1", "d2", "full"]
-    blocks = around.mapInArrow(_blocks(length), "doc_id long, h long, pos long, f long, single boolean, block long, d1 long, d2 long, full long, core long")
+    blocks = around.mapInArrow(_blocks(length), f"{doc_id}, h long, pos long, f long, single boolean, block long, d1 long, d2 long, full long, core long")
     blocks = written(blocks, "blocks")
     kinds = blocks.groupBy(*whole, "core").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "pos", "single")).alias("rep"))
     kinds = block_kinds = written(kinds, "block-kinds")
@@ -328,7 +361,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, batches: int = BATCH
     left = kinds.join(open_, ["f", "block", "core"], "left_semi").select("rep.doc_id", "rep.h", "rep.pos", F.struct("block", new.alias("single")).alias("b"))
     left = left.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("pos").alias("__pos")).agg(F.collect_list("b").alias("blocks"))
     left = around.join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("pos") == F.col("__pos"))).drop("__id", "__h", "__pos")
-    strings = written(left.mapInArrow(_strings(length), "doc_id long, h long, f long, single boolean, start long, w long"), "strings")
+    strings = written(left.mapInArrow(_strings(length), f"{doc_id}, h long, f long, single boolean, start long, w long"), "strings")
     twice = strings.groupBy("f", "w").count().filter("count > 1").drop("count")
     found = strings.filter("single").join(twice, ["f", "w"], "left_semi").select("doc_id", "h", F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("r"))
     ranges = sure.unionByName(equal).unionByName(found).groupBy("doc_id", "h").agg(F.collect_list("r").alias("ranges"))
@@ -352,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in docs.columns if c != "text"]
     ranges = repeated_strings(docs, length, batches, index, earlier).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
-    found = docs.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__h")), "left").select(*keep, "text", "__ranges")
+    found = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__h")), "left").select(*keep, "text", "__ranges")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return found.mapInArrow(_removed(length, keep), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundline.llm.common import lean_batches, table, text_hash, written
-from moundline.llm.hashing import BLOCK, between, long_hash, mixed, pieces, prefix_sums, runs
+from moundline.llm.hashing import BLOCK, hashes, mixed, pieces, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
@@ -43,20 +43,16 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in a block of UTF-8 from pieces() and where they start: (words, 3) for the whole word and its first 4 and 5 bytes.
 
-    A word is a run of letters and digits; ASCII and Latin-1 letters are folded to lower case. Hashes are differences of
-    prefix sums of a polynomial, so there is no loop over words.
+    A word is a run of letters and digits; ASCII and Latin-1 letters are folded to lower case.
     """
     inside = _WORD[data]
     low = _FOLD[data]
     upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
     low[upper] += 0x20
-    if len(data) > BLOCK:  # one word
-        return np.array([[long_hash(low, 0), long_hash(low[:4], 1), long_hash(low[:5], 2)]]), np.zeros(1, np.int64)
     start, end = runs(inside)
-    sums = prefix_sums(low)
     made = np.empty((len(start), 3), np.uint64)
     for c, stop in enumerate((end, np.minimum(start + 4, end), np.minimum(start + 5, end))):
-        made[:, c] = between(sums, start, stop, c)
+        made[:, c] = hashes(low, start, stop, c)
     return made, start
 
 
@@ -77,9 +73,9 @@ class Model:
         self.b = 0.0
         self.at: dict[str, float] = {}
         codes = [(w, lang) for lang, ws in FUNCTION_WORDS.items() for w in ws.split()]
-        hashes = np.array([words(np.frombuffer(w.encode(), np.uint8))[0][0, 0] for w, _ in codes])
-        order = np.argsort(hashes)
-        self.known, self.lang = hashes[order], np.array([list(FUNCTION_WORDS).index(x) for _, x in codes])[order]
+        known = np.array([words(np.frombuffer(w.encode(), np.uint8))[0][0, 0] for w, _ in codes])
+        order = np.argsort(known)
+        self.known, self.lang = known[order], np.array([list(FUNCTION_WORDS).index(x) for _, x in codes])[order]
 
     def maps(self, ids: np.ndarray) -> dict[int, np.ndarray]:
         """Filter responses of each window; a window that ends beyond the last word is left out."""

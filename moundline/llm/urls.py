@@ -19,7 +19,7 @@ BROADCAST_BLOCKS = 1 << 20
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host after the first ``://`` up to ``/ ? #`` (A-Z lower-cased), path up to ``?`` or ``#``; both empty without ``://`` or for null."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.lit((1 << 31) - 1))).otherwise(F.lit(""))
     plain = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
     host = F.translate(F.regexp_extract(plain, r"(?s)^([^/]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(plain, r"(?s)^[^/]*(.*)$", 1)
