@@ -1,4 +1,4 @@
-"""python -m moundline --pitcher NAME --season YEAR: cleans what has landed, stores it, and writes a report; --smoke prints the checks instead, --summary what the raw file holds."""
+"""python -m moundline --pitcher NAME --season YEAR: cleans what has landed, stores it, and writes a report; --smoke prints the checks instead, --summary what the raw file holds; --check FOLDER looks at the headers of landed files."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from moundline.functions.names import slug
 from moundline.operators import metrics, quality
 from moundline.operators.clean import prepare_for_storage
 from moundline.session import local, ship
-from moundline.sources.landing import check_columns, check_not_html, numeric_counts, read_landing
+from moundline.sources.landing import check_source, header_report, land, numeric_counts, quarantine
 from moundline.sources.players import resolve_player
 from moundline.sources.remote import fetch_player_season
 from moundline.sources.store import ORDINAL, PitchStore
@@ -63,7 +63,8 @@ def summary(raw: DataFrame) -> None:
 
 def main() -> None:
     ask = argparse.ArgumentParser(prog="moundline")
-    ask.add_argument("--pitcher", required=True, help="name, or id with --player-id")
+    ask.add_argument("--check", help="a file or folder: print which landed files are no CSV or lack columns, and stop")
+    ask.add_argument("--pitcher", help="name, or id with --player-id")
     ask.add_argument("--player-id", type=int)
     ask.add_argument("--season", type=int, default=config.get("data.default_season"))
     ask.add_argument("--register", help="CSV of players, needed to find a name")
@@ -71,7 +72,13 @@ def main() -> None:
     ask.add_argument("--smoke", action="store_true", help="print the checks of the stored season")
     ask.add_argument("--summary", action="store_true", help="print what the raw file holds, and stop")
     own = ask.parse_args()
+    if not own.check and not own.pitcher:
+        ask.error("--pitcher or --check is needed")
     spark = local()
+    if own.check:
+        bad = header_report(spark, own.check)
+        bad.show(truncate=False)
+        sys.exit(not bad.isEmpty())
     ship(spark)
     store = PitchStore(spark)
     player = own.player_id or resolve_player(spark.read.option("header", True).csv(own.register), own.pitcher).mlbam_id
@@ -82,9 +89,11 @@ def main() -> None:
             os.makedirs(os.path.dirname(landed), exist_ok=True)
             with open(landed, "w") as f:
                 f.write(fetch_player_season(player, own.season))
-        check_not_html(spark, landed)
-        raw = read_landing(spark, landed)
-        check_columns(raw)
+        check_source(spark, landed)
+        found = land(spark, landed)
+        raw = found.rows
+        if lost := quarantine(found, f"{config.resolve_path('data.landing_path')}/rejected"):
+            print(lost, "rows of another width than their header are in", f"{config.resolve_path('data.landing_path')}/rejected")
         if own.summary:
             summary(raw.drop(ORDINAL))
             return

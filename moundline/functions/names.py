@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def strip_accents(text: str) -> str:
@@ -24,15 +23,34 @@ def slug(text: str) -> str:
     return text.lower().replace(" ", "_")
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents_column(names: pd.Series) -> pd.Series:
-    """Spark has no built-in decomposition; Arrow batches."""
-    return names.map(strip_accents, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def title_column(names: pd.Series) -> pd.Series:
-    return names.map(title, na_action="ignore")
+@cache
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """By the Unicode tables: letters whose plain form is one other letter, these forms, followed by marks that go; and letters with longer forms. Hangul is left out."""
+    one, marks, more = {}, [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200)):
+        letter = chr(code)
+        plain = strip_accents(letter)
+        if unicodedata.combining(letter):
+            marks.append(letter)
+        elif plain != letter:
+            one.update({letter: plain}) if len(plain) == 1 else more.update({letter: plain})
+    return "".join([*one, *marks]), "".join(one.values()), more
+
+
+def strip_accents_column(name: Column | str) -> Column:
+    """As strip_accents, as an expression: letters are translated one by one, and letters with longer plain forms (ligatures) replaced where a name has any. Hangul syllables stay whole."""
+    c = F.col(name) if isinstance(name, str) else name
+    letters, forms, more = _decomposed()
+    known = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.translate(F.when(c.rlike("[" + "".join(more) + "]"), spelled).otherwise(c), letters, forms)
+
+
+def title_column(name: Column | str) -> Column:
+    """As title, as an expression: runs of letters, each with a capital in front."""
+    c = F.col(name) if isinstance(name, str) else name
+    runs = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{No}\p{Nl}]+|[^\p{L}\p{No}\p{Nl}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
 
 
 def first_and_last(name: Column) -> tuple[Column, Column]:

@@ -109,6 +109,32 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_landing(spark, path).drop(ORDINAL_OF_FILES)
 
 
+def _landed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files with three headers (another order, other columns) and of files whose rows are too short or too long."""
+    path = f"{scratch(spark)}/landed-{uuid.uuid4().hex}"
+    df = raw_pitches(spark, sf_dir)
+    kind = F.col("game_pk") % 5
+    for i, (names, codec) in enumerate(((_LANDED, "gzip"), (_LANDED[::-1], "none"), (["zone", "pitch_type", "game_pk", "pitch_number"], "none"))):
+        df.filter(kind == i).select(*names).write.options(header=True, compression=codec).csv(f"{path}/kind={i}")
+    # Rows of one field (another separator, so that commas need no quotes) under a header of three columns.
+    short, long = F.concat_ws(",", "game_pk", "pitcher"), F.concat_ws(",", "game_pk", "pitcher", "batter", "inning")
+    broken = df.filter(kind > 2).select(F.when(kind == 3, short).otherwise(long).alias("game_pk,pitcher,batter"))
+    broken.write.options(header=True, sep="\x01").csv(f"{path}/kind=3")
+    return f"{path}/kind=*"
+
+
+def landed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several headers, each read by its own; columns that were not asked for are kept as one text."""
+    rows = landing.land(spark, _landed_folder(spark, sf_dir), _LANDED, rescue=True).rows.drop(ORDINAL_OF_FILES)
+    return rows.withColumn("rescued", F.element_at("_rescued", "zone")).drop("_rescued")
+
+
+def landed_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose width is not that of their header; each has a line of its own in its file."""
+    rejected = landing.land(spark, _landed_folder(spark, sf_dir)).rejected
+    return rejected.groupBy("record", "columns").agg(F.count_distinct("file", "line").alias("lines"))
+
+
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("mlbam_id", "season", "player_type", store.is_fresh(CLOCK, 1).alias("fresh"))
 
@@ -191,8 +217,10 @@ QUERIES = {
     "upsert_pitches": upserted,
     "upsert_fetch_log": log_upserted,
     "landed_csv": landed,
+    "landed_headers": landed_headers,
+    "landed_rejected": landed_rejected,
     "player_names": player_names,
-    "players_latest": lambda s, d: players.latest_by_name(register(s, d)),
+    "players_latest": lambda s, d: players.latest_by_name(register(s, d)).withColumn("candidates", F.array_join("candidates", ",")),
     "stored_pitches": stored,
     "load_pitcher_season": lambda s, d: store.pitcher_season(stored(s, d), 6, 1995),
     "cache_summary": lambda s, d: store.summary(log(s, d), named(s, d)),
@@ -245,8 +273,10 @@ ORACLES = {
     "upsert_pitches": f"{_WITH}, st AS (SELECT CASE WHEN pitcher % 2 = 1 THEN game_pk + 1000000000 ELSE game_pk END AS game_pk, at_bat_number, pitch_number, pitcher, release_speed + 1000 AS release_speed FROM p) SELECT game_pk, at_bat_number, pitch_number, pitcher, release_speed FROM p WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.game_pk = p.game_pk AND st.at_bat_number = p.at_bat_number AND st.pitch_number = p.pitch_number) UNION ALL SELECT * FROM st",
     "upsert_fetch_log": f"{_WITH}, {_LOG}, st AS (SELECT mlbam_id, CAST(CASE WHEN mlbam_id % 3 = 0 THEN season + 100 ELSE season END AS INTEGER) AS season, player_type, row_count + 1 AS row_count, fetched_at + INTERVAL 1 DAY AS fetched_at FROM log) SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.mlbam_id = log.mlbam_id AND st.season = log.season AND st.player_type = log.player_type) UNION ALL SELECT * FROM st",
     "landed_csv": f"{_WITH} SELECT CAST(game_pk AS VARCHAR) AS game_pk, CAST(at_bat_number AS VARCHAR) AS at_bat_number, CAST(pitch_number AS VARCHAR) AS pitch_number, CAST(pitcher AS VARCHAR) AS pitcher, CAST(game_date AS VARCHAR) AS game_date, game_type, NULLIF(pitch_type, '') AS pitch_type, description, stand, p_throws FROM raw",
+    "landed_headers": f"{_WITH} SELECT CAST(game_pk AS VARCHAR) AS game_pk, CASE WHEN game_pk % 5 < 2 THEN CAST(at_bat_number AS VARCHAR) END AS at_bat_number, CAST(pitch_number AS VARCHAR) AS pitch_number, CASE WHEN game_pk % 5 < 2 THEN CAST(pitcher AS VARCHAR) END AS pitcher, CASE WHEN game_pk % 5 < 2 THEN CAST(game_date AS VARCHAR) END AS game_date, CASE WHEN game_pk % 5 < 2 THEN game_type END AS game_type, NULLIF(pitch_type, '') AS pitch_type, CASE WHEN game_pk % 5 < 2 THEN description END AS description, CASE WHEN game_pk % 5 < 2 THEN stand END AS stand, CASE WHEN game_pk % 5 < 2 THEN p_throws END AS p_throws, CASE WHEN game_pk % 5 = 2 THEN CAST(zone AS VARCHAR) END AS rescued FROM raw WHERE game_pk % 5 < 3",
+    "landed_rejected": f"{_WITH} SELECT record, 3 AS columns, COUNT(*) AS lines FROM (SELECT CASE WHEN game_pk % 5 = 3 THEN concat_ws(',', game_pk, pitcher) ELSE concat_ws(',', game_pk, pitcher, batter, inning) END AS record FROM raw WHERE game_pk % 5 > 2) GROUP BY record",
     "player_names": f"{_REGISTER}, n AS (SELECT key_mlbam, '  ' || name_first || ' ' || name_last AS name FROM r) SELECT key_mlbam, name, strip_accents(name) AS plain, array_to_string([CASE WHEN i = 1 OR NOT regexp_matches(name[i - 1], '\\p{{L}}') THEN upper(name[i]) ELSE lower(name[i]) END FOR i IN range(1, length(name) + 1)], '') AS title, replace(lower(trim(name)), ' ', '_') AS slug, split_part(trim(name), ' ', 1) AS first, substr(trim(name), length(split_part(trim(name), ' ', 1)) + 2) AS last FROM n",
-    "players_latest": f"{_REGISTER}, k AS (SELECT *, COALESCE(CAST(CAST(mlb_played_last AS DOUBLE) AS INTEGER), -1) AS last FROM r WHERE key_mlbam IS NOT NULL), t AS (SELECT *, MAX(last) OVER g AS top, COUNT(*) OVER g AS players FROM k WINDOW g AS (PARTITION BY name_first, name_last)) SELECT name_first, name_last, MIN(key_mlbam) AS key_mlbam, MAX(players) > 1 AND (MAX(top) < 0 OR COUNT(*) > 1) AS ambiguous FROM t WHERE last = top GROUP BY name_first, name_last",
+    "players_latest": f"{_REGISTER}, k AS (SELECT lower(strip_accents(name_first)) AS name_first, lower(strip_accents(name_last)) AS name_last, key_mlbam AS id, CAST(CAST(mlb_played_last AS DOUBLE) AS INTEGER) AS last FROM r WHERE key_mlbam IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY name_first, name_last ORDER BY last DESC NULLS LAST, id) AS place FROM k) SELECT name_first, name_last, MAX(id) FILTER (place = 1) AS key_mlbam, COUNT(*) > 1 AND COALESCE(MAX(last) FILTER (place = 1) = MAX(last) FILTER (place = 2), MAX(last) FILTER (place = 1) IS NULL) AS ambiguous, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) FILTER (place <= 5) AS candidates FROM t GROUP BY name_first, name_last",
     "stored_pitches": f"{_WITH} SELECT {_STORED} FROM p",
     "load_pitcher_season": f"{_WITH} SELECT {_STORED} FROM p WHERE pitcher = 6 AND game_year = 1995",
     "cache_summary": f"{_WITH}, {_LOG} SELECT l.mlbam_id, l.season, l.player_type, l.row_count, l.fetched_at, MAX(s.s_name) AS player_name FROM log l LEFT JOIN raw r ON r.pitcher = l.mlbam_id AND r.game_year = l.season LEFT JOIN supplier s ON s.s_suppkey = r.pitcher GROUP BY ALL",

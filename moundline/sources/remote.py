@@ -16,25 +16,57 @@ from moundline.sources.landing import BadSource, is_html
 
 log = logging.getLogger(__name__)
 
-#: The query parameters that the endpoint expects, though most are empty; leaving one out can change the result.
-EMPTY = (
-    "hfPT hfAB hfPR hfZ hfStadium hfBBL hfNewZones hfPull hfC hfSit hfOuts hfOpponent pitcher_throws batter_stands hfSA game_date_gt game_date_lt hfMo hfTeam home_road hfRO position hfInfield hfOutfield hfInn hfBBT"
-).split()
-SET = {
-    "all": "true", "hfGT": "R|PO|", "min_pitches": "0", "min_results": "0", "group_by": "name", "sort_col": "pitches", "player_event_sort": "api_p_release_speed", "sort_order": "desc", "min_pas": "0", "type": "details",
-}
+#: The query parameters that the endpoint expects besides the season and the player; leaving an empty one out can change the result.
+PARAMETERS = {
+    "hfPT": "",
+    "hfAB": "",
+    "hfPR": "",
+    "hfZ": "",
+    "hfStadium": "",
+    "hfBBL": "",
+    "hfNewZones": "",
+    "hfPull": "",
+    "hfC": "",
+    "hfSit": "",
+    "hfOuts": "",
+    "hfOpponent": "",
+    "pitcher_throws": "",
+    "batter_stands": "",
+    "hfSA": "",
+    "game_date_gt": "",
+    "game_date_lt": "",
+    "hfMo": "",
+    "hfTeam": "",
+    "home_road": "",
+    "hfRO": "",
+    "position": "",
+    "hfInfield": "",
+    "hfOutfield": "",
+    "hfInn": "",
+    "hfBBT": "",
+    "all": "true",
+    "hfGT": "R|PO|",
+    "min_pitches": "0",
+    "min_results": "0",
+    "group_by": "name",
+    "sort_col": "pitches",
+    "player_event_sort": "api_p_release_speed",
+    "sort_order": "desc",
+    "min_pas": "0",
+    "type": "details",
+}
 
 Transport = Callable[[dict[str, str], float], str]
 
 
 def build_params(mlbam_id: int, season: int, player_type: str) -> dict[str, str]:
     who = {"pitcher": "pitchers_lookup[]", "batter": "batters_lookup[]"}[player_type]
-    return dict.fromkeys(EMPTY, "") | SET | {"hfSea": f"{season}|", "player_type": player_type, who: str(mlbam_id)}
+    return PARAMETERS | {"hfSea": f"{season}|", "player_type": player_type, who: str(mlbam_id)}
 
 
-def http(params: dict[str, str], timeout: float) -> str:
+def http(params: dict[str, str], timeout: float, endpoint: str | None = None) -> str:
     """The default transport; the address is a setting."""
-    request = Request(f"{config.get('data.endpoint')}?{urlencode(params)}", headers={"User-Agent": "moundline/0.1", "Accept": "text/csv,*/*"})
+    request = Request(f"{endpoint or config.get('data.endpoint')}?{urlencode(params)}", headers={"User-Agent": "moundline/0.1", "Accept": "text/csv,*/*"})
     with urlopen(request, timeout=timeout) as got:
         return got.read().decode()
 
@@ -57,9 +89,9 @@ _LIMIT: list[RateLimit] = []
 
 def fetch_player_season(
     mlbam_id: int, season: int, player_type: str = "pitcher", transport: Transport = http, fallback: Callable[[int, str, str, str], str] | None = None,
-    limit: RateLimit | None = None, sleep: Callable[[float], None] = time.sleep,
+    limit: RateLimit | None = None, sleep: Callable[[float], None] = time.sleep, tries: int | None = None, timeout: float | None = None,
 ) -> str:
-    """The CSV text. Each failure is tried again after 2, 4, ... seconds; then ``fallback`` (id, first day, last day, type) has its turn.
+    """The CSV text, with tries and timeout of the settings if None. Each failure is tried again after 2, 4, ... seconds; then ``fallback`` (id, first day, last day, type) has its turn.
 
     A table without rows is a result. If all fail, the error carries both messages.
     """
@@ -69,11 +101,11 @@ def fetch_player_season(
         if not _LIMIT:
             _LIMIT.append(RateLimit(config.get("data.seconds_between_requests", 3)))
         limit = _LIMIT[0]
-    tries, error = config.get("data.max_retries", 3), None
+    tries, timeout, error = tries or config.get("data.max_retries", 3), timeout or config.get("data.request_timeout_seconds", 120), None
     for attempt in range(1, tries + 1):
         limit.wait()
         try:
-            text = transport(build_params(mlbam_id, season, player_type), config.get("data.request_timeout_seconds", 120))
+            text = transport(build_params(mlbam_id, season, player_type), timeout)
             if is_html(text):
                 raise BadSource("HTML instead of CSV")
             if text.count("\n") < 2 and len(text.strip().splitlines()) < 2:

@@ -41,8 +41,21 @@ def test_players(spark):
     for name, text in (("Luis Garcia", "id=3.*id=4"), ("A B", r"\?-\?")):
         with pytest.raises(players.PlayerNotFound, match=text):
             players.resolve_player(register, name)
-    latest = {(r.name_first, r.name_last): (r.key_mlbam, r.ambiguous) for r in players.latest_by_name(register).collect()}
-    assert latest["Will", "Smith"] == (6, False) and latest["Luis", "Garcia"][1] and latest["A", "B"][1] and not latest["Tarik", "Skubal"][1] and ("No", "Id") not in latest
+    more = [(20, "Jose", "Ramirez", 2014.0, 2025.0), (21, None, "Solo", 2001.0, 2002.0)] + [(30 + i, "Seven", "Times", 2000.0, 2010.0 + i) for i in range(7)]
+    latest = {(r.name_first, r.name_last): (r.key_mlbam, r.ambiguous, r.candidates) for r in players.latest_by_name(spark.createDataFrame(rows + more, REGISTER)).collect()}
+    assert latest == {
+        ("tarik", "skubal"): (1, False, [1]), ("jose", "ramirez"): (2, True, [2, 20]), ("luis", "garcia"): (3, True, [3, 4]), ("will", "smith"): (6, False, [6, 5]), ("a", "b"): (7, True, [7, 8]),
+        (None, "solo"): (21, False, [21]), ("seven", "times"): (36, False, [36, 35, 34, 33, 32]),
+    }
+
+
+def test_names_without_python(spark, capsys):
+    """Every letter of the tables that the expression is made of, and the plan."""
+    letters = [chr(c) for c in [*range(1, 0x3000), *range(0xF900, 0xFFFE), *range(0x1D400, 0x1D800)] if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"a{x}b", x) for x in letters], "n string, x string").select("x", names.strip_accents_column("n").alias("s"))
+    assert {r.x: r.s for r in df.collect()} == {x: names.strip_accents(f"a{x}b") for x in letters}
+    spark.createDataFrame([("a",)], "n string").select(names.strip_accents_column("n"), names.title_column("n")).explain()
+    assert "Python" not in capsys.readouterr().out
 
 
 def test_fetch():

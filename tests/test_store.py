@@ -117,13 +117,146 @@ def test_landing(spark, made, tmp_path):
     assert sorted((r.pitch_type, r.spin, r.pitcher) for r in both.filter("pitch_type = 'FF' or spin is not null").collect()) == [("FF", "2200", None)]
 
 
+def test_each_file_by_its_own_header(spark, tmp_path):
+    """Other orders, other columns, a mark in front, names with signs, no rows, and rows that are too short or too long."""
+    (tmp_path / "a b.csv").write_text("pitcher,pitch_type,balls\n1,FF,0\n2,SL\n\n3,CU,1,9\n,NA,2\n")
+    (tmp_path / "c[1].csv").write_text("\ufeffballs,pitch_type,pitcher,spin\n0,FF,1,2200\n\"3\",\"a,b\",4,nan\n")
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write("pitcher,Pitcher,,pitch_type\n5,6,7,FF\nlast\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("pitch_type,pitcher\n")
+    found = landing.land(spark, str(tmp_path))
+    names = ["pitcher", "pitch_type", "balls", "spin", "Pitcher.1", "unnamed_2"]
+    assert sorted(c.lower() for c in found.rows.columns) == sorted([*(c.lower() for c in names), "_ordinal"])
+    got = [tuple(r[c] for c in names) for r in found.rows.orderBy("_ordinal").collect()]
+    assert got == [("1", "FF", "0", None, None, None), (None, None, "2", None, None, None), ("1", "FF", "0", "2200", None, None), ("4", "a,b", "3", None, None, None), ("5", "FF", None, None, "6", "7")]
+    rejected = sorted((r.file.rsplit("/", 1)[1], r.line, r.columns, r.record) for r in found.rejected.collect())
+    assert rejected == [("a%20b.csv", 3, 3, "2,SL"), ("a%20b.csv", 5, 3, "3,CU,1,9"), ("z.csv.gz", 3, 4, "last")]
+    assert found.rows.count() == 5 and found.rows.select("spin").count() == 5
+    some = landing.read_landing(spark, str(tmp_path), ["balls", "nothing"], rescue=True)
+    assert some.columns == ["balls", "nothing", "_rescued", "_ordinal"]
+    assert sorted((r.balls or "", r.nothing, sorted(r._rescued.items())) for r in some.collect())[0] == ("", None, [("Pitcher.1", "6"), ("pitch_type", "FF"), ("pitcher", "5"), ("unnamed_2", "7")])
+    assert landing.quarantine(found, str(tmp_path / "q/rejected")) == 3 and spark.read.parquet(str(tmp_path / "q/rejected")).count() == 3
+    (tmp_path / "page.csv").write_text("\n <html>busy</html>\n")
+    report = {r.file.rsplit("/", 1)[1]: (r.html, r.missing) for r in landing.header_report(spark, str(tmp_path / "*.csv*"), ["pitcher", "balls"]).collect()}
+    assert report == {"z.csv.gz": (False, ["balls"]), "bare.csv": (False, ["balls"]), "page.csv": (True, None)}
+    with pytest.raises(landing.BadSource, match="page.csv is HTML"):
+        landing.check_source(spark, str(tmp_path / "page.csv"))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty/a.csv").write_text("")
+    nothing = landing.land(spark, str(tmp_path / "empty"), ["balls"], rescue=True)
+    assert nothing.rows.count() == nothing.rejected.count() == 0 and nothing.rows.columns == ["balls", "_rescued", "_ordinal"]
+
+
+def test_lines_of_rejected_rows_in_many_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{i},{i}\n" if i % 997 else f"{i}\n" for i in range(5000)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        found = landing.land(spark, str(tmp_path))
+        assert found.rows.rdd.getNumPartitions() > 4
+        assert sorted((r.line, r.record) for r in found.rejected.collect()) == [(i + 2, str(i)) for i in range(0, 5000, 997)]
+        assert [int(r.x) for r in found.rows.orderBy("_ordinal").collect()] == [i for i in range(5000) if i % 997]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_old_parts_go(spark, made, tmp_path):
     for i in range(4):
         made.save_pitches(pitches(spark, {"pitch_type": ["FF", "SL", "CU", "CH"][i]}, {"game_pk": 50 + i}), 7, 2025)
     assert len(kept(made)) == 5 and made.pitches.filter("pitch_type = 'CH'").count() == 1
-    seasons = [p for p in (tmp_path / "s/pitches").glob("*/_season=*") if p.is_dir()]
-    logs = [p for p in (tmp_path / "s/fetch_log").iterdir() if p.is_dir()]
-    assert len(seasons) == 2 and len(logs) == 2  # the newest, and what it replaced
+    version, state = made.snapshot()
+    there = {str(p.relative_to(made.root)) for p in (tmp_path / "s/pitches").rglob("part-*")}
+    named = {f["path"] for f in state["files"]}
+    assert version == 4 and named <= there and there - named == set(state["gone"])  # the newest, and what it replaced
+
+
+def opened(s, df):
+    return {f.removeprefix(f"file://{s.root}/") for f in df.inputFiles()}
+
+
+def test_zone_maps(spark, made):
+    """Fifty seasons: a write looks into the files whose zones can hold its keys only, a lookup opens those of the season."""
+    years = range(1975, 2025)
+    made.save_batch(pitches(spark, *[{"game_pk": 100 * y + g, "game_year": y, "pitcher": 7 + g} for y in years for g in range(4)]))
+    before = {f["path"]: f for f in made.snapshot()[1]["files"]}
+    assert {f["season"] for f in before.values()} == set(years) and sum(f["rows"] for f in before.values()) == 200
+    assert all(f["games"][0] // 100 == f["games"][1] // 100 == f["season"] for f in before.values())
+    looked = []
+    read = made._read
+    made._read = lambda schema, files: looked.extend(f["path"] for f in files) or read(schema, files)
+    made.save_pitches(pitches(spark, {"game_pk": 201001, "game_year": 2010, "pitcher": 8, "pitch_type": "CU"}), 8, 2010)
+    made._read = read
+    assert {before[p]["season"] for p in looked if p in before} == {2010}
+    after = {f["path"] for f in made.snapshot()[1]["files"]}
+    assert {before[p]["season"] for p in before if p not in after} == {2010} and made.pitches.count() == 200
+    assert opened(made, made.load_pitcher_season(8, 2010)) == {f["path"] for f in made.files_of(2010, 8)} and len(made.files_of(2010)) <= 6
+    assert [r.pitch_type for r in made.load_pitcher_season(8, 2010).collect()] == ["CU"] and made.files_of(games=(199901, 199902)) == made.files_of(1999, games=(199901, 199902))
+
+
+def test_writers_at_once(spark, made):
+    """Each of two writers sees the other's snapshot between its own reading and its own commit; none is lost."""
+    made.save_pitches(pitches(spark, {"_ordinal": 1}), 7, 2025)
+    other, commit = PitchStore(spark, made.root, clock=lambda: NOW), made._commit
+    rival = [[{"pitch_type": "SL"}, {"game_pk": 5}], [{"game_pk": 6, "game_year": 2024}]]
+
+    def beaten(version, state):
+        if rival:
+            other.save_pitches(pitches(spark, *rival.pop(0)), 9, 2024)
+        return commit(version, state)
+
+    made._commit = beaten
+    made.save_pitches(pitches(spark, {"pitch_type": "CU"}, {"game_pk": 8}), 7, 2025)
+    assert not rival and kept(made) == [(1, 1, 1, "CU", 2025), (5, 1, 1, "FF", 2025), (6, 1, 1, "FF", 2024), (8, 1, 1, "FF", 2025)]
+    assert sorted((r.mlbam_id, r.season, r.row_count) for r in other.fetch_log.collect()) == [(7, 2025, 2), (9, 2024, 1)]
+    made._commit = lambda version, state: False
+    with pytest.raises(store.Conflict):
+        made.save_pitches(pitches(spark, {"game_pk": 99}), 7, 2025)
+    assert not commit(other.snapshot()[0], {}) and len(kept(other)) == 4  # a number is made once
+
+
+def test_crash_between_data_and_log(spark, made):
+    made.save_pitches(pitches(spark, {}), 7, 2025)
+    made._logged = lambda *_: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        made.save_pitches(pitches(spark, {"pitch_type": "CU"}, {"game_pk": 2}), 7, 2025)
+    again = PitchStore(spark, made.root, clock=lambda: NOW)
+    assert kept(again) == [(1, 1, 1, "FF", 2025)] and again.fetch_log.first().row_count == 1
+
+
+def test_log_pieces(spark, made):
+    """The log grows by small pieces that are put together by size; the latest entry of each key counts."""
+    for i in range(20):
+        made.save_pitches(pitches(spark, {}).limit(0), i % 5, 2025)
+    made.save_pitches(pitches(spark, {}), 3, 2025)
+    pieces = made.snapshot()[1]["log"]
+    assert len(pieces) < 2 * store.MANY_PIECES and sum(f["rows"] for f in pieces) < 21
+    assert sorted((r.mlbam_id, r.row_count) for r in made.fetch_log.collect()) == [(i, int(i == 3)) for i in range(5)]
+
+
+def test_batches_once(spark, made):
+    batch = pitches(spark, {}, {"game_pk": 2})
+    assert made.save_batch(batch, batch=("stream", 0)) == 2 and made.save_batch(batch.withColumn("pitch_type", F.lit("CU")), batch=("stream", 0)) == 0
+    assert {r[3] for r in kept(made)} == {"FF"}
+    assert made.save_batch(batch.withColumn("pitch_type", F.lit("CU")), batch=("stream", 1)) == 2 and made.save_batch(batch, batch=("other", 0)) == 2
+
+
+def test_many_files(spark, made, monkeypatch):
+    monkeypatch.setattr(store, "MANY_FILES", 3)
+    for i in range(4):
+        made.save_pitches(pitches(spark, {"game_pk": i, "pitcher": i}), i, 2025)
+    assert len(kept(made)) == 4 and len(made.snapshot()[1]["files"]) < 4
+
+
+def test_views_of_the_session_stay(spark, made):
+    made.save_pitches(pitches(spark, {}), 7, 2025)
+    spark.range(5).createOrReplaceTempView("pitches")
+    try:
+        assert made.sql("SELECT COUNT(*) AS n FROM pitches").first().n == 1 and made.sql("SELECT COUNT(*) AS n FROM {fetch_log} JOIN {pitches} p ON p.pitcher = mlbam_id WHERE row_count = ?", 1).first().n == 1
+        assert spark.table("pitches").count() == 5
+    finally:
+        spark.catalog.dropTempView("pitches")
 
 
 def test_smoke(spark, made, capsys):
