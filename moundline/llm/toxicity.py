@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from moundline.llm.hashing import BLOCK, hashes, mixed, pieces, runs
 
 #: Rows of the embedding table, its width, filters of each width of window, and the widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 16, (1, 2, 3)
+#: Parts of a document, of equally many words, whose largest responses are pooled; sorted, they tell one chance hit from several.
+PARTS = 3
 #: Twice so many documents of either label are looked at, the lowest hashes of their ids; two of three train.
 SAMPLE = 2_000
 #: Words of either label that training may take: documents come in the order of their hashes until those before them hold
@@ -21,6 +24,9 @@ SAMPLE = 2_000
 WORD_BUDGET = 2_000_000
 #: Passes over the training documents, or as many as make so many steps; documents of a step; rate; seed.
 EPOCHS, STEPS, BATCH, RATE, SEED = 10, 1_500, 16, 0.02, 7
+#: A bucket's first embedding starts as its shrunk log odds, as if it had been in PRIOR more documents of the usual share of labels, times ODDS;
+#: buckets of few documents learn more slowly (RARE); words of a training document are left out of a pass with the probability DROP.
+PRIOR, ODDS, RARE, DROP = 10.0, 0.3, 10.0, 0.3
 #: Words that go through the network together, however long a document is.
 WORDS = 1 << 17
 #: A language needs this many documents of either label for a threshold of its own.
@@ -69,10 +75,12 @@ class Model:
         self.E = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
         self.W = {k: rng.normal(0, 0.4, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS}
         self.c = {k: np.zeros(FILTERS, np.float32) for k in WIDTHS}
-        self.v = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.v = rng.normal(0, 0.3, PARTS * len(WIDTHS) * FILTERS).astype(np.float32)
         self.b = 0.0
         self.at: dict[str, float] = {}
-        codes = [(w, lang) for lang, ws in FUNCTION_WORDS.items() for w in ws.split()]
+        # Words that several of the languages have tell nothing.
+        langs_of = Counter(w for ws in FUNCTION_WORDS.values() for w in ws.split())
+        codes = [(w, lang) for lang, ws in FUNCTION_WORDS.items() for w in ws.split() if langs_of[w] == 1]
         known = np.array([words(np.frombuffer(w.encode(), np.uint8))[0][0, 0] for w, _ in codes])
         order = np.argsort(known)
         self.known, self.lang = known[order], np.array([list(FUNCTION_WORDS).index(x) for _, x in codes])[order]
@@ -86,29 +94,33 @@ class Model:
         return np.maximum(pooled, 0) @ self.v + self.b
 
     def pool(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Max pooling over documents whose words are ids[bounds[i]:bounds[i + 1]], in blocks of WORDS words; 0 without a window."""
-        out = np.zeros((len(bounds) - 1, len(WIDTHS) * FILTERS), np.float32)
+        """Max pooling over documents whose words are ids[bounds[i]:bounds[i + 1]], in blocks of WORDS words.
+
+        Each filter's largest response among the windows that start in each of PARTS parts, the largest first; 0 without a window.
+        """
+        size = np.diff(bounds)
+        edges = bounds[:-1, None] + size[:, None] * np.arange(PARTS + 1) // PARTS
+        starts, ends, limit = edges[:, :-1].ravel(), edges[:, 1:].ravel(), np.repeat(bounds[1:], PARTS)
+        out = np.zeros((len(starts), len(WIDTHS) * FILTERS), np.float32)
         for lo in range(0, len(ids), WORDS):
             hi = min(len(ids), lo + WORDS)
-            first, last = np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi - 1, "right") - 1
-            docs = np.arange(first, last + 1)
-            part = np.clip(bounds[first : last + 2], lo, hi + max(WIDTHS) - 1) - lo
-            part[-1] = min(bounds[last + 1], hi + max(WIDTHS) - 1) - lo
+            parts = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left"))
             maps = self.maps(ids[lo : min(len(ids), hi + max(WIDTHS) - 1)])
             for n, k in enumerate(WIDTHS):
                 if k not in maps:
                     continue
-                begin, stop = part[:-1], part[1:] - k + 1
+                begin = np.maximum(starts[parts], lo) - lo
+                stop = np.minimum(np.minimum(ends[parts], limit[parts] - k + 1), hi) - lo
                 some = np.flatnonzero(stop > begin)
                 if not len(some):
                     continue
                 y = maps[k]
-                pairs = np.stack([begin[some], np.minimum(stop[some], len(y))], 1).ravel()
+                pairs = np.stack([begin[some], stop[some]], 1).ravel()
                 padded = y if pairs[-1] < len(y) else np.concatenate([y, y[-1:]])
                 best = np.maximum.reduceat(padded, pairs, axis=0)[::2]
                 cols = slice(n * FILTERS, (n + 1) * FILTERS)
-                out[docs[some], cols] = np.maximum(out[docs[some], cols], best)
-        return out
+                out[parts[some], cols] = np.maximum(out[parts[some], cols], best)
+        return -np.sort(-out.reshape(len(size), PARTS, -1), axis=1).reshape(len(size), -1)
 
     def languages(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """For each of n documents the language with most function words, as an index; one past the last without any."""
@@ -125,40 +137,62 @@ class Model:
 def gradients(model: Model, texts: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> tuple:
     """Of the weighted log loss, the mean over ``texts`` and a text without words that is not toxic (its logit is the bias), by W, c, v, b and rows of E.
 
-    The gradient of a filter flows to its largest window only.
+    The gradient of a filter flows to its largest window in each part only.
     """
     gW, gc = {k: np.zeros_like(model.W[k]) for k in WIDTHS}, {k: np.zeros_like(model.c[k]) for k in WIDTHS}
     gv, gb, rows, grads = np.zeros_like(model.v), 1 / (1 + np.exp(-model.b)) / len(texts), [], []
+    every = np.arange(FILTERS)
     for ids, y, w in zip(texts, toxic, weight, strict=True):
-        maps = model.maps(ids)
-        pooled, where = np.zeros(len(model.v), np.float32), {}
+        maps, edges = model.maps(ids), len(ids) * np.arange(PARTS + 1) // PARTS
+        pooled, where = np.zeros((PARTS, len(WIDTHS), FILTERS), np.float32), {}
         for n, k in enumerate(WIDTHS):
-            if k in maps and len(maps[k]):
-                where[k] = maps[k].argmax(0)
-                pooled[n * FILTERS : (n + 1) * FILTERS] = maps[k][where[k], np.arange(FILTERS)]
-        on = np.maximum(pooled, 0)
+            if k not in maps or not len(maps[k]):
+                continue
+            value, place = np.zeros((PARTS, FILTERS), np.float32), np.zeros((PARTS, FILTERS), int)
+            for p in range(PARTS):
+                part = maps[k][edges[p] : edges[p + 1]]
+                if len(part):
+                    at = part.argmax(0)
+                    value[p], place[p] = np.maximum(part[at, every], 0), edges[p] + at
+            order = np.argsort(-value, axis=0, kind="stable")
+            pooled[:, n], where[k] = np.take_along_axis(value, order, 0), np.take_along_axis(place, order, 0)
+        on = pooled.reshape(-1)
         p = 1 / (1 + np.exp(-np.clip(on @ model.v + model.b, -30, 30)))
         d = np.float32((p - y) * w / len(texts))
         gv += d * on
         gb += d
-        back = d * model.v * (pooled > 0)
+        back = (d * model.v * (on > 0)).reshape(pooled.shape)
         for n, k in enumerate(WIDTHS):
             if k not in where:
                 continue
-            g = back[n * FILTERS : (n + 1) * FILTERS]
-            gc[k] += g
-            for j in range(k):
-                picked = ids[where[k] + j]
-                gW[k][j] += model.E[picked].sum(1).T * g
-                rows.append(picked.ravel())
-                grads.append(np.repeat(g[:, None] * model.W[k][j].T, 3, axis=0))
+            for r in range(PARTS):
+                g = back[r, n]
+                if not g.any():
+                    continue
+                gc[k] += g
+                for j in range(k):
+                    picked = ids[where[k][r] + j]
+                    gW[k][j] += model.E[picked].sum(1).T * g
+                    rows.append(picked.ravel())
+                    grads.append(np.repeat(g[:, None] * model.W[k][j].T, 3, axis=0))
     return gW, gc, gv, gb, rows, grads
 
 
 def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model:
-    """Stochastic gradient descent (Adagrad) on log loss."""
+    """Stochastic gradient descent (Adagrad) on log loss.
+
+    Most words of a few hundred documents are in one of them only, and a network may learn these by heart. So embeddings
+    start from what all documents together say of a bucket, those of rare ones hardly move, and words are dropped.
+    """
     model, rng = Model(seed), np.random.default_rng(seed)
-    sums = {"E": np.full((BUCKETS, 1), 0.1, np.float32), "v": np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), "b": 0.1}
+    held = np.zeros((2, BUCKETS))
+    for ids, y in zip(texts, toxic, strict=True):
+        held[int(y > 0), np.unique(ids)] += 1
+    docs_of = np.array([len(toxic) - toxic.sum(), toxic.sum()])
+    odds = (held + PRIOR * docs_of[:, None] / len(toxic)) / docs_of[:, None]
+    model.E[:, 0] = ODDS * np.log(odds[1] / odds[0])
+    pace = (held.sum(0) / (held.sum(0) + RARE)).astype(np.float32)[:, None]
+    sums = {"E": np.full((BUCKETS, 1), 0.1, np.float32), "v": np.full_like(model.v, 0.1), "b": 0.1}
     sums |= {("W", k): np.full_like(model.W[k], 0.1) for k in WIDTHS} | {("c", k): np.full(FILTERS, 0.1, np.float32) for k in WIDTHS}
     share = np.clip(toxic.mean(), 0.05, 0.95)
     weight = np.where(toxic > 0, 0.5 / share, 0.5 / (1 - share))
@@ -166,7 +200,8 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model
     for epoch in range(epochs):
         rate = RATE * (1 - 0.7 * epoch / epochs)
         for lot in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
-            gW, gc, gv, gb, rows, grads = gradients(model, [texts[i] for i in lot], toxic[lot], weight[lot])
+            some = [texts[i][rng.random(len(texts[i])) >= DROP] for i in lot]
+            gW, gc, gv, gb, rows, grads = gradients(model, some, toxic[lot], weight[lot])
             for k in WIDTHS:
                 for name, g, at in (("W", gW[k] + 1e-4 * model.W[k], model.W), ("c", gc[k], model.c)):
                     sums[name, k] += g * g
@@ -180,7 +215,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = SEED) -> Model
                 g = np.zeros((len(which), DIM), np.float32)
                 np.add.at(g, back_to, np.concatenate(grads))
                 sums["E"][which] += (g * g).sum(1, keepdims=True)
-                model.E[which] -= 3 * rate * g / np.sqrt(sums["E"][which])
+                model.E[which] -= 3 * rate * pace[which] * g / np.sqrt(sums["E"][which])
     return model
 
 

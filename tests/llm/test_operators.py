@@ -492,6 +492,35 @@ def test_toxicity_of_odd_labels(spark, monkeypatch):
     assert np.array_equal(again.E, model.E) and again.at == model.at
 
 
+def plain_pool(model, ids):
+    """Window by window: each filter's largest response in each part of the text, 0 at least, the largest first."""
+    out = np.zeros((toxicity.PARTS, len(toxicity.WIDTHS) * toxicity.FILTERS))
+    for n, k in enumerate(toxicity.WIDTHS):
+        for at in range(len(ids) - k + 1):
+            part = max(p for p in range(toxicity.PARTS) if len(ids) * p // toxicity.PARTS <= at)
+            for f in range(toxicity.FILTERS):
+                response = sum(float(model.E[ids[at + j]].sum(0) @ model.W[k][j][:, f]) for j in range(k)) + model.c[k][f]
+                out[part, n * toxicity.FILTERS + f] = max(out[part, n * toxicity.FILTERS + f], response)
+    return -np.sort(-out, axis=0).ravel()
+
+
+def test_score_by_brute_force(spark):
+    """A trained model's scores of texts in four languages and none, against loops over their words, windows and filters."""
+    rng = np.random.default_rng(5)
+    bad, plain = ["vilest", "rotten", "Überl"], "the of der die les des el los zz yy xx".split()
+    texts = [" ".join([*rng.choice(plain, rng.integers(0, 25)), *rng.choice(bad, i % 3)]) for i in range(90)] + ["", "und", "Ça ÉTÉ été 12"]
+    as_bytes = lambda t: np.frombuffer(t.encode(), np.uint8)
+    model = toxicity.train([toxicity.features(as_bytes(t)).astype(np.int32) for t in texts], np.array([float(i < 90 and i % 3 > 0) for i in range(len(texts))], np.float32))
+    model.at = {"": 0.3, "de": -0.2, "fr": 0.7}
+    got = {r.i: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        spoken = re.findall(r"[^\W_]+", text.lower())
+        counts = {lang: sum(w in ws.split() and sum(w in x.split() for x in toxicity.FUNCTION_WORDS.values()) == 1 for w in spoken) for lang, ws in toxicity.FUNCTION_WORDS.items()}
+        lang = max(counts, key=lambda x: (counts[x], -list(counts).index(x))) if any(counts.values()) else "other"
+        logit = plain_pool(model, toxicity.features(as_bytes(text)).astype(int)) @ model.v + model.b
+        assert math.isclose(got[i], 1 / (1 + math.exp(model.at.get(lang, model.at[""]) - logit)), rel_tol=1e-3, abs_tol=1e-5), text
+
+
 def test_gradients_against_differences():
     model, rng = toxicity.Model(), np.random.default_rng(1)
     for part in (model.W, model.c):
@@ -504,9 +533,12 @@ def test_gradients_against_differences():
     def loss():
         out = np.log1p(np.exp(model.b))
         for ids, y, w in zip(texts, toxic, weight, strict=True):
-            maps = model.maps(ids)
-            pooled = np.concatenate([maps[k].max(0) if k in maps and len(maps[k]) else np.zeros(toxicity.FILTERS) for k in toxicity.WIDTHS])
-            z = np.maximum(pooled, 0) @ model.v + model.b
+            maps, edges, pooled = model.maps(ids), len(ids) * np.arange(toxicity.PARTS + 1) // toxicity.PARTS, np.zeros((toxicity.PARTS, len(toxicity.WIDTHS), toxicity.FILTERS))
+            for k in maps:
+                for p in range(toxicity.PARTS):
+                    if len(maps[k][edges[p] : edges[p + 1]]):
+                        pooled[p, k - 1] = np.maximum(maps[k][edges[p] : edges[p + 1]].max(0), 0)
+            z = -np.sort(-pooled, axis=0).ravel() @ model.v + model.b
             out += w * (np.log1p(np.exp(z)) - y * z)
         return out / len(texts)
 
@@ -550,10 +582,7 @@ def test_pooling_in_blocks(monkeypatch):
     sizes = [0, 1, 2, 50, 0, 7, 3, 120, 1, 0]
     ids = rng.integers(0, toxicity.BUCKETS, (sum(sizes), 3)).astype(np.int32)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    want = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        maps = model.maps(ids[a:b])
-        want.append(np.concatenate([maps[k].max(0) if k in maps and len(maps[k]) else np.zeros(toxicity.FILTERS) for k in toxicity.WIDTHS]))
+    want = [plain_pool(model, ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     for block in (1 << 17, 13, 5):
         monkeypatch.setattr(toxicity, "WORDS", block)
         np.testing.assert_allclose(np.maximum(model.pool(ids, bounds), 0), np.maximum(want, 0), atol=1e-5)
