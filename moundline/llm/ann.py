@@ -18,6 +18,8 @@ from moundline.llm.embeddings import usable
 
 #: Trees at most and those that are tried, vectors that the trees are fitted on at most, vectors a leaf is meant to hold, vectors of a side of a block.
 TREES, TRIED, SAMPLE, LEAF, CHUNK, SEED = 10, (2, 4, 10), 20_000, 200, 2_048, 5
+#: What a visit of a leaf costs besides its products, in products: a row that is made, moved and answered with a list.
+VISIT = 2_000
 #: The share of leaves to look into is set so that this recall is reached on the sample.
 RECALL, TRIALS, TRIAL_ROWS = 0.96, 200, 6_000
 
@@ -52,10 +54,11 @@ class Forest:
     def trees(self) -> int:
         return len(self.normals)
 
-    def first(self, trees: int) -> Forest:
-        """The forest of the first trees."""
+    def first(self, trees: int, depth: int) -> Forest:
+        """The forest of the first trees, of the upper levels of each."""
         out = copy.copy(self)
-        out.normals, out.offsets = self.normals[:trees], self.offsets[:trees]
+        nodes = (1 << depth) - 1
+        out.normals, out.offsets, out.depth = self.normals[:trees, :nodes], self.offsets[:trees, :nodes], depth
         return out
 
     @property
@@ -122,11 +125,16 @@ class Forest:
             first[q] = visit[np.arange(self.trees)[None, :], leaf[nearest[q]]].min(1) / (len(x) * self.trees)
         return float(np.quantile(first.ravel(), RECALL))
 
-    def chosen(self, sample: np.ndarray, k: int) -> tuple[Forest, float]:
-        """Of the numbers of trees that are tried that with the fewest products for the recall, and its share of places."""
-        tried = [(self.first(t), t) for t in TRIED]
-        shares = [f.share_for(sample, k) for f, _ in tried]
-        return min(zip([f for f, _ in tried], shares, strict=True), key=lambda x: (x[1] * x[0].trees, x[0].trees))
+    def chosen(self, sample: np.ndarray, k: int, n: int) -> tuple[Forest, float]:
+        """Of the numbers of trees and the depths that are tried that with the least cost for the recall among ``n`` vectors, and its share of places.
+
+        Depths: the full one, and one whose leaves hold about as many vectors as a visit costs products. Where vectors have
+        no structure nearly all leaves are visited, so few large ones are better; else small ones save products.
+        """
+        level = int(np.clip(round(np.log2(max(1, n) / VISIT)), 2, self.depth))
+        tried = [self.first(trees, depth) for trees in TRIED for depth in sorted({self.depth, level})]
+        shares = [f.share_for(sample, k) for f in tried]
+        return min(zip(tried, shares, strict=True), key=lambda x: (x[1] * x[0].trees * (n + VISIT * x[0].leaves), x[0].trees))
 
 
 def _placed(forest):
@@ -204,7 +212,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMP
     """query_id, rank, vec_id, score: for each of ``queries`` the k rows found of largest inner product, its own id left out.
 
     ``rows`` and ``queries`` have vec_id and embedding. Trees are fitted on the ``sample`` distinct vectors of lowest
-    hash (documented bound), and as many of them are used as need the fewest products on it; every row is indexed. Each query walks all trees through one priority queue and looks into
+    hash (documented bound), and as many of them, as deep, are used as cost least on it (Forest.chosen); every row is indexed. Each query walks all trees through one priority queue and looks into
     leaves until they hold the share of places that gave a recall of 0.96 on the sample: a small one where
     vectors have structure, a large one where they are noise; and until they hold k + 1 distinct vectors, or all. The products of leaf candidates are exact, in double.
 
@@ -237,7 +245,7 @@ def _nearest(valid: DataFrame, asked: DataFrame, k: int, sample: int) -> DataFra
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = matrix(classes.orderBy(F.xxhash64("embedding"), "rid").limit(sample).select("embedding").toArrow().column("embedding"), np.float64)
-    forest, share = Forest(fitted, n).chosen(fitted, k)
+    forest, share = Forest(fitted, n).chosen(fitted, k, n)
     forest = spark.sparkContext.broadcast(forest)
     members = classes.select("cid", "rid", "embedding").mapInArrow(_placed(forest), f"cid long, rid long, embedding {kind}, leaf array<int>")
     members = written(members, "ann-leaves")

@@ -171,7 +171,7 @@ def test_nearest_of_few(spark):
     rng = np.random.default_rng(3)
     x = {n: (v := rng.normal(size=(n, 16))) / np.linalg.norm(v, axis=1)[:, None] for n in range(5, 31)}
     for n, v in x.items():
-        f, share = ann.Forest(v, n).chosen(v, 20)
+        f, share = ann.Forest(v, n).chosen(v, 20, n)
         leaf = f.leaf_of(v)
         sizes = np.stack([np.bincount(leaf[:, t], minlength=f.leaves) for t in range(f.trees)])
         need = share * n * f.trees
