@@ -87,10 +87,11 @@ def count_predictability(df: DataFrame) -> DataFrame:
     return out.select("pitcher", "count", "n", "types", F.round(F.when(F.col("k") > 1, F.col("e") / F.log("k")).otherwise(0.0), 6).alias("entropy"))
 
 
-def predictable_counts(df: DataFrame, least: int | None = None, share: float | None = None, delta: float | None = None) -> DataFrame:
-    """pitcher, count, pitch_type, n, value, league, delta: a type dominates a count, well above the league's rate."""
+def predictable_counts(df: DataFrame, least: int | None = None, share: float | None = None, delta: float | None = None, league: DataFrame | None = None) -> DataFrame:
+    """pitcher, count, pitch_type, n, value, league, delta: a type dominates a count, well above the league's rate (that of ``df``, or LeagueBaselines.by_count)."""
     df = df.withColumn("count", count_label())
-    league = df.groupBy("count", "pitch_type").agg(F.count("*").alias("n")).withColumn("league", _share(["pitch_type"], ["count"])).drop("n")
+    if league is None:
+        league = df.groupBy("count", "pitch_type").agg(F.count("*").alias("n")).withColumn("league", _share(["pitch_type"], ["count"])).drop("n")
     per = df.groupBy("pitcher", "count", "pitch_type").agg(F.count("*").alias("n"))
     per = per.withColumns({"value": _share(["pitch_type"], ["pitcher", "count"]), "n": F.sum("n").over(Window.partitionBy("pitcher", "count"))})
     out = per.join(league, ["count", "pitch_type"], "left").withColumn("delta", F.col("value") - F.col("league"))
@@ -123,10 +124,11 @@ def handedness_gap(df: DataFrame, least: int | None = None, gap: float | None =
     return per.withColumn("gap", F.col("usage_l") - F.col("usage_r")).filter(F.abs("gap") >= _limit("handedness_usage_gap", gap)).select("pitcher", "pitch_type", "n", "usage_l", "usage_r", "gap")
 
 
-def hittable_pitches(df: DataFrame, least: int | None = None, delta: float | None = None) -> DataFrame:
-    """pitcher, pitch_type, n, value, league, delta: expected wOBA of a type above the league's of that type; n counts pitches with a value."""
+def hittable_pitches(df: DataFrame, least: int | None = None, delta: float | None = None, league: DataFrame | None = None) -> DataFrame:
+    """pitcher, pitch_type, n, value, league, delta: expected wOBA of a type above the league's of that type (in ``df``, or LeagueBaselines.by_type); n counts pitches with a value."""
     x = F.col("estimated_woba_using_speedangle")
-    league = df.groupBy("pitch_type").agg(F.avg(x).alias("league"))
+    if league is None:
+        league = df.groupBy("pitch_type").agg(F.avg(x).alias("league"))
     per = df.groupBy("pitcher", "pitch_type").agg(F.count(x).alias("n"), F.avg(x).alias("value")).filter(F.col("n") >= _gate("hittable_pitch", least))
     out = per.join(league, "pitch_type", "left").withColumn("delta", F.col("value") - F.col("league"))
     return out.filter(F.col("delta") >= _limit("hittable_pitch_xwoba_delta", delta)).select("pitcher", "pitch_type", "n", "value", "league", "delta")

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundline.functions import names
 from moundline.functions.coercion import coerce
-from moundline.operators import clean, metrics, quality
+from moundline.operators import clean, metrics, profiles, quality
 from moundline.operators.dedup import keep_last, upsert
+from moundline.plans import sql
 from moundline.plans.projection import DUCKDB_SQL, ORDINAL, OUTCOMES, raw_pitches, table, with_outcomes
 from moundline.schema import FETCH_LOG, FIELDS, FOLDED, LOG_KEY, NAMES, PITCH_KEY, PITCHES
-from moundline.session import scratch
+from moundline.session import temporary
 from moundline.sources import landing, players, store
+from moundline.sources.baselines import LeagueBaselines
 from moundline.sources.store import ORDINAL as ORDINAL_OF_FILES
+from moundline.sources.store import PitchStore
 
 CLOCK = dt.datetime(1998, 6, 1, 12)
 KEYS = ["game_pk", "at_bat_number", "pitch_number", "pitcher"]
@@ -102,7 +104,7 @@ _LANDED = ["game_pk", "at_bat_number", "pitch_number", "pitcher", "game_date", "
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projected pitches as gzip CSV files with missing tokens in three columns, read back as a source's files are."""
-    path = f"{scratch(spark)}/landed-{uuid.uuid4().hex}"
+    path = temporary(spark, "landed")
     df = raw_pitches(spark, sf_dir).select(*_LANDED)
     df = df.withColumns({"description": F.coalesce("description", F.lit("NA")), "game_type": F.coalesce("game_type", F.lit("null")), "pitch_type": F.coalesce("pitch_type", F.lit("nan"))})
     df.write.option("header", True).option("compression", "gzip").csv(path)
@@ -111,7 +113,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder of files with three headers (another order, other columns) and of files whose rows are too short or too long."""
-    path = f"{scratch(spark)}/landed-{uuid.uuid4().hex}"
+    path = temporary(spark, "landed")
     df = raw_pitches(spark, sf_dir)
     kind = F.col("game_pk") % 5
     for i, (names, codec) in enumerate(((_LANDED, "gzip"), (_LANDED[::-1], "none"), (["zone", "pitch_type", "game_pk", "pitch_number"], "none"))):
@@ -148,6 +150,42 @@ def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_function(text: str, year: int = 1995):
+    """A table function of SQL with bound parameters over the cleaned pitches."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql.register(tracked(spark, sf_dir))
+        return spark.sql(text, args={"player": 6, "year": year})
+
+    return query
+
+
+def profile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each season, merged: whether what they say of the whole table is within their error of exact values."""
+    df, columns = raw_pitches(spark, sf_dir), ["game_pk", "batter", "release_spin_rate", "pitch_type", "strikes"]
+    found = profiles.profile(profiles.merged(profiles.sketches(df, columns, ["game_year"])), top=1, shares=(0.5,))
+    rank = lambda c: F.expr(f"AVG(CASE WHEN CAST(`{c}` AS DOUBLE) <= q['{c}'] THEN 1D WHEN `{c}` IS NOT NULL THEN 0D END)")
+    less = lambda c: F.expr(f"AVG(CASE WHEN CAST(`{c}` AS DOUBLE) < q['{c}'] THEN 1D WHEN `{c}` IS NOT NULL THEN 0D END)")
+    medians = found.agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.get("quantiles", F.lit(0))))).alias("q"))  # one row
+    exact = df.crossJoin(F.broadcast(medians)).agg(*[x.alias(f"{k}_{c}") for c in columns for k, x in (("distinct", F.count_distinct(c)), ("to", rank(c) if c != "pitch_type" else F.lit(None).cast("double")), ("below", less(c) if c != "pitch_type" else F.lit(None).cast("double")), ("mode", F.mode(F.col(c).cast("string"))))])
+    each = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}_{c}").alias(k) for k in ("distinct", "to", "below", "mode")]) for c in columns]
+    exact = exact.select(F.explode(F.array(*each)).alias("e")).select("e.column_name", F.col("e.distinct").alias("exact"), "e.to", "e.below", "e.mode")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), profiles.DISTINCT_ERROR * F.col("exact"))
+    half = (F.col("below") <= 0.5 + profiles.RANK_ERROR) & (F.col("to") >= 0.5 - profiles.RANK_ERROR)
+    often = F.when(F.col("column_name") == "pitch_type", F.get("frequent", F.lit(0))["item"] == F.col("mode"))
+    return found.join(exact, "column_name").select("column_name", "rows", "null_fraction", near.alias("distinct_near"), half.alias("median_near"), often.alias("most_frequent"))
+
+
+def kept_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """League sums of a store after two writes, the second over part of the first, each added by difference."""
+    stored = PitchStore(spark, temporary(spark, "store"))
+    df, league = prepared(spark, sf_dir).withColumn(ORDINAL_OF_FILES, F.struct("game_date", "release_speed", "pitcher", "batter")), LeagueBaselines(stored)
+    stored.save_batch(df)
+    league.refresh()
+    stored.save_batch(df.filter("game_year = 1995 and pitcher % 3 = 0").withColumn("estimated_woba_using_speedangle", F.col("estimated_woba_using_speedangle") + 1))
+    return league.sums()
+
+
 # SQL ---------------------------------------------------------------------------------------------------------------
 def _case(column: str, values: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {column} END"
@@ -235,6 +273,11 @@ QUERIES = {
     "distinct_counts": lambda s, d: cleaned(s, d).agg(F.count_distinct("count").alias("counts")),
     "pitch_mix_by_count": lambda s, d: metrics.pitch_mix_by_count(cleaned(s, d)),
     "pitch_mix_sql": sql_surface,
+    "pitch_mix_function": by_function("SELECT * FROM pitch_mix_by_count(:player, :year)"),
+    "arsenal_function": by_function("SELECT * FROM pitch_arsenal(:player, :year)"),
+    "transitions_function": by_function("SELECT * FROM pitch_transitions(:player, :year)", 1997),
+    "profile_bounds": profile_bounds,
+    "league_baselines": kept_baselines,
     "arsenal_share": lambda s, d: metrics.arsenal_share(cleaned(s, d)),
     "arsenal_share_with_nulls": lambda s, d: metrics.arsenal_share(raw_pitches(s, d)),
     "arsenal_summary": lambda s, d: metrics.arsenal_summary(tracked(s, d)),
@@ -318,6 +361,15 @@ def _checks(rows: str) -> str:
     return f"{_WITH} " + " UNION ALL ".join(one)
 
 
+_MINE = "t WHERE pitcher = 6 AND game_year = 1995"
+_KEPT = "(PARTITION BY game_pk, at_bat_number, pitch_number ORDER BY game_date DESC, release_speed DESC, pitcher DESC, batter DESC)"
+ORACLES |= {
+    "pitch_mix_function": f"{_WITH} SELECT label AS count, COUNT(*) AS pitches, ROUND(100.0::DOUBLE * SUM(CASE WHEN {_FAST} THEN 1 ELSE 0 END) / COUNT(*), 1) AS fastball_pct FROM {_MINE} GROUP BY label",
+    "arsenal_function": f"{_WITH} SELECT pitch_type, COUNT(*) AS n, COUNT(*) / (SUM(COUNT(*)) OVER ())::DOUBLE AS usage, AVG(release_speed) AS mean_speed FROM {_MINE} GROUP BY pitch_type",
+    "transitions_function": f"{_WITH}, m AS (SELECT pitcher, lag(pitch_type) OVER (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number) AS previous, pitch_type AS next FROM t WHERE game_year = 1997) SELECT previous, next, COUNT(*) AS n, COUNT(*) / (SUM(COUNT(*)) OVER (PARTITION BY previous))::DOUBLE AS value FROM m WHERE previous IS NOT NULL AND pitcher = 6 GROUP BY previous, next",
+    "profile_bounds": f"{_WITH} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) AS rows, AVG(({c} IS NULL)::INT)::DOUBLE AS null_fraction, TRUE AS distinct_near, {'NULL::BOOLEAN' if c == 'pitch_type' else 'TRUE'} AS median_near, {'TRUE' if c == 'pitch_type' else 'NULL::BOOLEAN'} AS most_frequent FROM raw" for c in ("game_pk", "batter", "release_spin_rate", "pitch_type", "strikes")),
+    "league_baselines": f"{_WITH}, a AS (SELECT * FROM legal QUALIFY row_number() OVER {_KEPT} = 1), b AS (SELECT * REPLACE (estimated_woba_using_speedangle + 1 AS estimated_woba_using_speedangle) FROM legal WHERE game_year = 1995 AND pitcher % 3 = 0 QUALIFY row_number() OVER {_KEPT} = 1), s AS (SELECT * FROM a ANTI JOIN b USING (game_pk, at_bat_number, pitch_number) UNION ALL SELECT * FROM b) SELECT game_year AS season, {_LABEL} AS count, pitch_type, COUNT(*) AS n, COUNT(estimated_woba_using_speedangle) AS valued, SUM(estimated_woba_using_speedangle) AS value FROM s GROUP BY ALL",
+}
 ORACLES |= {"quality_checks": _checks("p"), "quality_checks_raw": _checks("raw")}
 _NULLS = " UNION ALL ".join(f"SELECT '{f.name}' AS column_name, AVG(CAST({f.name} IS NULL AS INT)::DOUBLE) AS null_fraction FROM st" for f in PITCHES)
 ORACLES["null_fraction"] = f"{_WITH}, st AS (SELECT {_STORED} FROM p) SELECT * FROM ({_NULLS}) WHERE null_fraction > 0.5 ORDER BY null_fraction DESC, column_name LIMIT 8"

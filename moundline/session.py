@@ -48,13 +48,34 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this process has written to in the scratch folder and not released.
+LEFT: list[str] = []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path of its own in the scratch folder, that release() deletes."""
+    LEFT.append(f"{scratch(spark)}/{name}-{uuid.uuid4().hex}")
+    return LEFT[-1]
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the scratch folder, read again: what several results are made of is computed once."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that is behind earlier results in the scratch folder; call it once those are saved."""
+    while LEFT:
+        delete(spark, LEFT.pop())
+
+
 def local(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench."""
     return (
