@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.session import scratch
+from moundline.session import LEFT, delete, release, temporary  # noqa: F401  release: for users of this package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths of the tables that this process has written and not released.
-_WRITTEN: list[str] = []
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` as a Parquet table in the shared folder, read again.
 
     Lost executors cost nothing that has been written. Results are lazy and read these tables, so they stay until
     release() or until the folder goes.
     """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = temporary(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
@@ -36,18 +29,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing lazy reads any more: what was made of them is written itself."""
     for t in tables:
         delete(t.sparkSession, t._written)
-        _WRITTEN.remove(t._written)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables behind earlier results; call it once those are saved."""
-    while _WRITTEN:
-        delete(spark, _WRITTEN.pop())
+        LEFT.remove(t._written)
 
 
 def text_hash(text: str | Column = "text") -> Column:

@@ -42,4 +42,4 @@ def test_release(spark):
     path = table.inputFiles()[0].removeprefix("file://")
     assert table.count() == 3 and os.path.exists(path)
     common.release(spark)
-    assert not os.path.exists(path) and not common._WRITTEN
+    assert not os.path.exists(path) and not common.LEFT
