@@ -165,16 +165,15 @@ def gradients(model: Model, texts: list[np.ndarray], toxic: np.ndarray, weight:
         for n, k in enumerate(WIDTHS):
             if k not in where:
                 continue
-            for r in range(PARTS):
-                g = back[r, n]
-                if not g.any():
-                    continue
-                gc[k] += g
-                for j in range(k):
-                    picked = ids[where[k][r] + j]
-                    gW[k][j] += model.E[picked].sum(1).T * g
-                    rows.append(picked.ravel())
-                    grads.append(np.repeat(g[:, None] * model.W[k][j].T, 3, axis=0))
+            g = back[:, n]
+            if not g.any():
+                continue
+            gc[k] += g.sum(0)
+            for j in range(k):
+                picked = ids[where[k] + j]
+                gW[k][j] += (model.E[picked].sum(2) * g[:, :, None]).sum(0).T
+                rows.append(picked.ravel())
+                grads.append(np.repeat((g[:, :, None] * model.W[k][j].T).reshape(-1, DIM), 3, axis=0))
     return gW, gc, gv, gb, rows, grads
 
 
