@@ -287,7 +287,10 @@ class PitchStore:
         if entries is None:
             return pieces, []
         new = self._piece(entries.withColumns({"fetched_at": F.lit(self.clock()).cast("timestamp_ntz"), "number": F.lit(number).cast("long")}).select(*_NUMBERED.fieldNames()), 1)
-        pieces, dropped = pieces + new, []
+        for piece in new:
+            if not piece["rows"]:  # as of a batch without rows
+                self._delete(piece["path"])
+        pieces, dropped = pieces + [f for f in new if f["rows"]], []
         size = lambda f: f["rows"].bit_length() // 3
         while pieces:
             alike = [f for f in pieces if size(f) == size(pieces[-1])]
@@ -311,12 +314,9 @@ class PitchStore:
             return
         old = [f for f in state["files"] if f["season"] in many]
         new = self._files(self._read(PITCHES, old))
-        done = self._commit(version + 1, state | {"files": [f for f in state["files"] if f not in old] + new, "gone": [f["path"] for f in old]})
-        if not done:
+        # What the write before replaced stays until the next one, as after any write.
+        if not self._commit(version + 1, state | {"files": [f for f in state["files"] if f not in old] + new, "gone": state["gone"] + [f["path"] for f in old]}):
             self._forget(new)
-            return
-        for path in state["gone"]:
-            self._delete(path)
 
 
 #: Entries of the fetch log with the number of the snapshot that they came with, and without number and time.
