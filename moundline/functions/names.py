@@ -42,8 +42,10 @@ def strip_accents_column(name: Column | str) -> Column:
     c = F.col(name) if isinstance(name, str) else name
     letters, forms, more = _decomposed()
     known = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
-    return F.translate(F.when(c.rlike("[" + "".join(more) + "]"), spelled).otherwise(c), letters, forms)
+    # Looked for by the hash table of translate(); a class of a regular expression and a map are gone through letter by letter.
+    longer = lambda x: F.translate(x, "".join(more), "") != x
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(longer(x), F.try_element_at(known, x)).otherwise(x)), "")
+    return F.translate(F.when(longer(c), spelled).otherwise(c), letters, forms)
 
 
 def title_column(name: Column | str) -> Column:
