@@ -77,7 +77,6 @@ def test_names_cost_a_few_lookups_a_letter(spark):
     assert seconds(plain) < 3
 
 
-
 def test_fetch():
     params = remote.build_params(7, 2025, "batter")
     assert len(params) == 39 and params["batters_lookup[]"] == "7" and params["hfSea"] == "2025|" and params["hfGT"] == "R|PO|"
@@ -104,3 +103,11 @@ def test_fetch():
     clock[0] += 1
     limit.wait()
     assert slept == [2.0]
+
+
+def test_latest_players_cost_a_few_lookups_a_letter(spark):
+    """Both names of each row are decomposed."""
+    register = many(spark, 40_000).select(F.col("id").alias("key_mlbam"), F.lit("Zoë").alias("name_first"), F.concat(F.lit("Núñez-Ramírez"), (F.col("id") % 50).cast("string")).alias("name_last"), F.lit("2000.0").alias("mlb_played_last"))
+    latest = players.latest_by_name(register)
+    assert latest.count() == 50
+    assert seconds(latest) < 4
