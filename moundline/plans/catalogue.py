@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,16 +161,23 @@ def by_function(text: str, year: int = 1995):
     return query
 
 
+def _exact(df: DataFrame, column: str, medians: DataFrame) -> DataFrame:
+    """column_name, and exactly: distinct values, shares up to and below the median in ``medians``, the most frequent value. Values are counted first, so tasks pass on counts, never a set or a map of values."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    value, q, share = F.col(column).cast("double"), F.col("q")[column], lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    number = column != "pitch_type"
+    to, below = (share(value <= q), share(value < q)) if number else [F.lit(None).cast("double")] * 2
+    mode = F.lit(None).cast("string") if number else F.max_by(column, F.struct("n", column))
+    out = counts.crossJoin(F.broadcast(medians)).agg(F.count("*").alias("exact"), to.alias("to"), below.alias("below"), mode.alias("mode"))
+    return out.select(F.lit(column).alias("column_name"), "exact", "to", "below", "mode")
+
+
 def profile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of each season, merged: whether what they say of the whole table is within their error of exact values."""
     df, columns = raw_pitches(spark, sf_dir), ["game_pk", "batter", "release_spin_rate", "pitch_type", "strikes"]
     found = profiles.profile(profiles.merged(profiles.sketches(df, columns, ["game_year"])), top=1, shares=(0.5,))
-    rank = lambda c: F.expr(f"AVG(CASE WHEN CAST(`{c}` AS DOUBLE) <= q['{c}'] THEN 1D WHEN `{c}` IS NOT NULL THEN 0D END)")
-    less = lambda c: F.expr(f"AVG(CASE WHEN CAST(`{c}` AS DOUBLE) < q['{c}'] THEN 1D WHEN `{c}` IS NOT NULL THEN 0D END)")
     medians = found.agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.get("quantiles", F.lit(0))))).alias("q"))  # one row
-    exact = df.crossJoin(F.broadcast(medians)).agg(*[x.alias(f"{k}_{c}") for c in columns for k, x in (("distinct", F.count_distinct(c)), ("to", rank(c) if c != "pitch_type" else F.lit(None).cast("double")), ("below", less(c) if c != "pitch_type" else F.lit(None).cast("double")), ("mode", F.mode(F.col(c).cast("string"))))])
-    each = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}_{c}").alias(k) for k in ("distinct", "to", "below", "mode")]) for c in columns]
-    exact = exact.select(F.explode(F.array(*each)).alias("e")).select("e.column_name", F.col("e.distinct").alias("exact"), "e.to", "e.below", "e.mode")
+    exact = reduce(DataFrame.unionByName, [_exact(df, c, medians) for c in columns])
     near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), profiles.DISTINCT_ERROR * F.col("exact"))
     half = (F.col("below") <= 0.5 + profiles.RANK_ERROR) & (F.col("to") >= 0.5 - profiles.RANK_ERROR)
     often = F.when(F.col("column_name") == "pitch_type", F.get("frequent", F.lit(0))["item"] == F.col("mode"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moundline.operators import metrics, profiles
-from moundline.plans import sql
+from moundline.plans import catalogue, sql
 from moundline.sources.baselines import LeagueBaselines
 from moundline.sources.store import PitchStore
 from tests.test_store import pitches
@@ -94,3 +94,9 @@ def test_release(spark):
     spark.range(1).write.parquet(other)
     session.release(spark)
     assert not os.path.exists(path) and not os.path.exists(other.removeprefix("file://")) and not session.LEFT
+
+
+def test_exact_profiles_keep_no_values_of_a_column_in_one_task(spark):
+    """An exact mode() is a map of all values of the table in a single row."""
+    plan = catalogue.profile_bounds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "mode(" not in plan and "distinct" in plan and "count(distinct" not in plan
