@@ -134,8 +134,11 @@ def landed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose width is not that of their header; each has a line of its own in its file."""
-    rejected = landing.land(spark, _landed_folder(spark, sf_dir)).rejected
-    return rejected.groupBy("record", "columns").agg(F.count_distinct("file", "line").alias("lines"))
+    path = _landed_folder(spark, sf_dir)
+    # The files listed, without their content: a number is a narrower key than a path, and each task holds the keys of its rows.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("number"))
+    rejected = landing.land(spark, path).rejected.join(F.broadcast(files), "file")
+    return rejected.groupBy("record", "columns").agg(F.count_distinct("number", "line").alias("lines"))
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def _group(spark: SparkSession, names: list[str], files: list[str], columns: lis
     # Lines by split, so a file of any size is counted without moving it: a row a split.
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = bad.join(splits.withColumn("before", before).drop("n"), ["file", "block"])
+    numbered = bad.join(F.broadcast(splits.withColumn("before", before).drop("n")), ["file", "block"])
     return df, numbered.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.lit(len(names)).alias("columns"), F.col("value").alias("record"))
 
 

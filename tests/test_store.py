@@ -285,3 +285,16 @@ def test_headers_sort_no_lines(spark, tmp_path):
     found = landing.headers(spark, str(tmp_path))
     assert sorted((r.file[-6:], r.header) for r in found.collect()) == [("f0.csv", "a,b"), ("f1.csv", "b,c"), ("f2.csv", "a,b")]
     assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rejected_rows_do_not_move_to_their_splits(spark, tmp_path):
+    """A row a split goes to the rejected rows; the other way all rejected rows of a split were sorted in one task."""
+    (tmp_path / "a.csv").write_text("a,b\n1\n1,2\n1,2,3\n")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rejected = landing.land(spark, str(tmp_path)).rejected
+        assert "SortMergeJoin" not in rejected._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.line, r.columns, r.record) for r in rejected.collect()) == [(2, 2, "1"), (4, 2, "1,2,3")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
