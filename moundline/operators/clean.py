@@ -24,7 +24,8 @@ def consolidate_pitch_types(df: DataFrame) -> DataFrame:
 def drop_non_competitive(df: DataFrame) -> DataFrame:
     """Drops pitches without a type and those that are no contest by type or description. A null description stays."""
     by_description = F.coalesce(F.col("description").isin(NO_CONTEST_DESCRIPTIONS), F.lit(False))
-    return df.filter(F.col("pitch_type").isNotNull() & (F.col("pitch_type") != "") & ~F.col("pitch_type").isin(NO_CONTEST_CODES) & ~by_description)
+    # One condition for null (not in a list: null), empty and codes, as Spark puts the whole expression of the type in place of each mention.
+    return df.filter(~F.col("pitch_type").isin("", *NO_CONTEST_CODES) & ~by_description)
 
 
 def filter_game_types(df: DataFrame, game_types: list[str] | None = None) -> DataFrame:
@@ -59,7 +60,8 @@ def prepare_for_storage(df: DataFrame, game_types: list[str] | None = None, keep
     lost = [c for c in REQUIRED if c not in df.columns]
     if lost:
         raise ValueError(f"columns missing: {lost}")
-    df = df.transform(consolidate_pitch_types).transform(drop_non_competitive).transform(filter_game_types, game_types).transform(add_count_state)
+    # Codes are folded after rows are dropped, which no folded code changes: else each test of the filter holds the lookup too.
+    df = df.transform(drop_non_competitive).transform(filter_game_types, game_types).transform(consolidate_pitch_types).transform(add_count_state)
     date = parsed_date(F.col("game_date")) if dict(df.dtypes)["game_date"] == "string" else F.col("game_date").cast("timestamp_ntz")
     df = df.withColumn("game_date", date)
     return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PITCHES], *keep)

@@ -30,7 +30,7 @@ FIRST_NAMES, LAST_NAMES = ["josé", "JUAN", "o'neil", "Zoë"], ["Ramírez", "de
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competitive pitches with a legal count, the last of each key: what the analyses read."""
     df = raw_pitches(spark, sf_dir)
-    df = df.transform(clean.consolidate_pitch_types).transform(clean.drop_non_competitive).transform(clean.filter_game_types).transform(clean.add_count_state)
+    df = df.transform(clean.drop_non_competitive).transform(clean.filter_game_types).transform(clean.consolidate_pitch_types).transform(clean.add_count_state)
     return keep_last(df, PITCH_KEY, ORDINAL)
 
 
