@@ -56,7 +56,7 @@ def test_entry_without_the_optional_parts(tmp_path):
 
 
 def test_filters_hold_no_lookups(spark):
-    """Spark puts the expression of a column in place of each mention in a filter; with the lookup of folded codes the code was too long for the JVM to compile."""
+    """Spark puts the expression of a column in place of each mention in a filter; with the lookup of folded codes that was most of the first stage (104 of 113 task seconds)."""
     for query in (catalogue.cleaned, catalogue.prepared):
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         held = [line for line in plan.splitlines() if re.match(r"[ +:|-]*Filter", line)]
