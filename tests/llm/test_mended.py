@@ -100,3 +100,18 @@ def test_bloom_table_joined_or_broadcast(spark, monkeypatch, blocks):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.net/x", "http://x.org/fr/", "http://x.org/de/", None, "http://www.example.com/de/1"])], "page_id int, url string")
     rules = spark.createDataFrame(urls.RULES, "rule string, verdict string")
     assert [r.rule for r in urls.filter_urls(pages, rules).orderBy("page_id").collect()] == ["net/", "org/fr/", None, None, "example.com/de/"]
+
+
+def test_suffixes_are_not_cut_in_two(monkeypatch):
+    """A text is sampled in parts; what is sampled must not depend on where they end."""
+    data = np.random.default_rng(5).integers(97, 123, 9000).astype(np.uint8)
+    whole = suffixes.sampled(data, 400)
+    monkeypatch.setattr(suffixes, "STARTS", 1000)
+    assert all((a == b).all() for a, b in zip(whole, suffixes.sampled(data, 400), strict=True))
+
+
+def test_nothing_repeats_in_long_texts(spark):
+    """Beyond 2**17 bytes, strings around the end of a part were taken for repeats of themselves."""
+    rows = [(i, np.random.default_rng(i).integers(97, 123, 280_000).astype(np.uint8).tobytes().decode()) for i in range(3)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0, 0]
