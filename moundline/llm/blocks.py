@@ -28,6 +28,31 @@ def in_blocks(rows: DataFrame, group: list[str], member: str, size: int) -> Data
     return dealt.withColumns({"ca": F.least("__own", "__other"), "cb": F.greatest("__own", "__other"), "side": (F.col("__own") > F.col("__other")).cast("int")}).drop("__n", "__chunks", "__own", "__other")
 
 
+def in_chunks(rows: DataFrame, sizes: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
+    """The blocks of in_blocks() in which a chunk meets itself: each row once. ``sizes`` (__n) has the groups; chunks are dealt anew in each."""
+    dealt = rows.join(sizes, group).withColumn("ca", F.pmod(F.xxhash64(member, *group), F.ceil(F.col("__n") / size).cast("int")).cast("int"))
+    return dealt.withColumns({"cb": F.col("ca"), "side": F.lit(0)}).drop("__n")
+
+
+def across_labels(rows: DataFrame, group: list[str], member: str, label: str, size: int) -> DataFrame:
+    """``rows`` in blocks, as by in_blocks(), in which every two rows of a group with different labels meet.
+
+    Rows of a group's most frequent label have chunks of their own, which don't meet each other. So a group of n rows, r of
+    them with other labels, makes about 2 * n * r / size + n rows, and none if it has one label.
+    """
+    counts = rows.groupBy(*group, label).agg(F.count("*").alias("__c")).groupBy(*group).agg(F.max(F.struct("__c", label)).alias("__top"), F.sum("__c").alias("__n"))
+    # Written, as in in_blocks().
+    counts = written(counts.filter("__n > __top.__c"), "label-counts")
+    most = F.ceil(F.col("__top.__c") / size).cast("int")
+    others = F.ceil((F.col("__n") - F.col("__top.__c")) / size).cast("int")
+    dealt = rows.join(counts, group).withColumns({"__most": most, "__others": others, "__main": F.col(label) == F.col(f"__top.{label}"), "__h": F.xxhash64(member, *group)})
+    own = F.when(F.col("__main"), F.pmod("__h", "__most")).otherwise(F.col("__most") + F.pmod("__h", "__others")).cast("int")
+    first = F.when(F.col("__main"), F.col("__most")).otherwise(0)
+    dealt = dealt.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(first, F.col("__most") + F.col("__others") - 1)))
+    dealt = dealt.withColumns({"ca": F.least("__own", "__other"), "cb": F.greatest("__own", "__other"), "side": (F.col("__own") > F.col("__other")).cast("int")})
+    return dealt.drop("__top", "__n", "__most", "__others", "__main", "__h", "__own", "__other", label)
+
+
 def by_block(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Deals rows by ``keys`` and sorts them, so that each group lies together in one task."""
     return rows.repartition(tasks_for(rows.sparkSession), *keys).sortWithinPartitions(*keys)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundline.llm.blocks import arrays, by_block, groups, in_blocks
+from moundline.llm.blocks import across_labels, arrays, by_block, groups, in_blocks, in_chunks
 from moundline.llm.common import lean_batches, table, text_hash, written
 from moundline.llm.components import components
 from moundline.llm.hashing import shingles, word_hashes
@@ -137,10 +137,16 @@ def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: floa
     that has several of them are compared with each other, until the target recall: a match of similarity s is found at
     depth d with the probability found_at(s, d), so those found stand for the sum of 1 / found_at of all there are.
     With fewer than ``measured`` documents matched the measure is not trusted, and prefixes are shortened until matches
-    at the threshold itself have the recall. Nodes of any size are compared in blocks.
+    at the threshold itself have the recall.
+
+    Nodes of any size are compared in blocks. A node of more than ``chunk`` rows is first dealt into chunks, other ones in each
+    tree, that are compared in themselves; then only documents that no links connect yet need to meet. So near copies, which
+    are connected by then, move once a tree however many there are; only documents that share a large node and are not alike
+    are compared all with all. What is connected at last is the same as if all were.
     """
     levels = [F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t, j=j: F.get("sig", t * DEPTH + j)).alias(f"m{j}") for j in range(DEPTH)]
     trees = classes.select("cid", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)))
+    meet = lambda dealt, depth: by_block(dealt.join(classes.select("cid", "n", "sig"), "cid"), [*prefix(depth), "ca", "cb"]).mapInArrow(_near(similarity, depth), "a long, b long, alike double")
     links, counts, depth = [], [], DEPTH
     while True:
         rows = trees.select("cid", *prefix(min(DEPTH, depth + 1)))
@@ -148,9 +154,15 @@ def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: floa
             child = f"m{depth}"
             several = written(rows.groupBy(*prefix(depth)).agg(F.min(child).alias("x"), F.max(child).alias("y")).filter("x < y").select(*prefix(depth)), "forest-nodes")
             rows = rows.join(several, prefix(depth), "left_semi")
-        dealt = in_blocks(rows, prefix(depth), "cid", chunk).join(classes.select("cid", "n", "sig"), "cid")
-        near = by_block(dealt, [*prefix(depth), "ca", "cb"]).mapInArrow(_near(similarity, depth), "a long, b long, alike double")
-        links.append(written(near, f"forest-links{depth}"))
+        # Written, so that the joins stand between two exchanges and Spark splits a hot node.
+        node = prefix(depth)
+        sizes = written(rows.groupBy(*node).agg(F.count("*").alias("__n")).filter("__n > 1"), "node-sizes")
+        links.append(written(meet(in_chunks(rows, sizes, node, "cid", chunk), depth), f"forest-links{depth}"))
+        large = sizes.filter(F.col("__n") > chunk).select(*node)
+        if not large.isEmpty():
+            labels = written(components(reduce(DataFrame.unionByName, links).select("a", "b")), "labels").select(F.col("node").alias("cid"), "component")
+            rows = rows.join(large, node, "left_semi").join(labels, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+            links.append(written(meet(across_labels(rows, node, "cid", "label", chunk), depth), f"forest-links{depth}"))
         weakest = reduce(DataFrame.unionByName, links).groupBy("a").agg(F.greatest(F.min("alike"), F.lit(similarity)).alias("s"))
         there = 1 / (1 - F.pow(1 - F.pow("s", F.lit(depth)), F.lit(TREES)))
         counts = weakest.agg(F.count("*").alias("found"), F.sum(there).alias("all")).first()

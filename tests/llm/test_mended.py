@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moundline.llm import ann, embeddings, hashing, html, jaccard, suffixes, toxicity, urls
+from moundline.llm.components import components
 
 
 def morse(n, a="a", b="b"):
@@ -115,3 +116,15 @@ def test_nothing_repeats_in_long_texts(spark):
     rows = [(i, np.random.default_rng(i).integers(97, 123, 280_000).astype(np.uint8).tobytes().decode()) for i in range(3)]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.n_removed for r in got] == [0, 0, 0]
+
+
+def test_rows_of_large_nodes_move_once(spark, monkeypatch):
+    """Near copies were copied once for every chunk of their node."""
+    rng = np.random.default_rng(6)
+    base, moved, plain = rng.integers(0, 1 << 63, 400, dtype=np.uint64), [], jaccard.by_block
+    monkeypatch.setattr(jaccard, "by_block", lambda rows, keys: plain(moved.append(rows.count()) or rows, keys))
+    sets = [np.concatenate([base[rng.permutation(400)[8:]], rng.integers(0, 1 << 63, 8, dtype=np.uint64)]) for _ in range(400)]
+    classes = spark.createDataFrame([(i, 400, jaccard.minima(s).tolist()) for i, s in enumerate(sets)], "cid long, n int, sig array<int>")
+    links, depth = jaccard.forest_links(classes, 0.8, 20)
+    assert {(r.node, r.component) for r in components(links).collect()} == {(i, 0) for i in range(400)}
+    assert sum(moved) <= 2 * jaccard.TREES * 400 * (jaccard.DEPTH + 1 - depth), moved
