@@ -19,6 +19,7 @@ from moundline import config
 from moundline.functions.coercion import coerce
 from moundline.operators.dedup import keep_last
 from moundline.schema import CHRONOLOGICAL, FETCH_LOG, LOG_KEY, PITCH_KEY, PITCHES
+from moundline.session import compiled
 
 log = logging.getLogger(__name__)
 
@@ -221,7 +222,8 @@ class PitchStore:
         made = f"pitches/{uuid.uuid4().hex}"
         season = F.coalesce(F.col("game_year").cast("string"), F.lit("none"))
         ranged = rows.withColumn("_season", season).repartitionByRange("_season", "pitcher", "game_pk").sortWithinPartitions("_season", "pitcher", *CHRONOLOGICAL)
-        ranged.write.partitionBy("_season").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.root}/{made}")
+        with compiled(self.spark):
+            ranged.write.partitionBy("_season").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.root}/{made}")
         fs, at, _ = self._fs(f"{self.root}/{made}")
         if not any(f.isDirectory() for f in fs.listStatus(at)):
             return []

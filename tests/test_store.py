@@ -3,12 +3,14 @@ import gzip
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moundline.__main__ import smoke, summary
 from moundline.functions.coercion import coerce
 from moundline.operators.clean import prepare_for_storage
+from moundline.plans import catalogue
 from moundline.schema import FETCH_LOG, FIELDS, PITCHES
 from moundline.sources import landing, store
 from moundline.sources.store import KeyViolation, PitchStore
@@ -298,3 +300,12 @@ def test_rejected_rows_do_not_move_to_their_splits(spark, tmp_path):
         assert sorted((r.line, r.columns, r.record) for r in rejected.collect()) == [(2, 2, "1"), (4, 2, "1,2,3")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_writes_run_compiled(spark, tmp_path, monkeypatch):
+    """The cleaning of all stored columns in one method is more than the JVM compiles: fused, it took four times as long."""
+    key, seen, plain = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: seen.append((path, int(spark.conf.get(key)))) or plain(self, path, *a, **b))
+    before = spark.conf.get(key)
+    PitchStore(spark, str(tmp_path / "store")).save_batch(catalogue.prepared(spark, "/root/testdata/sf0.001"))
+    assert [limit for path, limit in seen if "/pitches/" in path] == [8000] and spark.conf.get(key) == before
