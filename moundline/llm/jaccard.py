@@ -144,7 +144,8 @@ def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: floa
     are connected by then, move once a tree however many there are; only documents that share a large node and are not alike
     are compared all with all. What is connected at last is the same as if all were.
     """
-    levels = [F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t, j=j: F.get("sig", t * DEPTH + j)).alias(f"m{j}") for j in range(DEPTH)]
+    # Without a lambda: Spark hands the index of the element to its second argument, even to one that has a default.
+    levels = [F.array(*[F.get("sig", F.lit(t * DEPTH + j)) for t in range(TREES)]).alias(f"m{j}") for j in range(DEPTH)]
     trees = classes.select("cid", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)))
     meet = lambda dealt, depth: by_block(dealt.join(classes.select("cid", "n", "sig"), "cid"), [*prefix(depth), "ca", "cb"]).mapInArrow(_near(similarity, depth), "a long, b long, alike double")
     links, counts, depth = [], [], DEPTH

@@ -128,3 +128,14 @@ def test_rows_of_large_nodes_move_once(spark, monkeypatch):
     links, depth = jaccard.forest_links(classes, 0.8, 20)
     assert {(r.node, r.component) for r in components(links).collect()} == {(i, 0) for i in range(400)}
     assert sum(moved) <= 2 * jaccard.TREES * 400 * (jaccard.DEPTH + 1 - depth), moved
+
+
+def test_nodes_share_a_whole_prefix(spark, monkeypatch):
+    """Each level of a trie held the same minimum, so whatever shared that one met, and shorter prefixes found nothing new."""
+    moved, plain = [], jaccard.by_block
+    monkeypatch.setattr(jaccard, "by_block", lambda rows, keys: plain(moved.append(rows.count()) or rows, keys))
+    sigs = np.random.default_rng(7).integers(0, 1 << 31, (200, jaccard.TREES * jaccard.DEPTH))
+    sigs[:, :: jaccard.DEPTH + 1] = 1  # at most one minimum of each tree
+    classes = spark.createDataFrame([(i, 400, s) for i, s in enumerate(sigs.tolist())], "cid long, n int, sig array<int>")
+    links, _ = jaccard.forest_links(classes, 0.8, 20)
+    assert links.count() == 0 and sum(moved) == 0, moved
