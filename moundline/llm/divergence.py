@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +15,10 @@ from moundline.llm.common import table, written
 
 #: Documents of a language that a term is in at least, ranks of the part of terms, and parts of a share.
 DOCUMENTS, RANKS, UNIT = 3, 200, 1_000_000_000
-#: Different (group, term) that a task counts before it hands the counts on.
-HELD = 300_000
+#: Counts below this times UNIT are 64-bit numbers.
+_LONG = 9_000_000_000
+#: Different terms and words that a task numbers before it hands their counts on; rows of a batch.
+HELD, WORDS, ROWS = 500_000, 6_000_000, 50_000
 #: Bytes of a text that are split at once.
 BLOCK = 1 << 20
 #: ASCII letters in lower case; other ASCII becomes a space; bytes of other characters stay, as all of these are letters of terms.
@@ -31,43 +36,67 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].split()
 
 
+def _rows(lang: pa.Array, source: pa.Array, term: pa.Array, n, docs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, source, term.cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+
+
+def _summed(ids: list[np.ndarray], of: list[int], groups: list[tuple], terms: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of _counted() for documents given as numbers of their terms: one sort by term, group and document."""
+    order = np.argsort(of, kind="stable")
+    rank, of = np.argsort(order), np.array(of)[order]
+    key = np.repeat(rank, [len(i) for i in ids]) + np.concatenate(ids).astype(np.int64) * len(of)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # of each term and document
+    term, group = np.divmod(key[first], len(of))
+    group = of[group]
+    new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (group[1:] != group[:-1])]))
+    docs, n = np.diff(new, append=len(first)), np.diff(first[new], append=len(key))
+    langs, sources = (pa.array(x, pa.string()) for x in zip(*groups, strict=True))
+    for lo in range(0, len(new), ROWS):
+        some = slice(lo, lo + ROWS)
+        of_group, of_term = group[new[some]], pa.array(term[new[some]])
+        yield _rows(langs.take(pa.array(of_group)), sources.take(pa.array(of_group)), terms.take(of_term), n[some], docs[some])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of terms by language and source, and the documents they are in; a row without a term for each group seen. Held counts are bounded but for one document's terms."""
-    held: dict[tuple, dict[bytes, list]] = {}
+    """Counts of terms by language and source, and the documents they are in. What is held is bounded but for one document's different terms."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    groups: dict[tuple, int] = {}
+    ids: list[np.ndarray] = []
+    of: list[int] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            n, counts = len(terms) + 1, list(terms.values())
-            made = [pa.array([lang] * n), pa.array([source] * n), pa.array([None, *terms], pa.binary()).cast(pa.string()), pa.array([0, *[c[0] for c in counts]], pa.int64()), pa.array([0, *[c[1] for c in counts]], pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, names=["lang", "source", "term", "n", "docs"])
-        held.clear()
+        nonlocal number, size
+        if size:
+            yield from _summed(ids, of, list(groups), pa.array(number.keys(), pa.binary()))
+        number, size = defaultdict(count().__next__), 0
+        ids.clear(), of.clear(), groups.clear()
 
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for lang, source, text in zip(batch.column("lang"), batch.column("source"), texts, strict=True):
-            terms = held.setdefault((lang.as_py(), source.as_py()), {})
-            before = len(terms)
-            own: dict[bytes, int] = {}
-            for some in _words(text.as_py().translate(_FOLD)):
-                for term in some:
-                    own[term] = own.get(term, 0) + 1
-            for term, n in own.items():
-                if (count := terms.get(term)) is None:
-                    terms[term] = [n, 1]
-                else:
-                    count[0] += n
-                    count[1] += 1
-            size += len(terms) - before
-            if size > HELD:
+            data, key = text.as_py().translate(_FOLD), (lang.as_py(), source.as_py())
+            if len(data) > BLOCK:
+                own: Counter = Counter()
+                for some in _words(data):
+                    own.update(some)
+                n = len(own)
+                yield _rows(pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(own.keys(), pa.binary()), own.values(), [1] * n)
+                continue
+            words = data.split()
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            of.append(groups.setdefault(key, len(groups)))
+            size += len(words)
+            if size > WORDS or len(number) > HELD:
                 yield from flush()
-                size = 0
     yield from flush()
 
 
 def _share(count: str, total: str, kept: str) -> Column:
     """1 + floor(UNIT * (count + 1) / (total + kept)), of numbers of any size; 1 where nothing is kept."""
-    return F.expr(f"IF(`{kept}` = 0, 1L, (CAST({UNIT} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST(`{total}` + `{kept}` AS DECIMAL(20,0)) + 1L)")
+    large = f"(CAST({UNIT} AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(20,0))) div CAST(`{total}` + `{kept}` AS DECIMAL(20,0))"
+    return F.expr(f"CASE WHEN `{kept}` = 0 THEN 1L WHEN {count} < {_LONG} THEN {UNIT}L * ({count} + 1) div (`{total}` + `{kept}`) + 1L ELSE {large} + 1L END")
 
 
 def _value(p: str, q: str) -> str:
@@ -89,12 +118,14 @@ def audit(docs: DataFrame, least: int = DOCUMENTS, ranks: int = RANKS) -> DataFr
 
     Null text, lang or source is ''. Groups without terms have their pairs (0 where the language keeps no term) and no
     terms. Repeated rows are documents of their own; other columns are not looked at. Tasks count their own documents,
-    so what moves is a row for each task, group and term; a vector has an entry a source.
+    so what moves is a row for each task, group and term, once, to the task of its language and term, where terms of too few
+    documents end; a vector has an entry a source. ``docs`` is read twice, the second time without its texts.
     """
     text = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = text.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    totals = written(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
-    of_term = totals.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("counts"))
+    # Dealt as they are, as tasks have summed up: both sums need no other exchange. By term first, whose beginnings tell rows apart where they are sorted.
+    totals = counted.repartition("term", "lang").groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = totals.groupBy("term", "lang").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("counts"))
     kept = written(of_term.filter(F.col("docs") >= least).select("lang", "term", "counts"), "divergence-terms")
 
     # One row a group, with the sums of its language: base is the share of a term that it has not.
@@ -103,7 +134,7 @@ def audit(docs: DataFrame, least: int = DOCUMENTS, ranks: int = RANKS) -> DataFr
     own = multiple.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("present"))
     all_of = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     zero = {"total": 0, "present": 0, "kept": 0}
-    groups = totals.filter("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(all_of, "lang", "left").fillna(zero)
+    groups = text.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(all_of, "lang", "left").fillna(zero)
     in_lang = own.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     groups = written(groups.join(in_lang, "lang", "left").fillna(0, ["lang_total"]).withColumn("base", _share("0", "total", "kept")), "divergence-groups")
     side = lambda x: groups.select("lang", F.col("source").alias(x), F.col("base").alias(f"{x}0"), F.col("total").alias(f"{x}_total"), F.col("present").alias(f"{x}_present"), "kept")

@@ -3,10 +3,11 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moundline.llm import ann, embeddings, hashing, html, jaccard, suffixes, toxicity, urls
+from moundline.llm import ann, divergence, embeddings, hashing, html, jaccard, suffixes, toxicity, urls
 from moundline.llm.components import components
 
 
@@ -139,3 +140,29 @@ def test_nodes_share_a_whole_prefix(spark, monkeypatch):
     classes = spark.createDataFrame([(i, 400, s) for i, s in enumerate(sigs.tolist())], "cid long, n int, sig array<int>")
     links, _ = jaccard.forest_links(classes, 0.8, 20)
     assert links.count() == 0 and sum(moved) == 0, moved
+
+
+def counted(docs):
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*docs, strict=True)], names=["lang", "source", "text"])
+    return [tuple(r.values()) for b in divergence._counted(iter([batch])) for r in b.to_pylist()]
+
+
+def test_a_task_counts_a_term_of_a_group_once():
+    """Terms of 80 groups, more than were held, were handed on again and again."""
+    letters = "abcdefghijklmnop"
+    text = " ".join(f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:1])
+    rows = counted([(f"l{i % 4}", f"s{i % 20 // 4 + 5 * (i % 80 // 20)}", text) for i in range(160)])
+    assert len(rows) == len({r[:3] for r in rows}) == 80 * 4096
+    assert {r[3:] for r in rows} == {(2, 2)}
+
+
+def test_terms_of_long_texts(monkeypatch):
+    """Texts beyond a block, and what is held beyond its bounds, are counted as the others."""
+    docs = [("en", "a", "x y x " * 30), ("en", "a", "x z"), ("de", None, "y"), ("en", "b", ""), ("de", None, "y Y z")]
+    want = {("en", "a", "x"): (61, 2), ("en", "a", "y"): (30, 1), ("en", "a", "z"): (1, 1), ("de", None, "y"): (3, 2), ("de", None, "z"): (1, 1)}
+    for name, value in (("ROWS", 1), ("BLOCK", 20), ("WORDS", 1), ("HELD", 1)):
+        monkeypatch.setattr(divergence, name, value)
+        got = {}
+        for *key, n, d in counted(docs):
+            got[tuple(key)] = tuple(x + y for x, y in zip(got.get(tuple(key), (0, 0)), (n, d), strict=True))
+        assert got == want, name
