@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,16 @@ from moundline.llm.common import lean_batches, table, written
 from moundline.llm.cutting import cut
 
 CAPACITY = 2048
-#: Words kept with their ids in each of two generations of a Python worker's cache, and the longest such one.
-CACHE, CACHE_CHARS = 200_000, 48
+#: Words and parts of words kept with their ids in each of two generations of a Python worker's cache, and the longest such one.
+CACHE, CACHE_CHARS = 400_000, 48
 #: Bytes of results after which a task hands a batch on.
 BATCH = 4 << 20
 #: Words of these characters alone are their own normal form; upper and lower case of them are one character each.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")
 #: What a word is split into by the tokenizer, over these characters in lower case.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
+#: Signs that words end in most often; each alone is a part behind letters.
+_SIGNS = frozenset(".,;:!?")
 #: Special tokens begin so.
 _SPECIAL = "<|"
 
@@ -65,21 +68,29 @@ class WordEncoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
         self.model = self.tokenizer.model
-        self.words, self.parts = _Cache(self._word), _Cache(self._part)
+        #: Parts of words are among them: a part alone is a word of the same ids.
+        self.words = _Cache(self._word)
 
     def _word(self, word: str) -> bytes:
+        # What most words are, a part or a part and a sign, is told without expressions.
+        if word.isascii():
+            if word.isalpha():
+                return self._part(word) if word.islower() else self.words[word.lower()]
+            if word[-1:] in _SIGNS and word[:-1].isalpha():
+                return self.words[word[:-1].lower()] + self.words[word[-1]]
         if _PLAIN.fullmatch(word) and _SPECIAL not in word:
-            return b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
+            parts = _PARTS.findall(word.lower())
+            return self._part(parts[0]) if len(parts) == 1 else b"".join([self.words[p] for p in parts])
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        of = self.words
-        return b"".join([of[w] for w in text.replace("\n", " ").replace("\t", " ").split(" ")])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 def _pieces(path: str, end_id: int, capacity: int, keep: list[str]):

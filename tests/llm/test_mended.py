@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moundline.llm import ann, divergence, embeddings, hashing, html, jaccard, suffixes, toxicity, urls
+from moundline.llm import ann, divergence, embeddings, hashing, html, jaccard, packing, suffixes, toxicity, urls
 from moundline.llm.components import components
 
 
@@ -166,3 +166,14 @@ def test_terms_of_long_texts(monkeypatch):
         for *key, n, d in counted(docs):
             got[tuple(key)] = tuple(x + y for x, y in zip(got.get(tuple(key), (0, 0)), (n, d), strict=True))
         assert got == want, name
+
+
+def test_plain_words_without_expressions(monkeypatch):
+    """Each new word went through two expressions and two caches."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    own, want = packing.WordEncoder(path), packing.WordEncoder(path).tokenizer
+    text = "Word word word. WORD, stündlich and more; more! A a"
+    assert np.frombuffer(own.encode(text + " x.. 7a"), "<u4").tolist() == want.encode(text + " x.. 7a", add_special_tokens=False).ids
+    assert not hasattr(own, "parts")
+    monkeypatch.setattr(packing, "_PARTS", None)
+    assert np.frombuffer(own.encode("fresh Fresh Fresher, fresh."), "<u4").tolist() == want.encode("fresh Fresh Fresher, fresh.", add_special_tokens=False).ids
