@@ -29,9 +29,9 @@ def in_blocks(rows: DataFrame, group: list[str], member: str, size: int) -> Data
 
 
 def in_chunks(rows: DataFrame, sizes: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
-    """The blocks of in_blocks() in which a chunk meets itself: each row once. ``sizes`` (__n) has the groups; chunks are dealt anew in each."""
+    """The blocks of in_blocks() in which a chunk meets itself: each row once. ``sizes`` has the groups and __n, which rows get too; chunks are dealt anew in each."""
     dealt = rows.join(sizes, group).withColumn("ca", F.pmod(F.xxhash64(member, *group), F.ceil(F.col("__n") / size).cast("int")).cast("int"))
-    return dealt.withColumns({"cb": F.col("ca"), "side": F.lit(0)}).drop("__n")
+    return dealt.withColumns({"cb": F.col("ca"), "side": F.lit(0)})
 
 
 def across_labels(rows: DataFrame, group: list[str], member: str, label: str, size: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundline.llm.blocks import across_labels, arrays, by_block, groups, in_blocks, in_chunks
+from moundline.llm.bloom import may_be_in
 from moundline.llm.common import lean_batches, table, text_hash, written
 from moundline.llm.components import components
 from moundline.llm.hashing import shingles, word_hashes
@@ -65,16 +66,16 @@ def _signed(words: int):
     return run
 
 
-def _near(similarity: float, depth: int):
+def _near(similarity: float):
     """A task over blocks of a node of the tries: links to the root of those whose sizes and whole signatures allow the similarity.
 
     alike: by its signature, the similarity of a document's least similar match in the block. Two documents of one child
-    of the node have met there before; only others are compared.
+    of the node meet there; only others are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [[], [], []]
-        for g in arrays(batches, [*prefix(depth), "ca", "cb"], ("sig",)):
+        for g in arrays(batches, ["node", "ca", "cb"], ("sig",)):
             one, cid, n, sig = g["ca"][0] == g["cb"][0], g["cid"], g["n"].astype(float), g["sig"]
             a, b = (np.arange(len(cid)),) * 2 if one else (np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1))
             if len(a) * len(b) <= 4096:
@@ -86,10 +87,7 @@ def _near(similarity: float, depth: int):
             x, y = np.nonzero(same >= (similarity - SLACK) * sig.shape[1])
             alike = same[x, y] / sig.shape[1]
             i, j = a[x], b[y]
-            fit = (i != j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            if depth < DEPTH:
-                child = g[f"m{depth}"]
-                fit &= child[i] != child[j]
+            fit = (g["child"][i] != g["child"][j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             i, j, alike = i[fit], j[fit], alike[fit]
             weakest = np.ones(len(cid))
             np.minimum.at(weakest, i, alike)
@@ -125,12 +123,8 @@ def _pairs(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "alike"])
 
 
-def prefix(depth: int) -> list[str]:
-    return ["tree", *[f"m{j}" for j in range(depth)]]
-
-
 def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: float = RECALL, measured: int = MEASURED) -> tuple[DataFrame, int]:
-    """a, b: spanning links of candidate pairs among ``classes`` (cid, n, sig), and the depth at which the search ended.
+    """a, b: links that connect what candidate pairs among ``classes`` (cid, n, sig) connect, and the depth at which the search ended.
 
     Each tree of the forest is a trie of signatures: its minima in order, sorted. Documents first match in the nodes of full
     depth. Then prefixes are shortened by one minimum at a time, in all trees together, and the children of each node
@@ -139,37 +133,41 @@ def forest_links(classes: DataFrame, similarity: float, chunk: int, recall: floa
     With fewer than ``measured`` documents matched the measure is not trusted, and prefixes are shortened until matches
     at the threshold itself have the recall.
 
+    A node goes by a 64-bit hash of its prefix (two that share one are compared as one), and few nodes have several
+    children, so the others' rows end where they are, at a Bloom filter of those nodes.
+
     Nodes of any size are compared in blocks. A node of more than ``chunk`` rows is first dealt into chunks, other ones in each
-    tree, that are compared in themselves; then only documents that no links connect yet need to meet. So near copies, which
-    are connected by then, move once a tree however many there are; only documents that share a large node and are not alike
-    are compared all with all. What is connected at last is the same as if all were.
+    tree, that are compared in themselves; at last, in large nodes of all depths at once, only documents that no links
+    connect yet need to meet. So near copies, which are connected by then, move once a tree and depth however many there are;
+    only documents that share a large node and are not alike are compared all with all. What is connected at last is the
+    same as if all were.
     """
-    # Without a lambda: Spark hands the index of the element to its second argument, even to one that has a default.
-    levels = [F.array(*[F.get("sig", F.lit(t * DEPTH + j)) for t in range(TREES)]).alias(f"m{j}") for j in range(DEPTH)]
-    trees = classes.select("cid", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)))
-    meet = lambda dealt, depth: by_block(dealt.join(classes.select("cid", "n", "sig"), "cid"), [*prefix(depth), "ca", "cb"]).mapInArrow(_near(similarity, depth), "a long, b long, alike double")
-    links, counts, depth = [], [], DEPTH
+    trees = classes.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    start = F.col("tree") * DEPTH
+    meet = lambda dealt, name: written(by_block(dealt.join(classes.select("cid", "n", "sig"), "cid"), ["node", "ca", "cb"]).mapInArrow(_near(similarity), "a long, b long, alike double"), name)
+    links, large, depth = [], [], DEPTH
     while True:
-        rows = trees.select("cid", *prefix(min(DEPTH, depth + 1)))
-        if depth < DEPTH:
-            child = f"m{depth}"
-            several = written(rows.groupBy(*prefix(depth)).agg(F.min(child).alias("x"), F.max(child).alias("y")).filter("x < y").select(*prefix(depth)), "forest-nodes")
-            rows = rows.join(several, prefix(depth), "left_semi")
+        child = F.get("sig", start + depth).cast("long") if depth < DEPTH else F.col("cid")
+        rows = trees.select("cid", F.xxhash64(F.lit(depth), "tree", F.slice("sig", start + 1, depth)).alias("node"), child.alias("child"))
         # Written, so that the joins stand between two exchanges and Spark splits a hot node.
-        node = prefix(depth)
-        sizes = written(rows.groupBy(*node).agg(F.count("*").alias("__n")).filter("__n > 1"), "node-sizes")
-        links.append(written(meet(in_chunks(rows, sizes, node, "cid", chunk), depth), f"forest-links{depth}"))
-        large = sizes.filter(F.col("__n") > chunk).select(*node)
-        if not large.isEmpty():
-            labels = written(components(reduce(DataFrame.unionByName, links).select("a", "b")), "labels").select(F.col("node").alias("cid"), "component")
-            rows = rows.join(large, node, "left_semi").join(labels, "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
-            links.append(written(meet(across_labels(rows, node, "cid", "label", chunk), depth), f"forest-links{depth}"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("__n"), F.min("child").alias("x"), F.max("child").alias("y"))
+        sizes = written(sizes.filter("x < y").select("node", "__n"), "node-sizes")
+        dealt = written(in_chunks(may_be_in(rows, "node", sizes), sizes, ["node"], "cid", chunk), "forest-rows")
+        links.append(meet(dealt.drop("__n"), f"forest-links{depth}"))
+        large.append(dealt.filter(F.col("__n") > chunk).select("cid", "node", "child"))
         weakest = reduce(DataFrame.unionByName, links).groupBy("a").agg(F.greatest(F.min("alike"), F.lit(similarity)).alias("s"))
         there = 1 / (1 - F.pow(1 - F.pow("s", F.lit(depth)), F.lit(TREES)))
         counts = weakest.agg(F.count("*").alias("found"), F.sum(there).alias("all")).first()
         if depth == 1 or found_at(similarity, depth) >= recall or (counts["found"] >= measured and counts["found"] / counts["all"] >= recall):
-            return reduce(DataFrame.unionByName, links).select("a", "b"), depth
+            break
         depth -= 1
+    found, large = (reduce(DataFrame.unionByName, x) for x in (links, large))
+    if large.isEmpty():
+        return found.select("a", "b"), depth
+    labels = written(components(found.select("a", "b")), "labels")
+    rows = large.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+    across = meet(across_labels(rows, ["node"], "cid", "label", chunk), "links-across")
+    return labels.toDF("a", "b").unionByName(across.select("a", "b")), depth
 
 
 def _sets(words: int):
@@ -264,8 +262,10 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     near, _ = forest_links(classes.select("cid", "n", "sig"), similarity, chunk)
     candidates = written(components(near), "candidates").select(F.col("node").alias("cid"), F.col("component").alias("grp"))
 
-    wanted = candidates.join(classes, "cid").select("cid", "rep.doc_id", "rep.h")
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.h == wanted.h)).select("cid", "text").dropDuplicates(["cid"])
+    key = F.xxhash64("doc_id", "h").alias("__key")
+    wanted = written(candidates.join(classes, "cid").select("cid", "rep.doc_id", "rep.h").withColumn("__key", key), "wanted")
+    texts = may_be_in(rows.withColumn("__key", key), "__key", wanted).drop("__key")
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.h == wanted.h)).select("cid", "text").dropDuplicates(["cid"])
     sets = written(texts.mapInArrow(_sets(words), "cid long, set array<long>"), "sets")
     dealt = in_blocks(candidates, ["grp"], "cid", exact_chunk).join(classes.select("cid", "cnt"), "cid").join(sets, "cid")
     found = by_block(dealt, ["grp", "ca", "cb"]).mapInArrow(_exact(similarity), "cid long, links long, root long")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundline.llm.bloom import BROADCAST_BLOCKS, WORDS, _bit, _block, bloom_table
 from moundline.llm.common import table, written
 
 #: Fixed values of the query: rule (host and path), verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A block is eight words of 64 bits; a key sets one bit in each.
-WORDS = 8
-#: A Bloom table of this many blocks has 72 bytes a block, 75 MB at most, and may be broadcast; a larger one is joined.
-BROADCAST_BLOCKS = 1 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -26,20 +23,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _bit(key: Column, word: int) -> Column:
-    return F.shiftright(F.xxhash64(key, F.lit("bits")), 6 * word).bitwiseAND(F.lit(63)).cast("int")
-
-
-def bloom_table(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """The filter as a table: block and its eight words. Built with partial bit_or, so no task sees all keys."""
-    one = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col(key), j))
-    return keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(*[F.bit_or(one(j)).alias(f"w{j}") for j in range(WORDS)])
-
-
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", bits_per_key: int = 24) -> DataFrame:
     """``pages`` (a url column, any others) with host, path, rule and verdict.
 

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moundline.llm import ann, divergence, embeddings, hashing, html, jaccard, packing, suffixes, toxicity, urls
+import moundline.llm.components as stars
+from moundline.llm import ann, bloom, divergence, embeddings, hashing, html, jaccard, packing, suffixes, toxicity, urls
+from moundline.llm.common import written
 from moundline.llm.components import components
 
 
@@ -142,6 +144,39 @@ def test_nodes_share_a_whole_prefix(spark, monkeypatch):
     assert links.count() == 0 and sum(moved) == 0, moved
 
 
+def test_rows_that_meet_no_other_stay(spark, monkeypatch):
+    """All rows of all trees were shuffled to the sizes of the few nodes with several children."""
+    given, plain = [], jaccard.in_chunks
+    monkeypatch.setattr(jaccard, "in_chunks", lambda rows, *a: plain(given.append(rows.count()) or rows, *a))
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(300)]
+    sets += [np.concatenate([s[8:], rng.integers(0, 1 << 63, 8, dtype=np.uint64)]) for s in sets[:20]]
+    classes = spark.createDataFrame([(i, 400, jaccard.minima(s).tolist()) for i, s in enumerate(sets)], "cid long, n int, sig array<int>")
+    links, depth = jaccard.forest_links(classes, 0.8, 512)
+    assert {(min(r), max(r)) for r in links.collect()} == {(i, 300 + i) for i in range(20)}
+    assert 0 < max(given) <= jaccard.TREES * (2 * 20 + 0.05 * len(sets)), given
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Components of what are stars already, as most blocks give, took a round of four tables to find that out."""
+    made, plain = [], stars.written
+    monkeypatch.setattr(stars, "written", lambda df, name: made.append(name) or plain(df, name))
+    of = lambda links: {(r.node, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert of([(5, 1), (1, 4), (5, 1), (9, 7), (3, 3), (None, 1)]) == {(1, 1), (4, 1), (5, 1), (7, 7), (9, 7)} and made == ["links"]
+    chain = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(40, 60)] + [(i, 200) for i in range(60, 80)]
+    want = {(i, 0) for i in range(31)} | {(i, 40) for i in [*range(40, 60), 100]} | {(i, 60) for i in [*range(60, 80), 200]}
+    assert of(chain) == want and of([]) == set()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 4])
+def test_may_be_in_loses_none(spark, monkeypatch, most):
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", most)
+    keys = written(spark.range(0, 60_000, 20).withColumnRenamed("id", "k"), "keys")
+    got = {r.k for r in bloom.may_be_in(spark.range(60_000).select(F.col("id").alias("k"), F.lit("x").alias("w0")), "k", keys).collect()}
+    assert set(range(0, 60_000, 20)) <= got and (most == 4 or len(got) < 3_000 * 1.5)
+    assert bloom.may_be_in(spark.range(9).withColumnRenamed("id", "k"), "k", keys.filter("k < 0")).count() == 0
+
+
 def counted(docs):
     batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*docs, strict=True)], names=["lang", "source", "text"])
     return [tuple(r.values()) for b in divergence._counted(iter([batch])) for r in b.to_pylist()]
